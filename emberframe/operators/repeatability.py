@@ -30,3 +30,26 @@ def phase_windows(log: DataFrame, keys: list[str], name: str, at: str) -> DataFr
         (F.col("end") < F.col("start"), "ends_before_start"),
     )
     return paired.withColumn("violation", violation).drop("_starts", "_ends")
+
+
+def suggest_fixed_range(
+    frames: DataFrame, keys: list[str], *, minimum_span: int = 256, alignment: int = 16,
+    padding: float = 0.1,
+) -> DataFrame:
+    """Display bounds around the 0.5 % and 99.5 % counts, padded and aligned."""
+    from emberframe.operators.pixels import explode_pixels
+    from emberframe.operators.statistics import nearest_rank
+
+    ranks = nearest_rank(
+        explode_pixels(frames, *keys), keys, "v", {"source_p005": 0.005, "source_p995": 0.995}
+    )
+    span = F.greatest(F.col("source_p995") - F.col("source_p005"), F.lit(minimum_span))
+    padded = ranks.withColumn("_pad", F.ceil(span * F.lit(padding)).cast("int"))
+    low = F.floor((F.col("source_p005") - F.col("_pad")) / alignment) * alignment
+    high = F.floor((F.col("source_p995") + F.col("_pad") + alignment - 1) / alignment) * alignment
+    return padded.withColumns(
+        {
+            "raw_low": F.greatest(F.lit(0).cast("long"), low).cast("int"),
+            "raw_high": F.least(F.lit(65535).cast("long"), high).cast("int"),
+        }
+    ).drop("_pad")

@@ -4,7 +4,7 @@ import importlib
 
 from emberframe.catalog.registry import ORACLES, QUERIES
 
-for _module in ("grip", "timing", "alignment", "pixels"):
+for _module in ("grip", "timing", "alignment", "pixels", "studies"):
     importlib.import_module(f"emberframe.catalog.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -88,16 +88,18 @@ def asof_pairs(
     at: str,
     carried: list[str],
     *,
+    inclusive: bool = True,
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Each left row with the newest right row at or before it.
+    """Each left row with the newest right row at or before it (or strictly before).
 
     ``carried`` columns come from the right, together with ``right_<at>``. A
     union and one carry-forward pass: no pairs are formed.
     """
     mark = f"right_{at}"
     source = right.select(
-        *keys, at, F.struct(F.col(at).alias(mark), *carried).alias("_seen"), F.lit(0).alias("_side")
+        *keys, at, F.struct(F.col(at).alias(mark), *carried).alias("_seen"),
+        F.lit(0 if inclusive else 2).alias("_side"),
     )
     target = left.withColumns({"_seen": F.lit(None).cast(source.schema["_seen"].dataType), "_side": F.lit(1)})
     merged = target.unionByName(source, allowMissingColumns=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.functions.numbers import is_finite
 from emberframe.operators.ordered import (
     Series,
     islands,
@@ -116,3 +117,13 @@ def stream_gap_runs(
         .withColumn("gave_up", F.col("reads") >= limit)
         .drop("run")
     )
+
+
+def usable_metrics(rows: DataFrame, numbers: list[str]) -> DataFrame:
+    """Rows with a detected hand, no frozen or jumping frame and every number finite."""
+    keep = F.coalesce(F.col("hand_detected"), F.lit(False))
+    for flag in ("frozen_frame_flag", "agc_jump_flag"):
+        keep = keep & ~F.coalesce(F.col(flag), F.lit(False))
+    for name in numbers:
+        keep = keep & is_finite(F.col(name))
+    return rows.filter(keep)

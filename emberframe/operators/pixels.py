@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.functions import arrays
 from emberframe.functions.numbers import all_reasons, first_reason, half_even, half_up
@@ -477,3 +480,68 @@ def dark_marker_depth(frames: DataFrame, u: Column, v: Column, radius: int = 2)
 def any_frame(*frames: DataFrame) -> DataFrame:
     """Union of frame tables from several recordings."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _gram_rows(batches):
+    """Per batch and trial: sums and cross products of the pixel vectors."""
+    for batch in batches:
+        for trial, part in batch.groupby("trial"):
+            x = np.stack(part["delta"].to_numpy()).astype(float)
+            gram, total = x.T @ x, x.sum(axis=0)
+            yield pd.DataFrame(
+                {"trial": trial, "row": np.arange(len(total)), "n": len(x), "total": total, "gram": list(gram)}
+            )
+
+
+def _add_grams(key, part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "trial": [key[0]], "row": [key[1]], "n": [int(part["n"].sum())],
+            "total": [float(part["total"].sum())], "gram": [np.sum(np.stack(part["gram"].to_numpy()), axis=0)],
+        }
+    )
+
+
+def _leading_axes(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values("row")
+    n, total = int(part["n"].iloc[0]), part["total"].to_numpy()
+    mean = total / n
+    spread = np.stack(part["gram"].to_numpy()) - n * np.outer(mean, mean)
+    values, vectors = np.linalg.eigh(spread)
+    axes = []
+    for i in np.argsort(values)[::-1][:3]:
+        v = vectors[:, i] if values[i] > 1e-9 * max(values[-1], 1.0) and n > 1 else np.zeros(len(mean))
+        # The sign of an axis is free: the entry of largest size is made positive.
+        axes.append(v * (1.0 if v[np.argmax(np.abs(v))] >= 0 else -1.0))
+    while len(axes) < 3:
+        axes.append(np.zeros(len(mean)))
+    return pd.DataFrame({"trial": [part["trial"].iloc[0]], "mean": [mean], "axes": [axes]})
+
+
+def pca_scores(deltas: DataFrame) -> DataFrame:
+    """First three principal scores of each frame's delta within its trial.
+
+    Cross products are summed per batch and then per (trial, matrix row), so the
+    cost grows with the region, not with the square of the frames; the last step
+    sees one pixel-by-pixel matrix per trial. Crop to a region first.
+    """
+    key = deltas.schema["trial"]
+    row_type = T.StructType(
+        [
+            key, T.StructField("row", T.LongType()), T.StructField("n", T.LongType()),
+            T.StructField("total", T.DoubleType()), T.StructField("gram", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    axes_type = T.StructType(
+        [
+            key, T.StructField("mean", T.ArrayType(T.DoubleType())),
+            T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        ]
+    )
+    partial = deltas.select("trial", "delta").mapInPandas(_gram_rows, row_type)
+    summed = partial.groupBy("trial", "row").applyInPandas(_add_grams, row_type)
+    axes = summed.groupBy("trial").applyInPandas(_leading_axes, axes_type)
+    joined = deltas.select("trial", "frame", "delta").join(axes, "trial")
+    centred = arrays.difference(F.col("delta"), F.col("mean"))
+    score = lambda i: arrays.total(F.zip_with(centred, F.get("axes", i), lambda a, b: a * b))
+    return joined.select("trial", "frame", *[score(i).alias(f"pca{i + 1}_score") for i in range(3)])

@@ -300,7 +300,7 @@ def fixed_display_range(spark, root):
 @query(
     "display_scaling",
     with_frames(
-        """, s AS (SELECT trial, frame, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px GROUP BY trial, frame),
+        """, s AS (SELECT trial, frame, round(quantile_cont(v, 0.01), 6) AS lo, round(quantile_cont(v, 0.99), 6) AS hi FROM px GROUP BY trial, frame),
 n AS (SELECT px.*, least(greatest((v - lo) / (hi - lo), 0), 1) AS share, lo, hi FROM px JOIN s USING (trial, frame))
 SELECT trial, frame, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi,
   CAST(sum(CAST(floor(share * 255) AS INTEGER)) AS BIGINT) AS truncated_sum,
@@ -309,16 +309,18 @@ SELECT trial, frame, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS h
 )
 def display_scaling(spark, root):
     stack = frames(spark, root).withColumn("_s", F.array_sort("pixels"))
-    stack = stack.withColumns({"lo": arrays.quantile(F.col("_s"), 0.01), "hi": arrays.quantile(F.col("_s"), 0.99)})
+    stack = stack.withColumns({"lo": q(arrays.quantile(F.col("_s"), 0.01)), "hi": q(arrays.quantile(F.col("_s"), 0.99))})
 
     def summed(rounded):
-        bytes_ = F.transform(
-            "pixels", lambda v: arrays.scaled_byte(v.cast("double"), F.col("lo"), F.col("hi"), rounded=rounded)
+        bounds = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"))
+        bytes_ = arrays.against(
+            F.col("pixels"), bounds,
+            lambda v, b: arrays.scaled_byte(v.cast("double"), b["lo"], b["hi"], rounded=rounded),
         )
         return arrays.total(bytes_).cast("long")
 
     return stack.select(
-        "trial", "frame", q("lo").alias("lo"), q("hi").alias("hi"),
+        "trial", "frame", "lo", "hi",
         summed(False).alias("truncated_sum"), summed(True).alias("rounded_sum"),
     )
 

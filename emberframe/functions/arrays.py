@@ -6,6 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def against(values: Column, scalar: Column, test) -> Column:
+    """Combine every value with one per-row scalar, evaluated once for the row.
+
+    Naming the scalar inside the lambda would evaluate its whole expression again
+    for every element.
+    """
+    return F.zip_with(values, F.array_repeat(scalar, F.size(values)), test)
+
+
+def positions_where(flags: Column) -> Column:
+    """0-based positions of the true entries, ascending."""
+    marked = F.transform(flags, lambda f, i: F.when(f, i))
+    return F.filter(marked, lambda i: i.isNotNull())
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
 
@@ -17,14 +32,9 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column) -> Column:
     """Population standard deviation."""
-    centre = mean(values)
     n = F.size(values).cast("double")
-    squares = F.aggregate(
-        F.transform(values, lambda v: F.pow(v.cast("double") - centre, F.lit(2.0))),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
-    return F.when(n > 0, F.sqrt(F.try_divide(squares, n)))
+    gaps = against(values, mean(values), lambda v, m: (v.cast("double") - m) * (v.cast("double") - m))
+    return F.when(n > 0, F.sqrt(F.try_divide(total(gaps), n)))
 
 
 def count_where(values: Column, test) -> Column:

@@ -108,9 +108,8 @@ def hottest_blob(
 ) -> DataFrame:
     """Region around the largest hot part (4-connected), its quality and mode."""
     level = arrays.quantile(F.array_sort("pixels"), background) + min_delta
-    gated = frames.withColumn("_thr", level)
-    mask = F.transform("pixels", lambda v: v >= F.col("_thr"))
-    blob = largest_component(components(gated, mask, diagonal=False)).drop("width", "height")
+    mask = arrays.against(F.col("pixels"), level, lambda v, t: v >= t)
+    blob = largest_component(components(frames, mask, diagonal=False)).drop("width", "height")
     joined = frames.select(*FRAME, "width", "height").join(blob, FRAME, "left")
     clip = clipped_region(
         F.col("x0") - pad, F.col("y0") - pad, F.col("x1") + pad + 1, F.col("y1") + pad + 1,
@@ -304,9 +303,9 @@ def hand_component(
 ) -> DataFrame:
     """Largest warm part on the right side of every frame."""
     level = arrays.quantile(F.array_sort("pixels"), 0.5) + offset
-    gated = frames.withColumn("_thr", level)
-    mask = F.transform("pixels", lambda v, i: (v >= F.col("_thr")) & (i % F.col("width") >= min_x))
-    parts = components(gated, mask)
+    warm = arrays.against(F.col("pixels"), level, lambda v, t: v >= t)
+    mask = F.transform(warm, lambda m, i: m & (i % F.col("width") >= min_x))
+    parts = components(frames, mask)
     return largest_component(parts, (F.col("area") >= min_area) & (F.col("cx") > min_centre_x))
 
 
@@ -323,8 +322,10 @@ def warm_finger(
     med = lambda a: arrays.quantile(F.array_sort(a), 0.5)
     xs = F.transform("positions", lambda p: (p % width).cast("double"))
     ys = F.transform("positions", lambda p: F.floor(p / width).cast("double"))
-    axis = hand.withColumn("_edge", arrays.quantile(F.array_sort(xs), tip_share))
-    band = F.filter("positions", lambda p: (p % width) <= F.col("_edge"))
+    axis = hand
+    edge = arrays.quantile(F.array_sort(xs), tip_share)
+    flags = arrays.against(xs, edge, lambda x, e: x <= e)
+    band = F.transform(arrays.positions_where(flags), lambda i: F.get("positions", i))
     axis = axis.withColumns(
         {
             "tip_x": med(F.transform(band, lambda p: (p % width).cast("double"))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.functions import arrays
 from emberframe.functions.numbers import (
     all_reasons,
     finite_or_null,
@@ -202,7 +203,8 @@ def _t_value(values: Column) -> Column:
     n = F.size(values).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
     mean = total(values) / n
-    spread = F.sqrt(total(F.transform(values, lambda v: (v - mean) * (v - mean))) / (n - 1)) / F.sqrt(n)
+    squares = total(arrays.against(values, mean, lambda v, m: (v - m) * (v - m)))
+    spread = F.sqrt(squares / (n - 1)) / F.sqrt(n)
     return (
         F.when(spread > 0, mean / spread)
         .when(mean > 0, F.lit(float("inf")))

@@ -7,7 +7,9 @@ inside one frame is computed in its own row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -305,8 +307,8 @@ def warm_centroid(frames: DataFrame, *, percentile: float = 0.97, min_area: int
     """Centre of the pixels above a high percentile; null for flat frames and tiny spots."""
     gated = contrast_gate(frames, min_range).withColumn("_s", F.array_sort("pixels"))
     threshold = F.greatest(arrays.quantile(F.col("_s"), percentile), F.lit(1.0))
-    warm = gated.withColumn("_thr", threshold)
-    warm = warm.withColumn("_hit", arrays.masked_positions(F.col("pixels"), lambda v: v > F.col("_thr")))
+    flags = arrays.against(F.col("pixels"), threshold, lambda v, t: v > t)
+    warm = gated.withColumn("_hit", arrays.positions_where(flags))
     enough = (F.size("_hit") >= min_area) & ~F.col("low_contrast")
     xs = F.transform("_hit", lambda p: p % F.col("width"))
     ys = F.transform("_hit", lambda p: F.floor(p / F.col("width")))
@@ -447,10 +449,9 @@ def hand_axis(frames: DataFrame, mask: Column, *, tip_share: float = 0.03) -> Da
     width = F.col("width")
     xs = F.transform("_hit", lambda p: (p % width).cast("double"))
     ys = F.transform("_hit", lambda p: F.floor(p / width).cast("double"))
-    placed = placed.withColumns({"_sx": F.array_sort(xs)}).withColumn(
-        "_edge", arrays.quantile(F.col("_sx"), tip_share)
-    )
-    band = F.filter("_hit", lambda p: (p % width) <= F.col("_edge"))
+    edge = arrays.quantile(F.array_sort(xs), tip_share)
+    flags = arrays.against(xs, edge, lambda x, e: x <= e)
+    band = F.transform(arrays.positions_where(flags), lambda i: F.get("_hit", i))
     med = lambda values: arrays.quantile(F.array_sort(values), 0.5)
     placed = placed.withColumns(
         {
@@ -482,7 +483,7 @@ def any_frame(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _gram_rows(batches):
+def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per batch and trial: sums and cross products of the pixel vectors."""
     for batch in batches:
         for trial, part in batch.groupby("trial"):
@@ -493,7 +494,7 @@ def _gram_rows(batches):
             )
 
 
-def _add_grams(key, part: pd.DataFrame) -> pd.DataFrame:
+def _add_grams(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "trial": [key[0]], "row": [key[1]], "n": [int(part["n"].sum())],

@@ -335,7 +335,7 @@ c AS (SELECT vec_id, CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 1000) AS INT
    CAST(floor(abs(CAST(embedding[3] AS DOUBLE)) * 1000) AS INTEGER) % 256 AS b FROM embeddings)
 SELECT vec_id, c.r, c.g, c.b, arg_min(p.idx, ((p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2, p.idx)) AS palette_index,
   24 - arg_min(p.idx, ((p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2, p.idx)) AS inverted_index,
-  CAST(floor(0.114 * any_value(c.b) + 0.587 * any_value(c.g) + 0.299 * any_value(c.r) + 0.5) AS INTEGER) AS gray
+  (any_value(c.b) * 3735 + any_value(c.g) * 19235 + any_value(c.r) * 9798 + 16384) // 32768 AS gray
 FROM c, p GROUP BY vec_id, c.r, c.g, c.b""",
 )
 def palette_nearest(spark, root):

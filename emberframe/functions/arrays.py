@@ -112,9 +112,14 @@ def masked_positions(values: Column, test) -> Column:
     return F.filter(flags, lambda i: i.isNotNull())
 
 
+# 15-bit luma weights of blue, green and red; they sum to 32768.
+LUMA_WEIGHTS = (3735, 19235, 9798)
+
+
 def gray(blue: Column, green: Column, red: Column) -> Column:
-    """Luma of a colour pixel, rounded to a byte."""
-    return F.floor(0.114 * blue + 0.587 * green + 0.299 * red + 0.5).cast("int")
+    """Luma of a colour pixel in whole numbers, rounded half up to a byte."""
+    b, g, r = LUMA_WEIGHTS
+    return F.floor((blue * b + green * g + red * r + 16384) / 32768).cast("int")
 
 
 def scaled_byte(value: Column, low: Column, high: Column, *, rounded: bool) -> Column:

@@ -167,17 +167,17 @@ def _stitched(step: Step, local: Column, carried: Column, first: Column) -> Colu
     raise ValueError(f"unknown step {step.kind}")
 
 
-def chunked(df: DataFrame, series: Series, rows_per_chunk: int) -> DataFrame:
+def chunked(df: DataFrame, series: Series, rows_per_chunk: int) -> DataFrame | None:
     """Add a chunk number that grows with the clock, about ``rows_per_chunk`` rows each.
 
     The width comes from one min/max/count probe and assumes the worst case: all
-    rows sit in a single key.
+    rows sit in a single key. None when one chunk would hold everything.
     """
     clock = F.col(series.clock).cast("double")
     low, high, rows = df.agg(F.min(clock), F.max(clock), F.count(F.lit(1))).first()
     pieces = max(1, -(-int(rows or 0) // rows_per_chunk))
     if pieces == 1 or low is None or high <= low:
-        return df.withColumn(_CHUNK, F.lit(0).cast("long"))
+        return None
     width = (high - low) / pieces
     return df.withColumn(_CHUNK, F.floor((clock - F.lit(low)) / F.lit(width)).cast("long"))
 
@@ -190,15 +190,17 @@ def scan(
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Add order-dependent columns; pass ``rows_per_chunk`` to force the split form."""
-    if rows_per_chunk is None and fits_one_task(df):
+    pieces = None
+    if rows_per_chunk is not None or not fits_one_task(df):
+        rows_per_chunk = rows_per_chunk or setting(df, ROWS_PER_CHUNK_SETTING, ROWS_PER_CHUNK)
+        pieces = chunked(df, series, rows_per_chunk)
+    if pieces is None:
         return df.withColumns(
             {
                 name: _local(step, series.window(descending=step.kind in _BACKWARD))
                 for name, step in outputs.items()
             }
         )
-    rows_per_chunk = rows_per_chunk or setting(df, ROWS_PER_CHUNK_SETTING, ROWS_PER_CHUNK)
-    pieces = chunked(df, series, rows_per_chunk)
     at = [*series.keys, _CHUNK]
     totals = pieces.groupBy(*at).agg(
         *[

@@ -15,6 +15,7 @@ from emberframe.functions.numbers import (
 )
 from emberframe.operators.ordered import Series, previous, running_sum, scan, with_group_stats
 from emberframe.operators.quantiles import exact_median
+from emberframe.operators.settle import settle
 
 
 def measured_bins(
@@ -380,21 +381,25 @@ def curve_verdict(clusters: DataFrame, complete: DataFrame, keys: list[str], fie
 
 
 def analyse_sessions(rows: DataFrame, order: str) -> dict[str, DataFrame]:
-    """The whole paired analysis, lazily: integrity, blocks, differences, clusters, verdict."""
+    """The whole paired analysis: integrity, blocks, differences, clusters, verdict.
+
+    Results that several later steps read (one row per trial, or per pair and bin)
+    are written once to the shared folder.
+    """
     frames = admissible(rows)
-    integrity = trial_integrity(frames, order)
-    blocks = selected_blocks(integrity)
-    failures = curve_failures(frames)
+    integrity = settle(trial_integrity(frames, order))
+    blocks = settle(selected_blocks(integrity))
+    failures = settle(curve_failures(frames))
     usable = blocks.filter("selected").join(
         failures.select("session", "block"), ["session", "block"], "left_anti"
     ).select("session", "block")
-    curves = long_curves(trial_curve(frames.join(usable, ["session", "block"], "left_semi")))
+    curves = settle(long_curves(trial_curve(frames.join(usable, ["session", "block"], "left_semi"))))
     binned = measured_bins(
         curves, [*TRIAL, "field"], "time_s", "value",
         start=ANALYSIS_START_S, width=BIN_SECONDS, bins=ANALYSIS_BINS,
     )
-    differences = paired_differences(binned, ["session", "field"], "block")
-    clusters = cluster_permutation(differences, ["session", "field"], "block")
+    differences = settle(paired_differences(binned, ["session", "field"], "block"))
+    clusters = settle(cluster_permutation(differences, ["session", "field"], "block"))
     cells = differences.filter(F.col("difference").isNotNull()).groupBy("session").agg(
         F.count(F.lit(1)).alias("_cells")
     )

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from emberframe.operators.settle import shared_folder
 from emberframe.streaming.machines import Machine
 
 _STATE = T.StructType([T.StructField("state", T.StringType())])
@@ -94,19 +93,6 @@ def replay(df: DataFrame, keys: list[str], order: list[str], machine: Machine) -
     return placed.mapInPandas(run, output_schema(df, machine))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint directory.
-
-    Without that setting, as in tests, a local temporary folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/emberframe-{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, spark: SparkSession, *, mode: str = "append") -> DataFrame:
     """Process what is there now into files of the shared folder and read them back."""
     folder = shared_folder(spark)

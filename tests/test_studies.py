@@ -13,10 +13,10 @@ from emberframe.operators.ordered import Series
 
 # --- grip ----------------------------------------------------------------------
 
-def test_windows_restart(spark):
+def test_windows_restart(stored):
     rows = [(1, i, t, 10.0 * i, 1.0, 2.0, 3.0, 4.0, 5.0) for i, t in enumerate((0.0, 0.1, 0.2, 0.0, 0.1))]
     names = "trial int, frame int, t_capture double, area_px double, mean_delta double, max_delta double, present_load double, present_current double, gripper_pos double"
-    df = spark.createDataFrame(rows, names)
+    df = stored(rows, names)
     series = Series(("trial",), ("frame",))
     bounds = summaries.window_bounds(df, series, "t_capture").orderBy("window").collect()
     assert [(r["start"], r["stop"]) for r in bounds] == [(0, 3), (3, 5)]
@@ -28,12 +28,12 @@ def test_windows_restart(spark):
 
 
 @pytest.mark.parametrize("warm_area, decision", [(30.0, "GO"), (10.0, "NO-GO")])
-def test_grip_decision(spark, warm_area, decision):
+def test_grip_decision(stored, warm_area, decision):
     rows = [("w", "soft", "low", True, warm_area, 12.0)]
     for name in "abc":
         rows += [(name, "soft", lv, False, area, 1.0) for lv, area in (("low", 1.0), ("med", 2.0), ("high", 3.0))]
     rows.append(("d", "solid", "low", False, 2.0, 1.0))
-    df = spark.createDataFrame(rows, "object_name string, hardness string, grip_level string, warmed boolean, hold_mean_area_px double, hold_max_delta double")
+    df = stored(rows, "object_name string, hardness string, grip_level string, warmed boolean, hold_mean_area_px double, hold_max_delta double")
     out = summaries.grip_decision(df).first()
     assert out["decision"] == decision and out["monotonic_objects"] == 3
     assert out["n_passive_trials"] == 10 and out["n_warmed_trials"] == 1
@@ -41,14 +41,14 @@ def test_grip_decision(spark, warm_area, decision):
 
 # --- compression ----------------------------------------------------------------
 
-def test_compression_steps(spark):
+def test_compression_steps(stored):
     key = (1, "steady_state", 1, 1)
     hold = lambda f, state, at, pct: (*key[:2], f, "stable_hold", key[2], key[3], state, 1, True, pct, at)
-    telemetry = spark.createDataFrame(
+    telemetry = stored(
         [hold(1, "C0", 1.0, 0.0), hold(2, "C0", 4.0, 1.0), hold(3, "C30", 0.5, 28.0), hold(4, "C30", 4.0, 30.0), hold(5, "C30", 4.5, 31.0)],
         "trial int, block string, frame int, phase string, sequence_id int, step_index int, state string, action_attempt int, marker_detected boolean, compression_pct double, step_elapsed_s double",
     )
-    features = spark.createDataFrame(
+    features = stored(
         [(1, f, f, False, h, v) for f, h, v in ((1, "a", 0.1), (2, "b", 0.2), (3, "c", 0.4), (4, "d", 0.42), (5, "d", 0.9))],
         "trial int, frame int, feature_row int, frozen_frame_flag boolean, content string, signal double",
     )
@@ -99,20 +99,20 @@ FINGER = "session int, block int, condition string, row_type string, frame_index
         ({"drop": (2, "press", "X", 3)}, "INCOMPLETE_FOR_PRIMARY_TEST"),
     ],
 )
-def test_curve_verdict(spark, case, verdict):
-    df = spark.createDataFrame(finger_session(**case), FINGER)
+def test_curve_verdict(stored, case, verdict):
+    df = stored(finger_session(**case), FINGER)
     out = paired.analyse_sessions(df, "frame_index")
     assert out["verdict"].first()["verdict"] == verdict
     if "drop" in case:
         broken = out["integrity"].filter(F.size("reasons") > 0).collect()
-        assert [(r["block"], r["condition"], r["reasons"]) for r in broken] == [(2, "press", ["insufficient_tracking:X:3"])]
+        assert [(r["block"], r["condition"], r["reasons"]) for r in broken] == [(2, "press", ["thermal_timestamp_gap", "insufficient_tracking:X:3"])]
     if verdict == "SIGNIFICANT_CURVE_SEPARATION":
         best = out["clusters"].filter("field = 'primary_signal_count' and p_corrected <= 0.05").collect()
         assert [(c["start_bin"], c["end_bin"], c["sign"]) for c in best] == [(5, 9, 1)]
         assert best[0]["p_corrected"] == pytest.approx(2 / 64)
 
 
-def test_cluster_test_brute_force(spark):
+def test_cluster_test_brute_force(stored):
     rng = np.random.default_rng(3)
     d = rng.normal(0.6, 1.0, (6, 30))
     d[:, 4] = 2.0
@@ -143,7 +143,7 @@ def test_cluster_test_brute_force(spark):
         masses.append(max((r[3] for r in runs(t_of(d * signs))), default=0.0))
     want = {(a, b, s): np.mean([m >= mass - 1e-9 for m in masses]) for a, b, s, mass in runs(t_of(d))}
     rows = [(0, p, b, float(d[p, b])) for p in range(6) for b in range(30)]
-    df = spark.createDataFrame(rows, "g int, pair int, bin int, difference double")
+    df = stored(rows, "g int, pair int, bin int, difference double")
     got = {(r["start_bin"], r["end_bin"], r["sign"]): r["p_corrected"] for r in paired.cluster_permutation(df, ["g"], "pair").collect()}
     assert got == pytest.approx(want) and any(a <= 4 <= b for a, b, _ in got)
 
@@ -186,12 +186,12 @@ PINCH = """row_type string, status string, schema_version int, a string, b strin
         ({"skip": {(0, 1, 0), (3, 2, 4)}}, "BLOCKED_ACQUISITION", ["insufficient_valid_groups"]),
     ],
 )
-def test_pinch_verdict(spark, case, verdict, reasons):
-    df = spark.createDataFrame(pinch_rows(**case), PINCH).withColumns(
+def test_pinch_verdict(stored, case, verdict, reasons):
+    df = stored(pinch_rows(**case), PINCH).withColumns(
         {"session": F.lit(1), "attempt": F.monotonically_increasing_id()}
     )
     samples = pinch.accepted_tips(df)
-    sessions = spark.createDataFrame([(1, True)], "session int, metadata_valid boolean")
+    sessions = stored([(1, True)], "session int, metadata_valid boolean")
     out = pinch.session_analysis(samples, sessions).first()
     assert out["verdict"] == verdict
     if reasons is not None:
@@ -202,10 +202,10 @@ def test_pinch_verdict(spark, case, verdict, reasons):
 
 # --- classifiers -----------------------------------------------------------------
 
-def test_hold_samples(spark):
+def test_hold_samples(stored):
     rows = [(1, 0, 0.0, 0.0, 1.0, False, False), (1, 0, 2.5, 0.0, 2.0, False, False), (1, 1, 2.5, 75.0, 9.0, False, False),
             (1, 1, 2.8, 75.0, 99.0, True, False), (1, 2, 1.0, 60.0, 5.0, False, False)]
-    df = spark.createDataFrame(rows, "sequence_id int, step_index int, timestamp double, target double, x double, frozen_frame_flag boolean, agc_jump_flag boolean")
+    df = stored(rows, "sequence_id int, step_index int, timestamp double, target double, x double, frozen_frame_flag boolean, agc_jump_flag boolean")
     out = classify.hold_samples(df, ["sequence_id", "step_index"], "timestamp", "target", ["x"])
     got = sorted((r["target_percent"], r["hard_label"], r["x"]) for r in out.collect())
     assert got == [(0.0, 0, 2.0), (75.0, 1, 9.0)]
@@ -230,32 +230,32 @@ def brute_rule(values, labels):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_threshold_brute_force(spark, seed):
+def test_threshold_brute_force(stored, seed):
     rng = np.random.default_rng(seed)
     n = int(rng.integers(1, 25))
     values, labels = rng.integers(0, 6, n).astype(float), rng.integers(0, 2, n)
-    df = spark.createDataFrame([(0, float(v), int(y)) for v, y in zip(values, labels)], "g int, value double, label int")
+    df = stored([(0, float(v), int(y)) for v, y in zip(values, labels)], "g int, value double, label int")
     got = classify.fit_threshold(df, ["g"], rows_per_chunk=4).first()
     accuracy, sign, negated = brute_rule(values, labels)
     assert got["train_balanced_accuracy"] == pytest.approx(accuracy)
     assert (got["sign"], got["threshold"]) == (sign, pytest.approx(-negated))
 
 
-def test_separable_threshold(spark):
-    df = spark.createDataFrame([(0, v, y) for v, y in ((0.1, 0), (0.2, 0), (0.8, 1), (0.9, 1))], "g int, value double, label int")
+def test_separable_threshold(stored):
+    df = stored([(0, v, y) for v, y in ((0.1, 0), (0.2, 0), (0.8, 1), (0.9, 1))], "g int, value double, label int")
     rule = classify.fit_threshold(df, ["g"]).first()
     assert rule["sign"] == 1 and 0.2 < rule["threshold"] < 0.8 and rule["train_balanced_accuracy"] == 1.0
 
 
 # --- calibration ------------------------------------------------------------------
 
-def test_affine_fit_against_least_squares(spark):
+def test_affine_fit_against_least_squares(stored):
     rng = np.random.default_rng(0)
     rows = [("good", *map(float, p), float(80 + 30 * p[0] - 4 * p[1] + p[2] + rng.normal()), float(60 + p[0] + 25 * p[1] + rng.normal())) for p in rng.uniform(0, 1, (25, 3))]
     rows += [("few", *r[1:]) for r in rows[:5]]
     rows += [("flat", r[1], r[2], 0.5, r[4], r[5]) for r in rows[:10]]
     rows += [("still", r[1], r[2], r[3], 5.0, r[5]) for r in rows[:10]]
-    df = spark.createDataFrame(rows, "g string, x double, y double, z double, u double, v double")
+    df = stored(rows, "g string, x double, y double, z double, u double, v double")
     out = {r["g"]: r for r in calibration.fit_affine(df, ["g"]).collect()}
     part = np.array([r[1:] for r in rows if r[0] == "good"])
     design = np.column_stack([np.ones(25), part[:, :3]])
@@ -269,15 +269,15 @@ def test_affine_fit_against_least_squares(spark):
 
 # --- ledger ------------------------------------------------------------------------
 
-def test_ledger_rules(spark):
+def test_ledger_rules(stored):
     ok = dict(pretrial_ffc=True, ffc_reset=True, ffc_active=False, color_valid=True, thermal_valid=True, has_rgb=True, has_depth=True, has_thermal=True)
     base = [(1, 1, 1, "loose", "completed"), (2, 2, 1, "tight", "technical_abort"), (3, 2, 2, "tight", "completed"), (4, 4, 1, "loose", "completed"), (5, 4, 1, "tight", "completed")]
     rows = [(0, *b, *ok.values()) for b in base]
     rows[2] = (*rows[2][:-1], False)
     names = "ledger int, pos int, slot int, attempt int, label string, outcome string, " + ", ".join(f"{k} boolean" for k in ok)
     series = Series(("ledger",), ("pos",))
-    slots = contracts.schedule_slots(spark.createDataFrame([(0, "LTLT")], "ledger int, primary string"), ["ledger"], "primary")
-    out = {r["pos"]: r["violations"] for r in contracts.ledger_violations(spark.createDataFrame(rows, names), slots, series).collect()}
+    slots = contracts.schedule_slots(stored([(0, "LTLT")], "ledger int, primary string"), ["ledger"], "primary")
+    out = {r["pos"]: r["violations"] for r in contracts.ledger_violations(stored(rows, names), slots, series).collect()}
     assert out[1] == [] and out[2] == []
     assert out[3] == ["thermal_artifact_missing"]
     assert out[4] == ["duplicate_key", "slot_out_of_order", "label_mismatch"]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.operators.ordered import Series
 
-# Seconds are counted from the first instant of 2024.
-ORIGIN_US = 1_704_067_200_000_000
+# Seconds are counted from the first instant of 2024, as the stored wall clock reads.
+ORIGIN = "2024-01-01 00:00:00"
 
 EVENT_SERIES = Series(keys=("trial",), order=("t_us", "frame"))
 
@@ -17,10 +17,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def micros_since_origin(ts: str) -> Column:
+    """Microseconds since the origin; both ends are read in the session zone, so it cancels."""
+    origin = F.lit(ORIGIN).cast("timestamp_ntz").cast("timestamp")
+    return F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(origin)
+
+
 def telemetry(spark: SparkSession, root: str) -> DataFrame:
     """``events`` as trial telemetry: one trial per user, one row per frame."""
     events = table(spark, root, "events")
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ORIGIN_US)
+    micros = micros_since_origin("ts")
     return events.select(
         F.col("user_id").alias("trial"),
         F.col("event_id").alias("frame"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberframe.catalog.bindings import ORIGIN_US, q, telemetry, with_telemetry
+from emberframe.catalog.bindings import micros_since_origin, q, telemetry, with_telemetry
 from emberframe.catalog.registry import ORACLES, query
 from emberframe.catalog import timing  # noqa: F401  registers the SQL reused below
 from emberframe.streaming import machines, run, windows
@@ -12,7 +12,7 @@ from emberframe.streaming import machines, run, windows
 
 def _stream(spark, root):
     rows = run.open_table(spark, f"{root}/events.parquet")
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ORIGIN_US)
+    micros = micros_since_origin("ts")
     return rows.select(
         F.col("user_id").alias("trial"), F.col("event_id").alias("frame"), micros.alias("t_us"),
         (micros / 1e6).alias("t"), F.col("event_type").alias("phase"), F.col("value").alias("value"),

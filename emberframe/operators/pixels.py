@@ -23,6 +23,9 @@ from emberframe.operators.ordered import Series, row_index, scan
 from emberframe.operators.quantiles import exact_median
 
 FRAME = ["trial", "frame"]
+PALETTE_ENTRIES = 256
+# Largest region of the principal scores; their matrix grows with its square.
+PCA_PIXELS = 4096
 
 
 def explode_pixels(frames: DataFrame, *kept: str) -> DataFrame:
@@ -343,7 +346,11 @@ def nearest_palette(colours: DataFrame, palette: DataFrame, *, invert: bool = Fa
     Only distinct colours are matched; join the result back on the colour.
     """
     entries = F.array_sort(F.collect_list(F.struct("idx", "r", "g", "b")))
-    one = palette.agg(entries.alias("_palette"), F.lit(1).alias("_one"))
+    # Checked before it is broadcast; the size is what the file format allows.
+    small = F.when(F.count(F.lit(1)) <= PALETTE_ENTRIES, entries).otherwise(
+        F.raise_error(F.lit("a palette has at most 256 entries"))
+    )
+    one = palette.limit(PALETTE_ENTRIES + 1).agg(small.alias("_palette"), F.lit(1).alias("_one"))
     distinct = colours.select("r", "g", "b").distinct().withColumn("_one", F.lit(1))
     near = F.array_min(
         F.transform(
@@ -488,6 +495,8 @@ def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for trial, part in batch.groupby("trial"):
             x = np.stack(part["delta"].to_numpy()).astype(float)
+            if x.shape[1] > PCA_PIXELS:
+                raise ValueError(f"crop frames to a region of at most {PCA_PIXELS} pixels first")
             gram, total = x.T @ x, x.sum(axis=0)
             yield pd.DataFrame(
                 {"trial": trial, "row": np.arange(len(total)), "n": len(x), "total": total, "gram": list(gram)}

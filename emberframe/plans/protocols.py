@@ -31,6 +31,8 @@ REPEATABILITY_PHASES = {
         ("baseline_02", 15.0), ("hot_hand_02", 15.0), ("recovery_02", 15.0),
     ),
 }
+# A plan is a table of this protocol's steps; anything longer is not one.
+MAX_PLAN_STEPS = 1000
 LEVEL_VALUES = {"zero": 0.0, "light": 1.0, "medium": 2.0, "hard": 3.0}
 
 
@@ -109,7 +111,11 @@ def plan_completeness(events: DataFrame, plan: DataFrame, keys: list[str], step:
     """
     done = events.groupBy(*keys, *step).agg(F.count(F.lit(1)).alias("completions"))
     runs = events.select(*keys).distinct()
-    cells = plan.select(*step).distinct().agg(F.collect_list(F.struct(*step)).alias("_steps"), F.lit(1).alias("_one"))
+    listed = F.when(F.count(F.lit(1)) <= MAX_PLAN_STEPS, F.collect_list(F.struct(*step))).otherwise(
+        F.raise_error(F.lit("not a protocol plan: too many steps"))
+    )
+    steps = plan.select(*step).distinct().limit(MAX_PLAN_STEPS + 1)
+    cells = steps.agg(listed.alias("_steps"), F.lit(1).alias("_one"))
     grid = runs.withColumn("_one", F.lit(1)).join(F.broadcast(cells), "_one").select(
         *keys, F.explode("_steps").alias("_s")
     ).select(*keys, "_s.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,15 @@ from emberframe.llm.components import connected_components
 from emberframe.llm.words import SPACED, each_set
 from emberframe.operators.settle import settle
 
-#: Cells of the frequency table that orders shingles: a fixed 4 MB whatever the input. A cell's level is
+#: Cells of the frequency table that orders shingles: a fixed 16 MB whatever the input. A cell's level is
 #: the bit length of its count, 0 below FREQUENT; any such table gives the same links, only not as fast.
-CELLS = 1 << 22
-FREQUENT = 16
+CELLS = 1 << 24
+FREQUENT = 4
 #: Parts of the suffix filter: the overlap of two sets is at most the sum over parts of the lesser count.
-PARTS = 64
+PARTS = 128
+#: Bits of the filter that says which documents' whole sets are wanted: a fixed 2 MB. It lets more through
+#: as it fills, and what it lets through is matched exactly afterwards.
+WANTED = 1 << 24
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
@@ -44,25 +47,24 @@ def _ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return grams[np.argsort(level, kind="stable")]
 
 
+def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
+
+
 def _members(width: int, percent: int):
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, signs, cells = [], [], []
+            sizes, signs, cells, parts = [], [], [], []
             for grams in each_set(_texts(batch, 1), width, SPACED):
                 sizes.append(len(grams))
                 signs.append(_sign(grams) if len(grams) else None)
                 first = grams[: _prefix_length(len(grams), percent)] if len(grams) else grams
                 cells.append((first & np.uint64(CELLS - 1)).astype(np.int32))
-            lengths = np.cumsum([0, *map(len, cells)]).astype(np.int32)
-            flat = np.concatenate(cells) if cells else np.zeros(0, np.int32)
+                parts.append(np.bincount((grams % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(signs, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)),
-                ],
-                ["doc_id", "n", "sign", "cells"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), _lists(cells, np.int32), _lists(parts, np.int32)],
+                ["doc_id", "n", "sign", "cells", "parts"],
             )
 
     return members
@@ -88,21 +90,22 @@ def _entries(width: int, percent: int, levels: Broadcast):
     return entries
 
 
-def _sets(width: int):
+def _sets(width: int, wanted: Broadcast):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            grams = list(each_set(_texts(batch, 1), width, SPACED))
-            parts = [np.bincount((g >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32) for g in grams]
-            bounds = np.cumsum([0, *map(len, grams)]).astype(np.int32)
-            flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
-            flat_parts = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            signs, keys, sets = [], [], []
+            for key, grams in zip(batch.column(0).to_pylist(), each_set(_texts(batch, 1), width, SPACED)):
+                if not len(grams):
+                    continue
+                sign = _sign(grams)
+                cell = (sign ^ key) & (WANTED - 1)
+                if bits[cell >> 3] >> (cell & 7) & 1:
+                    signs.append(sign)
+                    keys.append(key)
+                    sets.append(grams.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(grams) + 1, dtype=np.int32) * PARTS), pa.array(flat_parts)),
-                ],
-                ["sign", "grams", "parts"],
+                [pa.array(signs, pa.int64()), pa.array(keys, pa.int64()), _lists(sets, np.int64)], ["sign", "key", "grams"]
             )
 
     return sets
@@ -128,26 +131,40 @@ def _may_link(n_a: Column, n_b: Column, at_a: Column, at_b: Column, percent: int
     return (low * 100 >= high * percent) & (left.cast("long") * (100 + percent) >= (n_a.cast("long") + n_b) * percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets meet the similarity: suffix filter on part counts, then the sets themselves."""
-    part = sets.select("sign", "parts", F.size("grams").cast("long").alias("n"))
-    near = (
-        pairs.join(part.select(F.col("sign").alias("a"), F.col("parts").alias("pa"), F.col("n").alias("na")), "a")
-        .join(part.select(F.col("sign").alias("b"), F.col("parts").alias("pb"), F.col("n").alias("nb")), "b")
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The written (a, b) of those pairs of classes whose sets meet the similarity.
+
+    The suffix filter on part counts comes first. The whole sets of the classes in what is left are made
+    anew from the texts of one document each, which a filter of fixed size finds without a join on texts.
+    """
+    side = lambda c: classes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("sign", "key", "n", "parts")))
+    near = settle(
+        pairs.join(side("a"), F.col("a") == F.col("sign_a"))
+        .join(side("b"), F.col("b") == F.col("sign_b"))
         .where(
-            F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x).cast("long") * (100 + percent)
-            >= (F.col("na") + F.col("nb")) * percent
+            F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x).cast("long")
+            * (100 + percent)
+            >= (F.col("n_a") + F.col("n_b")) * percent
         )
-        .select("a", "b")
+        .select("a", "key_a", "b", "key_b")
     )
-    both = near.join(sets.select(F.col("sign").alias("a"), F.col("grams").alias("ga")), "a").join(
-        sets.select(F.col("sign").alias("b"), F.col("grams").alias("gb")), "b"
+    ends = near.select("a", "key_a").union(near.select("b", "key_b"))
+    cells = ends.select(F.col("a").bitwiseXOR(F.col("key_a")).bitwiseAND(WANTED - 1).cast("int").alias("cell")).distinct().toArrow()
+    bits = np.zeros(WANTED, bool)
+    bits[cells.column(0).to_numpy()] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    if not bits.any():
+        return near.select("a", "b")
+    sets = settle(
+        docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_sets(width, wanted), "sign long, key long, grams array<long>")
     )
-    shared = F.size(F.array_intersect("ga", "gb")).cast("long")
-    return (
-        both.select("a", "b", (F.size("ga").cast("long") + F.size("gb")).alias("n"), shared.alias("shared"))
-        .where("shared * 100 >= (n - shared) * " + str(percent))
+    both = near.join(sets.toDF("a", "key_a", "grams_a"), ["a", "key_a"]).join(sets.toDF("b", "key_b", "grams_b"), ["b", "key_b"])
+    shared = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
+    return settle(
+        both.select("a", "b", (F.size("grams_a").cast("long") + F.size("grams_b")).alias("n"), shared.alias("shared"))
+        .where(f"shared * 100 >= (n - shared) * {percent}")
         .select("a", "b")
+        .distinct()
     )
 
 
@@ -170,45 +187,38 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     members = settle(
-        docs.select("doc_id", "text").mapInArrow(_members(width, percent), f"doc_id {kind}, n long, sign long, cells array<int>")
+        docs.select("doc_id", "text").mapInArrow(_members(width, percent), f"doc_id {kind}, n long, sign long, cells array<int>, parts array<int>")
+    )
+    classes = settle(
+        members.where("sign is not null")
+        .groupBy("sign")
+        .agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+        .withColumn("key", F.xxhash64("low"))
     )
     levels = spark.sparkContext.broadcast(_levels(members))
     entries = docs.select("text").mapInArrow(_entries(width, percent, levels), "gram long, sign long, n int, at int")
 
     in_order = Window.partitionBy("gram").orderBy("n", "sign")
-    back = lambda c: F.lag(c).over(in_order)
+
+    def tried(turned: Callable[[str], Column]) -> Column:
+        return F.when(
+            _may_link(F.col("n"), turned("n").over(in_order), F.col("at"), turned("at").over(in_order), percent),
+            turned("sign").over(in_order),
+        )
+
     buckets = settle(
         entries.select(
             "*",
-            *(F.first(c).over(in_order).alias(f"p_{c}") for c in ("sign", "n", "at")),
-            *(back(c).alias(f"b_{c}") for c in ("sign", "n", "at")),
-            F.lead("sign").over(in_order).alias("f_sign"),
+            F.coalesce(tried(F.first), tried(F.lag)).alias("other"),
+            F.coalesce(F.lag("sign").over(in_order), F.lead("sign").over(in_order)).alias("beside"),
         )
-        .where("b_sign is not null or f_sign is not null")
-        .drop("f_sign")
-    )
-    active = buckets.select("sign").distinct()
-    chosen = (
-        members.where("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("doc_id")).join(active, "sign", "left_semi")
-    )
-    sets = settle(
-        docs.select("doc_id", "text")
-        .join(chosen, "doc_id")
-        .select("sign", "text")
-        .mapInArrow(_sets(width), "sign long, grams array<long>, parts array<int>")
-        .dropDuplicates(["sign"])
+        .where("beside is not null")
+        .drop("beside")
     )
-
-    def tried(side: str) -> Column:
-        return _may_link(F.col("n"), F.col(f"{side}_n"), F.col("at"), F.col(f"{side}_at"), percent)
-
     first = (
-        buckets.select("sign", F.when(tried("p"), F.col("p_sign")).when(tried("b"), F.col("b_sign")).alias("other"))
-        .where("other <> sign")
-        .select(F.least("sign", "other").alias("a"), F.greatest("sign", "other").alias("b"))
-        .distinct()
+        buckets.where("other <> sign").select(F.least("sign", "other").alias("a"), F.greatest("sign", "other").alias("b")).distinct()
     )
-    links = settle(_verified(first, sets, percent))
+    links = _verified(docs, first, classes, width, percent)
     groups = connected_components(links)
     named = buckets.select("gram", "sign", "n", "at").join(
         groups.select(F.col("node").alias("sign"), "component"), "sign", "left"
@@ -227,15 +237,12 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = settle(_verified(rest, sets, percent))
+    more = _verified(docs, rest, classes, width, percent)
     every = links.union(more)
     groups = connected_components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("sign")).groupBy("sign").agg(F.count("*").alias("links"))
     classes = (
-        members.where("sign is not null")
-        .groupBy("sign")
-        .agg(F.min("doc_id").alias("low"))
-        .join(groups.select(F.col("node").alias("sign"), "component"), "sign", "left")
+        classes.join(groups.select(F.col("node").alias("sign"), "component"), "sign", "left")
         .join(degree, "sign", "left")
         .select("sign", "low", F.coalesce("component", "sign").alias("grp"), F.coalesce("links", F.lit(0)).alias("links"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontamination, language_id, line_runs, ngram_join, packing, tokens, wavelet
+from emberframe.llm import decontamination, language_id, line_runs, ngram_join, packing, secret_scan, suffix_dedup, syncmers, tokens, url_filter, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_GAP = {
+    "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+
+
+def _span_sql(kind: str, rank: int, group: int, at_least: int) -> str:
+    pattern = _GAP[kind].replace("'", "''")
+    return f"""
+        SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop
+        FROM (SELECT doc_id, ms[k] AS m, gs[k] AS g,
+                     list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k-1], lambda x: length(x))), 0) AS start
+              FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (
+                    SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms,
+                           regexp_extract_all(text, '{pattern}', {group}) AS gs FROM documents WHERE text <> '')))
+        WHERE length(g) >= {at_least}"""
+
+
+@query(
+    "op1_secret_scan",
+    f"""
+    WITH span AS ({_span_sql("assign", 0, 2, 6)} UNION ALL {_span_sql("access", 1, 0, 20)} UNION ALL {_span_sql("hex", 2, 0, 24)}),
+    own AS (
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+               count(*) FILTER (kind = 'hex') AS n_hex,
+               string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) AS spans
+        FROM span GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN own USING (doc_id)
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "found", secret_scan.digest(F.col("found")).alias("spans"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2("spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 @query("op2_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds 80 in 100 of a benchmark item's five-word shingles, with the item."""
@@ -38,6 +80,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_syncmer_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=0)
@@ -70,6 +123,52 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Fixed rules of the query.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query(
+    "op8_url_filter",
+    r"""
+    WITH RECURSIVE rules(host, path, verdict) AS (
+        VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+               ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+    ), edge AS (
+        SELECT DISTINCT url AS a, replace(b, '&amp;', '&') AS b FROM (
+            SELECT url, unnest([
+                regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1),
+                regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*?url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS b
+            FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)
+        WHERE contains(b, '://')
+    ), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+    reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+    urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT a FROM both_ways),
+    parsed AS (
+        SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls
+    ), judged AS (
+        SELECT p.url, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS ruling
+        FROM parsed p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+        GROUP BY ALL
+    ), alias AS (
+        SELECT r.a AS url, min(j.ruling) AS verdict FROM reach r JOIN judged j ON j.url = r.b WHERE j.ruling IS NOT NULL GROUP BY r.a
+    )
+    SELECT page_id, coalesce(j.host, '') AS host, coalesce(j.path, '') AS path, j.rule, coalesce(j.ruling, a.verdict, 'allow') AS verdict
+    FROM pages p LEFT JOIN judged j ON p.url = j.url LEFT JOIN alias a ON p.url = a.url
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.verdicts(pages, rules, url_filter.page_edges(pages)).drop("via")
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

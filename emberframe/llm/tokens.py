@@ -35,6 +35,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes that each id stands for
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -60,12 +64,27 @@ class Encoder:
 
     def _learn(self, missing: list[str]) -> None:
         split = {p: self._atoms(p) for p in missing}
-        atoms = list({a for parts in split.values() for a in parts} - self.pieces.keys())
-        self.pieces.update(zip(atoms, self._whole(atoms)))
+        atoms = list({a for parts in split.values() for a in parts if a not in self.pieces})
+        spaced = [a for a in atoms if a[:1] == " " and a[1:].isalpha()]
+        bare = [a for a in atoms if a.isalpha()]
+        other = [a for a in atoms if not (a.isalpha() or a[:1] == " " and a[1:].isalpha())]
+        self.pieces.update(zip(other, self._whole(other)))
+        self._learn_run(spaced, spaced)
+        self._learn_run(bare, [x for a in bare for x in (a, "\n")])
         for piece, parts in split.items():
             if len(parts) > 1:
                 self.pieces[piece] = b"".join(map(self.pieces.__getitem__, parts))
 
+    def _learn_run(self, atoms: list[str], run: list[str]) -> None:
+        """Ids of words of letters, encoded as one text and cut by the bytes that each id stands for."""
+        if not atoms:
+            return
+        packed = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, self.kind)
+        ends = np.cumsum([len(x.encode()) for x in run])
+        cuts = np.searchsorted(np.cumsum(self.sizes[packed]), ends) + 1
+        for k, atom in zip(range(0, len(run), len(run) // len(atoms)), atoms):
+            self.pieces[atom] = packed[cuts[k - 1] if k else 0 : cuts[k]].tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text; none for a null or empty one."""
         if not text:

@@ -30,7 +30,7 @@ REACH = SPAN - GRAM + 1
 #: Bits of the filter of repeated anchors: 4 MB. It lets more places through as it fills, never fewer.
 CELLS = 1 << 25
 #: Records that a bucket of the sort holds, about; texts that make a block, in bytes.
-BUCKET, BLOCK = 2_000_000, 8 << 20
+BUCKET, BLOCK = 1_000_000, 3 << 20
 KNOWN = 65535
 
 

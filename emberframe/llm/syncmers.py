@@ -73,26 +73,18 @@ def likeness(one: Column, two: Column) -> Column:
     return F.when(most == 0, 1.0).otherwise(both / F.size(lowest))
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, third, is_last) of each distinct doc_id: the next smaller one; after the smallest the largest.
+#: Bytes of text that a range of doc_ids holds, about, and most ranges; beyond, ranges grow and their sorts spill.
+RANGE, RANGES = 16 << 20, 20_000
 
-    third: the most code points that a row with that doc_id takes from the next document. A null doc_id is
-    below all others. Ids are dealt by range and put in order within each range; the ranges' ends are linked
-    by one row a range.
-    """
-    ids = docs.groupBy("doc_id").agg(F.max(F.floor(F.length(F.coalesce("text", F.lit(""))) / 3).cast("int")).alias("third"))
-    dealt = settle(ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
-    order = F.col("doc_id").asc_nulls_first()
-    ranges = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
-    below = F.lag(F.struct(F.col("top"))).over(Window.orderBy("part"))
-    wrap = F.struct(F.last("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
-    ends = ranges.select("part", F.coalesce(below, wrap).alias("below"))
-    own = F.lag(F.struct(F.col("doc_id").alias("top"))).over(Window.partitionBy("part").orderBy(order))
-    return (
-        dealt.withColumn("own", own)
-        .join(ends, "part")
-        .select("doc_id", "third", F.coalesce("own", "below").getField("top").alias("next_id"))
-    )
+
+def ranges(docs: DataFrame) -> DataFrame:
+    """docs with range: the number of the doc_id's range, ascending; equal ids share one, null ids are in range 0."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(int(size // RANGE) + 1, RANGES)
+    cuts = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<double>")
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))))
+    return docs.withColumn("range", at.cast("int"))
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
@@ -101,37 +93,46 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     The edited text has its last third of code points replaced by the first as many (or all) of the next
     document's text. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. Null texts are empty. Rows that share a doc_id have one place in the order, and the one with
-    the smallest text hash stands for it as the next; every row is returned. Other columns are ignored; an
-    empty table gives an empty result; a single document is its own next.
+    the smallest text hash stands for it as the next; every row is returned. A null doc_id is below all
+    others. Other columns are ignored; an empty table gives an empty result; a single document is its own next.
+
+    Texts are shuffled once, to their range of doc_ids, and in order there; the next document is the row
+    before. One row a range crosses to the range above, found by the ranges' own table.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = neighbours(docs)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    fronts = (
-        rows.withColumn("nth", first)
-        .where("nth = 1")
-        .select(F.col("doc_id").alias("front_id"), "text")
-        .join(links, F.col("front_id").eqNullSafe(F.col("next_id")))
-        .select(
-            F.col("doc_id").alias("own_id"),
-            F.substring(F.col("text"), F.lit(1), F.col("third")).alias("front"),
-            anchors(F.col("text")).alias("next_found"),
+    rows = ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    tops = settle(
+        rows.groupBy("range").agg(
+            F.max_by(F.struct("doc_id", "text"), F.struct(F.col("doc_id").isNotNull(), "doc_id", -(F.xxhash64("text") / 2))).alias("top")
         )
     )
-    third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("front"), F.lit(1), third)
+    numbers = Window.orderBy("range")
+    highest = F.max("range").over(numbers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    below = (
+        tops.select("range", F.coalesce(F.lag("range").over(numbers), highest).alias("other"))
+        .join(tops.select(F.col("range").alias("other"), F.col("top.text").alias("below")), "other")
+        .select("range", "below")
     )
-    texts = rows.join(fronts, F.col("doc_id").eqNullSafe(F.col("own_id"))).select(
-        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_found"
+    tie = (F.xxhash64("text") / 2).alias("tie")
+    dealt = rows.select("doc_id", "text", "range", tie).repartition("range").withColumn("found", anchors(F.col("text")))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie").desc())
+    before = F.lag(F.struct("text", "found")).over(Window.partitionBy("range").orderBy(*order))
+    first = F.first("before").over(Window.partitionBy("range", "doc_id").orderBy(F.col("tie").desc()))
+    third = F.floor(F.length("text") / 3).cast("int")
+    front = F.substring(F.coalesce(F.col("after.text"), F.col("below")), F.lit(1), third)
+    texts = (
+        dealt.withColumn("before", before)
+        .withColumn("after", first)
+        .join(below, "range")
+        .select(
+            "doc_id",
+            "found",
+            F.length("text").cast("long").alias("n_chars"),
+            F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), front).alias("edited"),
+            F.when(F.col("after").isNotNull(), F.col("after.found")).otherwise(anchors(F.col("below"))).alias("next_found"),
+        )
     )
     found = texts.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        anchors(F.col("text")).alias("found"),
-        anchors(F.col("edited")).alias("edited_found"),
-        "next_found",
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found", anchors(F.col("edited")).alias("edited_found"), "next_found"
     )
     return found.select(
         "doc_id",

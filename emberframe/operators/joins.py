@@ -67,8 +67,10 @@ def interval_join(
 
     Windows are cut into time buckets so the join is an equi join on (keys,
     bucket) that spreads a hot key over its buckets. With overlapping windows the
-    one of lowest ``rank`` wins per ``row_id``.
+    one of lowest ``rank`` wins per ``row_id``; both must then be given.
     """
+    if not disjoint and (row_id is None or rank is None):
+        raise ValueError("overlapping windows need row_id and rank")
     tile = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
     tiled = windows.withColumn("_tile", F.explode(F.sequence(tile(start), tile(end))))
     placed = rows.withColumn("_tile", tile(at))

@@ -276,10 +276,13 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -
     """Join whole-group aggregates back to the rows.
 
     The aggregate combines map-side; the join is broadcast by size or, for many
-    groups, a shuffle join whose hot key AQE splits.
+    groups, a shuffle join whose hot key AQE splits. A null key is a group like any other.
     """
     totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(totals, keys)
+    own = {key: f"_group_{i}" for i, key in enumerate(keys)}
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in own.items()]
+    rest = [c for c in df.columns if c not in keys]
+    return df.join(totals.withColumnsRenamed(own), same).select(*keys, *rest, *stats)
 
 
 def islands(

@@ -21,6 +21,7 @@ from emberframe.functions.scale import (
     fits_one_task,
     setting,
 )
+from emberframe.operators.keys import join_same
 
 _CHUNK = "_chunk"
 
@@ -221,7 +222,7 @@ def scan(
         local[f"_local_{name}"] = _local(step, window)
         if step.kind in ("previous", "following"):
             local[f"_first_{name}"] = F.row_number().over(window) == 1
-    joined = pieces.withColumns(local).join(carries, at, "left")
+    joined = join_same(pieces.withColumns(local), carries, at, "left")
     result = {
         name: _stitched(
             step,

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.scale import fits_one_task
+from emberframe.operators.keys import join_same
 
 _SLICES_PER_OCTAVE = 512
+_LARGEST = sys.float_info.max
 
 
 def _magnitude_slice(value: Column) -> Column:
-    """An integer that never decreases as ``value`` grows, fine enough to split a group."""
-    size = F.floor((F.log2(F.abs(value)) + 1100) * _SLICES_PER_OCTAVE).cast("long")
+    """An integer that never decreases as ``value`` grows, fine enough to split a group.
+
+    Infinities share the slices of the largest finite values, and NaN, which sorts last, the highest.
+    """
+    size = F.floor((F.log2(F.least(F.abs(value), F.lit(_LARGEST))) + 1100) * _SLICES_PER_OCTAVE).cast("long")
     return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size + 1).otherwise(-size - 1)
 
 
 def _interpolated(low: Column, high: Column, position: Column) -> Column:
-    share = position - F.floor(position)
-    return low + (high - low) * share
+    """As ``percentile`` does it: equal neighbours give their value, so infinities stay what they are."""
+    between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+    return F.when(low == high, low).otherwise(between)
 
 
 def exact_quantiles(
@@ -93,7 +101,7 @@ def exact_quantiles(
     ).drop("_in_slice")
     needed = hit.select(*keys, "_slice", "_before").distinct()
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    ranked = counted.join(needed, [*keys, "_slice"]).withColumn(
+    ranked = join_same(counted, needed, [*keys, "_slice"]).withColumn(
         "_upto",
         F.col("_before")
         + F.sum("_n").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
@@ -102,8 +110,7 @@ def exact_quantiles(
         *keys, "_slice", "_v", (F.col("_upto") - F.col("_n")).alias("_from"), "_upto"
     )
     picked = (
-        hit.drop("_before")
-        .join(ranked, [*keys, "_slice"])
+        join_same(hit.drop("_before"), ranked, [*keys, "_slice"])
         .groupBy(*keys, "_name")
         .agg(
             F.max("_position").alias("_position"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.operators.joins import first_per_key
+from emberframe.operators.keys import join_same
 from emberframe.operators.ordered import (
     Series,
     following,
@@ -98,7 +99,8 @@ def average_rank(
     by_value = Series(tuple(keys), (value,))
     ranked = scan(counted, by_value, {"_upto": running_sum(F.col("_n"))}, rows_per_chunk=rows_per_chunk)
     rank = (F.col("_upto") - F.col("_n")) + (F.col("_n") - 1) / 2
-    return df.join(ranked.select(*keys, value, rank.alias(name)), [*keys, value])
+    valued = ranked.where(F.col(value).isNotNull()).select(*keys, value, rank.alias(name))
+    return join_same(df, valued, [*keys, value])
 
 
 def interpolate_missing(

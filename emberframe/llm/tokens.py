@@ -39,7 +39,8 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes that each id stands for
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # by word, with the space before it
+        self.pieces: dict[str, bytes] = {}  # without one
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -62,28 +63,55 @@ class Encoder:
                 out.append(line)
         return out
 
-    def _learn(self, missing: list[str]) -> None:
-        split = {p: self._atoms(p) for p in missing}
-        atoms = list({a for parts in split.values() for a in parts if a not in self.pieces})
-        spaced = [a for a in atoms if a[:1] == " " and a[1:].isalpha()]
-        bare = [a for a in atoms if a.isalpha()]
-        other = [a for a in atoms if not (a.isalpha() or a[:1] == " " and a[1:].isalpha())]
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of words that follow a space; words of letters and their punctuation apart."""
+        letters, ended, split = set(), [], {}
+        for word in missing:
+            if word.isalpha():
+                letters.add(word)
+            elif word[-1:] and word[-1] in PUNCTUATION and word[:-1].isalpha():
+                ended.append(word)
+            else:
+                split[word] = self._atoms(" " + word)
+        stems = {word[:-1] for word in ended}
+        atoms = {word[-1] for word in ended}
+        for atom in (x for parts in split.values() for x in parts):
+            if atom[0] == " " and atom[1:].isalpha():
+                stems.add(atom[1:])
+            else:
+                atoms.add(atom)
+        letters.update(x for x in stems if x not in self.words)
+        atoms = [x for x in atoms if x not in self.pieces]
+        bare = [x for x in atoms if x.isalpha()]
+        other = [x for x in atoms if not x.isalpha()]
         self.pieces.update(zip(other, self._whole(other)))
-        self._learn_run(spaced, spaced)
-        self._learn_run(bare, [x for a in bare for x in (a, "\n")])
-        for piece, parts in split.items():
-            if len(parts) > 1:
-                self.pieces[piece] = b"".join(map(self.pieces.__getitem__, parts))
-
-    def _learn_run(self, atoms: list[str], run: list[str]) -> None:
-        """Ids of words of letters, encoded as one text and cut by the bytes that each id stands for."""
+        self.pieces.update(self._run(bare, [x for atom in bare for x in (atom, "\n")]))
+        self.words.update(self._run(list(letters), [" " + x for x in letters]))
+        for word in ended:
+            self.words[word] = self.words[word[:-1]] + self.pieces[word[-1]]
+        for word, parts in split.items():
+            spaced = parts[0][1:] if parts[0][1:].isalpha() else None
+            head = self.words[spaced] if spaced else self.pieces[parts[0]]
+            self.words[word] = b"".join([head, *map(self.pieces.__getitem__, parts[1:])])
+
+    def _run(self, atoms: list[str], run: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of letters and their ids, encoded as one text and cut by the bytes that each id stands for."""
         if not atoms:
-            return
-        packed = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, self.kind)
-        ends = np.cumsum([len(x.encode()) for x in run])
-        cuts = np.searchsorted(np.cumsum(self.sizes[packed]), ends) + 1
-        for k, atom in zip(range(0, len(run), len(run) // len(atoms)), atoms):
-            self.pieces[atom] = packed[cuts[k - 1] if k else 0 : cuts[k]].tobytes()
+            return iter(())
+        packed = self._whole(["".join(run)])[0]
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in run])
+        cuts = np.searchsorted(np.cumsum(self.sizes[np.frombuffer(packed, self.kind)]), ends) + 1
+        bounds = [0, *(cuts * self.kind.itemsize).tolist()]
+        step = len(run) // len(atoms)
+        return zip(atoms, (packed[a:b] for a, b in zip(bounds[:-1:step], bounds[1::step])))
+
+    def _bare(self, piece: str) -> bytes:
+        """Ids of a piece that follows no space: the first of a text."""
+        atoms = self._atoms(piece)
+        missing = [x for x in atoms if x not in self.pieces]
+        if missing:
+            self.pieces.update(zip(missing, self._whole(missing)))
+        return b"".join(map(self.pieces.__getitem__, atoms))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text; none for a null or empty one."""
@@ -93,16 +121,16 @@ class Encoder:
             return self._whole([text])[0]
         out = []
         for part in _parts(text):
-            words = part.split(" ")
-            pieces = words[:1] if words[0] else []
-            pieces += [" " + w for w in words[1:]]
-            missing = list({p for p in pieces if p not in self.pieces})
-            if missing:
-                if len(self.pieces) > CACHE:
-                    self.pieces = {}
-                    missing = list(set(pieces))
-                self._learn(missing)
-            out.append(b"".join(map(self.pieces.__getitem__, pieces)))
+            if len(self.words) + len(self.pieces) > CACHE:
+                self.words, self.pieces = {}, {}
+            first, *words = part.split(" ")
+            if first:
+                out.append(self._bare(first))
+            found = list(map(self.words.get, words))
+            if None in found:
+                self._learn({word for word, ids in zip(words, found) if ids is None})
+                found = map(self.words.__getitem__, words)
+            out += found
         return b"".join(out)
 
 

@@ -81,8 +81,8 @@ def _pieces(path: str, end_id: int, size: int, max_piece_attention: int):
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows, which, starts, lengths, sums, places = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(np.frombuffer(encode.encode(text), encode.kind).astype("<u4"), np.array([end_id], "<u4"))
+            for row, own in enumerate(encode.encode_all(batch.column(1).to_pylist())):
+                ids = np.append(np.frombuffer(own, encode.kind).astype("<u4"), np.array([end_id], "<u4"))
                 cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)] if len(ids) > size else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     rows.append(row)

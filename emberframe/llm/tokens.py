@@ -10,13 +10,15 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces kept by each worker; then it starts anew.
 CACHE = 1_000_000
+#: Code points whose words are looked up together; longer texts are cut there.
+GROUP = 1 << 19
 PUNCTUATION = ".,;:!?"
 #: Where pieces would not give the same ids as the whole.
 RUNS = re.compile(r"   |  \Z")
@@ -105,13 +107,46 @@ class Encoder:
         step = len(run) // len(atoms)
         return zip(atoms, (packed[a:b] for a, b in zip(bounds[:-1:step], bounds[1::step])))
 
-    def _bare(self, piece: str) -> bytes:
-        """Ids of a piece that follows no space: the first of a text."""
-        atoms = self._atoms(piece)
-        missing = [x for x in atoms if x not in self.pieces]
+    def _learn_bare(self, pieces: set[str]) -> dict[str, list[str]]:
+        """Atoms of pieces that follow no space, the first ones of texts; all of them are known afterwards."""
+        atoms = {piece: self._atoms(piece) for piece in pieces}
+        missing = list({x for own in atoms.values() for x in own}.difference(self.pieces))
         if missing:
             self.pieces.update(zip(missing, self._whole(missing)))
-        return b"".join(map(self.pieces.__getitem__, atoms))
+        return atoms
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without runs of spaces; what is new in any of them is encoded together."""
+        if len(self.words) + len(self.pieces) > CACHE:
+            self.words, self.pieces = {}, {}
+        rows = [text.split(" ") for text in texts]
+        firsts = [row.pop(0) for row in rows]
+        fresh = set().union(*rows).difference(self.words)
+        if fresh:
+            self._learn(fresh)
+        atoms = self._learn_bare({x for x in firsts if x})
+        word, piece = self.words.__getitem__, self.pieces.__getitem__
+        return [b"".join([*map(piece, atoms.get(first, ())), *map(word, row)]) for first, row in zip(firsts, rows)]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of whole texts, in order; none for a null or empty one. At most about two GROUPs are held."""
+        ready: list[bytes | None] = []
+        group, size = [], 0
+        for text in texts:
+            if text and len(text) <= GROUP and not RUNS.search(text):
+                ready.append(None)
+                group.append(text)
+                size += len(text)
+            else:
+                ready.append(self.encode(text) if text else b"")
+            if size > GROUP:
+                yield from self._filled(ready, group)
+                ready, group, size = [], [], 0
+        yield from self._filled(ready, group)
+
+    def _filled(self, ready: list[bytes | None], group: list[str]) -> Iterator[bytes]:
+        found = iter(self._group(group) if group else ())
+        return (next(found) if x is None else x for x in ready)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text; none for a null or empty one."""
@@ -119,22 +154,10 @@ class Encoder:
             return b""
         if RUNS.search(text):
             return self._whole([text])[0]
-        out = []
-        for part in _parts(text):
-            if len(self.words) + len(self.pieces) > CACHE:
-                self.words, self.pieces = {}, {}
-            first, *words = part.split(" ")
-            if first:
-                out.append(self._bare(first))
-            found = list(map(self.words.get, words))
-            if None in found:
-                self._learn({word for word, ids in zip(words, found) if ids is None})
-                found = map(self.words.__getitem__, words)
-            out += found
-        return b"".join(out)
-
-
-def _parts(text: str, size: int = 1 << 20) -> Iterator[str]:
+        return b"".join(x for part in _parts(text) for x in self._group([part]))
+
+
+def _parts(text: str, size: int = GROUP) -> Iterator[str]:
     """A long text in parts that begin at a space between two other signs."""
     at = 0
     while len(text) - at > size:

@@ -172,8 +172,8 @@ def _shards(path: str, end_id: int):
         last = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             kind = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = encode.encode(text) + last
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1).to_pylist())):
+                own += last
                 ids.append(own)
                 docs.append(doc_id)
                 n += len(own) // encode.kind.itemsize

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,10 @@ PARTS = 128
 #: Bits of the filter that says which documents' whole sets are wanted: a fixed 2 MB. It lets more through
 #: as it fills, and what it lets through is matched exactly afterwards.
 WANTED = 1 << 24
+#: Orders in which buckets choose their pivot in a round, so many different pivots a class meets at most.
+PIVOTS = 8
+#: Rounds of pivots go on while at least one try in so many links. Any number gives the same groups.
+WORTHWHILE = 10
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
@@ -131,6 +136,22 @@ def _may_link(n_a: Column, n_b: Column, at_a: Column, at_b: Column, percent: int
     return (low * 100 >= high * percent) & (left.cast("long") * (100 + percent) >= (n_a.cast("long") + n_b) * percent)
 
 
+def _other(number: int, percent: int) -> Column:
+    """The class of another group in its bucket that a class is tried against in a round: a pivot, else the one before it.
+
+    Buckets order their classes by one of PIVOTS hashes, other ones each round, so a class that shares many
+    buckets with its group meets several pivots, not the same one everywhere.
+    """
+    seed = F.pmod("gram", F.lit(PIVOTS)) + number * PIVOTS
+    order = Window.partitionBy("gram").orderBy(F.xxhash64("sign", seed), "sign")
+
+    def tried(turned: Callable[[str], Column]) -> Column:
+        may = _may_link(F.col("n"), turned("n").over(order), F.col("at"), turned("at").over(order), percent)
+        return F.when(may & (F.col("grp") != turned("grp").over(order)), turned("sign").over(order))
+
+    return F.coalesce(tried(F.first), tried(F.lag))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The written (a, b) of those pairs of classes whose sets meet the similarity.
 
@@ -179,10 +200,11 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     table gives an empty result.
 
     Documents with equal sets are one class. Classes meet in buckets of their prefix shingles, rare cells
-    first. In each bucket every class is tried against one pivot, in linear number; groups found so far are
-    contracted; then only classes of different groups that still share a bucket are tried against each
-    other. So no pairs within a group are made, and no link between groups is lost. Each pair is verified
-    once on the whole sets.
+    first. In each bucket every class is tried against one pivot of another group, in linear number; groups
+    found so far are contracted, and rounds with other pivots follow while they find links often enough.
+    Then only classes of different groups that still share a bucket are tried against each other. So no
+    pairs within a found group are made, and no link between groups is lost. Each pair is verified once on
+    the whole sets.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -197,34 +219,29 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     )
     levels = spark.sparkContext.broadcast(_levels(members))
     entries = docs.select("text").mapInArrow(_entries(width, percent, levels), "gram long, sign long, n int, at int")
-
-    in_order = Window.partitionBy("gram").orderBy("n", "sign")
-
-    def tried(turned: Callable[[str], Column]) -> Column:
-        return F.when(
-            _may_link(F.col("n"), turned("n").over(in_order), F.col("at"), turned("at").over(in_order), percent),
-            turned("sign").over(in_order),
-        )
-
-    buckets = settle(
-        entries.select(
-            "*",
-            F.coalesce(tried(F.first), tried(F.lag)).alias("other"),
-            F.coalesce(F.lag("sign").over(in_order), F.lead("sign").over(in_order)).alias("beside"),
-        )
+    any_order = Window.partitionBy("gram").orderBy("sign")
+    beside = F.coalesce(F.lag("sign").over(any_order), F.lead("sign").over(any_order))
+    buckets = open_ = settle(
+        entries.select("*", F.col("sign").alias("grp"), beside.alias("beside"))
         .where("beside is not null")
-        .drop("beside")
-    )
-    first = (
-        buckets.where("other <> sign").select(F.least("sign", "other").alias("a"), F.greatest("sign", "other").alias("b")).distinct()
+        .select("gram", "sign", "n", "at", "grp", _other(0, percent).alias("other"))
     )
-    links = _verified(docs, first, classes, width, percent)
-    groups = connected_components(links)
-    named = buckets.select("gram", "sign", "n", "at").join(
-        groups.select(F.col("node").alias("sign"), "component"), "sign", "left"
-    ).select("gram", "sign", "n", "at", F.coalesce("component", "sign").alias("grp"))
-    split = named.groupBy("gram").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("gram")
-    open_ = settle(named.join(split, "gram", "left_semi"))
+    links = first = None
+    for number in itertools.count(1):
+        tries = (
+            open_.where("other <> sign").select(F.least("sign", "other").alias("a"), F.greatest("sign", "other").alias("b")).distinct()
+        )
+        tries = settle(tries if first is None else tries.join(first, ["a", "b"], "left_anti"))
+        found = _verified(docs, tries, classes, width, percent)
+        first, links = (tries, found) if first is None else (first.union(tries), links.union(found))
+        groups = connected_components(links)
+        named = buckets.select("gram", "sign", "n", "at").join(
+            groups.select(F.col("node").alias("sign"), "component"), "sign", "left"
+        ).select("gram", "sign", "n", "at", F.coalesce("component", "sign").alias("grp"))
+        split = named.groupBy("gram").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("gram")
+        open_ = settle(named.join(split, "gram", "left_semi").select("*", _other(number, percent).alias("other")))
+        if found.count() * WORTHWHILE <= tries.count():
+            break
     one, two = (open_.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("sign", "n", "at", "grp"))) for k in "ab")
     rest = (
         one.join(two, "gram")

@@ -151,6 +151,15 @@ def test_encoder_equals_whole_encoding():
         assert np.frombuffer(own.encode(text), own.kind).tolist() == want, text
 
 
+def test_encoder_of_many_texts_keeps_their_order(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 40)
+    texts = [None, "", "a b c", "one two. three\nfour " * 9 + "end", "x   y", None, "b, c d", "  ", "one two. three", "a b c", ""]
+    own = tokens.Encoder(tokens.default_path())
+    got = [np.frombuffer(x, own.kind).tolist() for x in own.encode_all(texts)]
+    assert got == whole_ids(texts)
+    assert list(own.encode_all([])) == []
+
+
 def test_encoder_on_the_table(spark):
     texts = [r.text for r in spark.read.parquet(f"{ROOT}/sf0.001/documents.parquet").select("text").collect()]
     own = tokens.Encoder(tokens.default_path())

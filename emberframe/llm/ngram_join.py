@@ -30,6 +30,10 @@ WANTED = 1 << 24
 PIVOTS = 8
 #: Rounds of pivots go on while at least one try in so many links. Any number gives the same groups.
 WORTHWHILE = 10
+#: A group of linked classes is cut into blocks of about so many classes and shingles; blocks meet pairwise.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
+#: Cells of the 0/1 matrix of a block that is multiplied at once: a fixed 16 MB.
+MATRIX = 1 << 22
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
@@ -152,11 +156,114 @@ def _other(number: int, percent: int) -> Column:
     return F.coalesce(tried(F.first), tried(F.lag))
 
 
+def _shared(sets: list[np.ndarray], second: int) -> np.ndarray:
+    """Shared shingles of each set before ``second`` with each set from there on; of all with all if it is 0."""
+    lengths = [len(x) for x in sets]
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    split = second or len(sets)
+    out = np.zeros((split, len(sets) - second), np.int64)
+    width = max(1, MATRIX // len(sets))
+    for low in range(0, len(names), width):
+        part = slice(*np.searchsorted(at, (low, low + width)))
+        held = np.zeros((len(sets), min(width, len(names) - low)), np.float32)
+        held[row[part], at[part] - low] = 1
+        out += (held[:split] @ held[second:].T).astype(np.int64)
+    return out
+
+
+def _degrees(percent: int):
+    """Links of each class within its job: the pairs of one block, or those between two."""
+
+    def of_job(one: int, two: int, rows: dict[int, tuple[int, np.ndarray]]) -> tuple[list[int], np.ndarray]:
+        signs = sorted(rows, key=lambda s: rows[s][0] != one)
+        sets = [rows[s][1] for s in signs]
+        second = sum(rows[s][0] == one for s in signs) if one != two else 0
+        if one != two and not 0 < second < len(signs):
+            return [], np.zeros(0, np.int64)
+        n = np.array([len(x) for x in sets], np.int64)
+        shared = _shared(sets, second)
+        split = second or len(sets)
+        linked = shared * 100 >= (n[:split, None] + n[None, second:] - shared) * percent
+        if one != two:
+            return signs, np.concatenate([linked.sum(1), linked.sum(0)])
+        np.fill_diagonal(linked, False)
+        return signs, linked.sum(1)
+
+    def degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, rows = None, {}
+
+        def out() -> pa.RecordBatch:
+            signs, links = of_job(job[1], job[2], rows)
+            return pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(links, pa.int64())], ["sign", "links"])
+
+        for batch in batches:
+            grp, one, two, block, sign = (batch.column(k).to_pylist() for k in range(5))
+            sets = batch.column(5)
+            values, bounds = sets.values.to_numpy(), sets.offsets.to_numpy()
+            for k in range(len(batch)):
+                if (grp[k], one[k], two[k]) != job:
+                    if rows:
+                        yield out()
+                    job, rows = (grp[k], one[k], two[k]), {}
+                rows[sign[k]] = block[k], values[bounds[k] : bounds[k + 1]].copy()  # rows that repeat a class are one
+        if rows:
+            yield out()
+
+    return degrees
+
+
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """(sign, links) of the classes of groups of two or more, every pair within a group counted on the whole sets.
+
+    Groups are complete, so no link leaves one. A group of two is one link. A larger one is cut by hash into blocks, and
+    each pair of blocks is one job with both blocks' sets at hand, so a hot group is many even jobs and no pair is a row.
+    """
+    grouped = classes.join(groups.select(F.col("node").alias("sign"), F.col("component").alias("grp")), "sign").select("sign", "key", "n", "grp")
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    placed = settle(
+        grouped.join(sizes, "grp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sign"), "blocks").cast("int"))
+    )
+    two = placed.where("m = 2").select("sign", F.lit(1).cast("long").alias("links"))
+    larger = placed.where("m > 2").select("sign", "key", "grp", "block", "blocks")
+    sets = _whole_sets(docs, larger.select("sign", "key"), width)
+    if sets is None:
+        return two
+    jobs = (
+        larger.join(sets, ["sign", "key"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "sign", "grams")
+        .repartition("grp", "one", "two")
+        .sortWithinPartitions("grp", "one", "two")
+    )
+    counted = jobs.mapInArrow(_degrees(percent), "sign long, links long").groupBy("sign").agg(F.sum("links").alias("links"))
+    return two.union(counted)
+
+
+def _whole_sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame | None:
+    """The written (sign, key, grams) of those classes, and some more, from the texts of one document each; None of none.
+
+    A filter of fixed size finds the documents without a join on texts.
+    """
+    cells = ends.select(F.col("sign").bitwiseXOR(F.col("key")).bitwiseAND(WANTED - 1).cast("int").alias("cell")).distinct().toArrow()
+    bits = np.zeros(WANTED, bool)
+    bits[cells.column(0).to_numpy()] = True
+    if not bits.any():
+        return None
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    return settle(
+        docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_sets(width, wanted), "sign long, key long, grams array<long>")
+    )
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The written (a, b) of those pairs of classes whose sets meet the similarity.
 
     The suffix filter on part counts comes first. The whole sets of the classes in what is left are made
-    anew from the texts of one document each, which a filter of fixed size finds without a join on texts.
+    anew.
     """
     side = lambda c: classes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("sign", "key", "n", "parts")))
     near = settle(
@@ -169,16 +276,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
         )
         .select("a", "key_a", "b", "key_b")
     )
-    ends = near.select("a", "key_a").union(near.select("b", "key_b"))
-    cells = ends.select(F.col("a").bitwiseXOR(F.col("key_a")).bitwiseAND(WANTED - 1).cast("int").alias("cell")).distinct().toArrow()
-    bits = np.zeros(WANTED, bool)
-    bits[cells.column(0).to_numpy()] = True
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    if not bits.any():
+    sets = _whole_sets(docs, near.select(F.col("a").alias("sign"), F.col("key_a").alias("key")).union(near.select("b", "key_b")), width)
+    if sets is None:
         return near.select("a", "b")
-    sets = settle(
-        docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_sets(width, wanted), "sign long, key long, grams array<long>")
-    )
     both = near.join(sets.toDF("a", "key_a", "grams_a"), ["a", "key_a"]).join(sets.toDF("b", "key_b", "grams_b"), ["b", "key_b"])
     shared = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
     return settle(
@@ -195,16 +295,16 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     Two documents link when 100 * shared >= percent * united distinct shingles of ``width`` words (A-Z
     lowered, split at white space). Fewer words are one shingle; without words or text a document has no
     shingle and no link. component_id is the smallest doc_id reachable; a null doc_id is in no order and
-    never names a group unless alone in it. n_links counts the links of a document's class that were
-    verified, not those implied by the group. Rows repeat as they come; other columns are ignored; an empty
+    never names a group unless alone in it. n_links counts the other classes that a document's class links
+    to, all of them, each verified on the whole sets. Rows repeat as they come; other columns are ignored; an empty
     table gives an empty result.
 
     Documents with equal sets are one class. Classes meet in buckets of their prefix shingles, rare cells
     first. In each bucket every class is tried against one pivot of another group, in linear number; groups
     found so far are contracted, and rounds with other pivots follow while they find links often enough.
     Then only classes of different groups that still share a bucket are tried against each other. So no
-    pairs within a found group are made, and no link between groups is lost. Each pair is verified once on
-    the whole sets.
+    link between groups is lost, and every link lies within a group. The links are counted last: in groups of
+    more than two classes every pair is verified, blocks of classes meeting as matrices (see ``_links``).
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -256,8 +356,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     )
     more = _verified(docs, rest, classes, width, percent)
     every = links.union(more)
-    groups = connected_components(every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("sign")).groupBy("sign").agg(F.count("*").alias("links"))
+    groups = settle(connected_components(every))
+    degree = _links(docs, classes, groups, width, percent)
     classes = (
         classes.join(groups.select(F.col("node").alias("sign"), "component"), "sign", "left")
         .join(degree, "sign", "left")

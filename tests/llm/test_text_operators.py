@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -61,6 +62,47 @@ def test_similar_groups_of_the_table(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 4, 85)
 
 
+def brute_links(rows, width, percent):
+    """Other distinct shingle sets that each row's set links to."""
+    sets = [shingle_set(t, width) for _, t in rows]
+    classes = {s for s in sets if s}
+    links = {s: sum(x != s and 100 * len(x & s) >= percent * len(x | s) for x in classes) for s in classes}
+    return sorted((i, links.get(s, 0)) for (i, _), s in zip(rows, sets))
+
+
+def test_links_within_groups_all_count(spark, monkeypatch):
+    words = [f"w{i}" for i in range(100)]
+    near = [(k, " ".join([*words[:k], "edit", *words[k + 1 :]])) for k in range(0, 100, 3)]
+    near += [(200 + k, " ".join(words[: 60 + 2 * k])) for k in range(20)]
+    near += [(300, "p q r s t u"), (301, "p q r s t u v"), (302, None), (303, near[0][1]), (303, near[0][1])]
+    want = brute_links(near, 4, 85)
+    assert max(n for _, n in want) > 20
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 7)
+    got = ngram_join.similar_groups(documents(spark, [(i, t, "en", "s", 0, *"wxyz") for i, t in near]), 4, 85).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == want
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 300])
+def test_blocks_meet_pairwise(monkeypatch, cells):
+    monkeypatch.setattr(ngram_join, "MATRIX", cells)
+    rng = np.random.default_rng(1)
+    base = rng.integers(1 << 60, size=120)
+    sets = [np.unique(np.where(rng.random(120) < 0.04, rng.integers(1 << 60, size=120), base)[: rng.integers(95, 121)]) for _ in range(40)]
+    like = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    want = {k: sum(like(a, b) for j, b in enumerate(sets) if j != k) for k, a in enumerate(sets)}
+    rows = [(7, *sorted((k % 3, o)), k % 3, k, s) for k, s in enumerate(sets) for o in range(3)]
+    rows = sorted(rows + rows[:5], key=lambda r: r[:3])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 11]), kinds)], list("abcdef")) for i in range(0, len(rows), 11)
+    ]
+    got = Counter()
+    for batch in ngram_join._degrees(85)(batches):
+        for sign, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got[sign] += n
+    assert dict(got) == want and max(want.values()) > 20
+
+
 def test_similar_groups_of_nothing(spark):
     assert ngram_join.similar_groups(documents(spark, [])).count() == 0
     row = ngram_join.similar_groups(documents(spark, [(None, "a b c", None, None, None, *"wxyz")])).collect()

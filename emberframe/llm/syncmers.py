@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from emberframe.operators.settle import settle
 
-#: Units are words between white space. A k-mer is K words, its inner substrings are INNER words.
+#: Units are words between white space. A k-mer is K units, its inner substrings are INNER units.
 K, INNER = 4, 2
-#: Anchors kept of a text: those with the smallest hashes, a sample that equal passages share.
-KEPT = 96
+#: Texts with so few anchors or fewer are compared by hashes alone: too few to be lined up.
+FEW = 3
 
 
 def _let(value: Column, use) -> Column:
@@ -18,14 +18,18 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def units(text: Column) -> Column:
+    """The words of a text, in order."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+
+
 def anchors(text: Column) -> Column:
-    """Array of (hash, place) of the kept closed syncmers of a whole text, by hash.
+    """Array of (hash, place) of all closed syncmers of a whole text, by place.
 
     A k-mer is chosen if the smallest of its inner substrings (by hash) is its first or its last, which no
-    text around it can change. place is the number of the word it begins at, that of its first occurrence if
-    it comes again. The anchors of a text of fewer than K words are its words; without words there is none.
+    text around it can change. place is the number of the unit it begins at; one that comes again has every
+    place. The anchors of a text of fewer than K units are its units; without units there is none.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
     def chosen(w: Column) -> Column:
         inner = F.zip_with(
@@ -47,30 +51,58 @@ def anchors(text: Column) -> Column:
                     i.alias("place"),
                 ),
             )
-            return F.array_sort(F.filter(mers, lambda m: m["hash"].isNotNull()))
+            return F.filter(mers, lambda m: m["hash"].isNotNull())
 
-        few = F.array_sort(F.transform(w, lambda x, i: F.struct(F.xxhash64(x).alias("hash"), i.alias("place"))))
+        few = F.transform(w, lambda x, i: F.struct(F.xxhash64(x).alias("hash"), i.alias("place")))
         return F.when(F.size(w) < K, few).otherwise(_let(inner, picked))
 
-    def first_of_each(found: Column) -> Column:
-        return F.slice(F.filter(found, lambda x, i: (i == 0) | (x["hash"] != F.get(found, i - 1)["hash"])), 1, KEPT)
-
-    return _let(_let(words, chosen), first_of_each)
+    return _let(units(text), chosen)
 
 
 def fingerprint(found: Column) -> Column:
     """Anchors as text: place-hash by place, joined by commas."""
-    by_place = F.array_sort(F.transform(found, lambda x: F.struct(x["place"].alias("place"), x["hash"].alias("hash"))))
-    return F.array_join(F.transform(by_place, lambda x: F.concat_ws("-", x["place"], F.lower(F.hex(x["hash"])))), ",")
+    return F.array_join(F.transform(found, lambda x: F.concat_ws("-", x["place"], F.lower(F.hex(x["hash"])))), ",")
+
+
+def _lined_up(found: Column) -> Column:
+    """A hash for each two anchors side by side: both hashes and the offset between their places."""
+    n = F.greatest(F.size(found) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(found, 1, n), F.slice(found, 2, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a["hash"], b["hash"], b["place"] - a["place"])
+    )
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Share of the united smallest anchors, as many as the larger side keeps, that both sides hold; 1 if both are empty."""
+    """Jaccard of all anchors of both sides, lined up by offset, each as often as it comes; 1 if both are empty.
+
+    Two anchors side by side count as shared if the other side has the same two side by side at the same
+    offset from each other, so both lie at one offset between the texts, wherever that is. If a side has at most
+    FEW anchors, the hashes of both are compared without places.
+    """
+
+    def shared(a: Column, b: Column) -> Column:
+        side = lambda x, bit: F.transform(x, lambda h: h.bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.lit(bit).cast("long")))
+        key = lambda x: x.bitwiseAND(F.lit(-2).cast("long"))
+
+        def step(s: Column, x: Column) -> Column:
+            # of equal keys the first side's come first: left are those without a partner yet
+            same, first = key(x) == s["key"], x.bitwiseAND(F.lit(1).cast("long")) == 0
+            left = F.when(same, s["left"]).otherwise(0)
+            return F.struct(
+                key(x).alias("key"),
+                F.when(first, left + 1).otherwise(F.greatest(left - 1, F.lit(0))).alias("left"),
+                F.when(~first & (left > 0), s["both"] + 1).otherwise(s["both"]).alias("both"),
+            )
+
+        start = F.struct(F.lit(1).cast("long").alias("key"), F.lit(0).alias("left"), F.lit(0).alias("both"))  # no key is odd
+        both = F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda s: s["both"])
+        return _let(both, lambda n: n / (F.size(a) + F.size(b) - n))
+
     hashes = lambda c: F.transform(c, lambda x: x["hash"])
-    most = F.greatest(F.size(one), F.size(two))
-    lowest = F.slice(F.array_sort(F.array_union(hashes(one), hashes(two))), 1, F.greatest(most, F.lit(1)))
-    both = F.size(F.array_intersect(lowest, F.array_intersect(hashes(one), hashes(two))))
-    return F.when(most == 0, 1.0).otherwise(both / F.size(lowest))
+    compared = F.when(F.least(F.size(one), F.size(two)) <= FEW, F.struct(hashes(one).alias("a"), hashes(two).alias("b"))).otherwise(
+        F.struct(_lined_up(one).alias("a"), _lined_up(two).alias("b"))
+    )
+    return F.when(F.greatest(F.size(one), F.size(two)) == 0, 1.0).otherwise(_let(compared, lambda c: shared(c["a"], c["b"])))
 
 
 #: Bytes of text that a range of doc_ids holds, about, and most ranges; beyond, ranges grow and their sorts spill.

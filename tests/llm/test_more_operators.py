@@ -94,6 +94,31 @@ def test_fingerprints(spark):
         assert (f != "") == (i in whole.values())
 
 
+def test_fingerprints_keep_all_anchors(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(400)}" for _ in range(3000)]
+    whole, passage = " ".join(words), " ".join(words[1500:1550])
+    line = "the same four words of one line come again "
+    moved = " ".join(words[1500:] + words[:1500])
+    pairs = [(whole, passage), (whole, whole), (whole, moved), (line * 50, line * 5), (None, ""), ("a b", "a c")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    found = df.select("i", syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
+    got = {r.i: r for r in found.select("*", syncmers.likeness(F.col("a"), F.col("b")).alias("like")).collect()}
+
+    def lined_up(found):
+        return Counter((x.hash, y.hash, y.place - x.place) for x, y in zip(found, found[1:]))
+
+    for i in range(4):
+        one, two = lined_up(got[i].a), lined_up(got[i].b)
+        assert got[i].like == pytest.approx((one & two).total() / (one | two).total())
+    assert (got[4].like, got[5].like, got[1].like) == (1.0, pytest.approx(1 / 3), 1.0)
+    assert got[2].like > 0.99 and got[3].like < 0.2
+    assert len(got[0].a) > 1500 and len(got[0].b) > 15
+    assert {(x.hash, x.place + 1500) for x in got[0].b} <= {(x.hash, x.place) for x in got[0].a}
+
+
 def test_neighbours_and_edited_texts(spark):
     rows = edge_rows() + [(None, "no id at all", None, None, None, *"wxyz")]
     got = syncmers.compare_neighbours(documents(spark, rows)).collect()

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from emberframe.operators.settle import settle
 
-#: Units are words between white space. A k-mer is K units, its inner substrings are INNER units.
+#: Units are words between white space; a word of more than LONG characters is all its runs of GRAM characters
+#: instead. A k-mer is K units, its inner substrings are INNER units.
 K, INNER = 4, 2
+LONG, GRAM = 16, 8
+#: Matches one unit at a time: a short word, or one character of a long word with the gram that begins there.
+_SHORT = rf"(?<!\S)\S{{1,{LONG}}}(?!\S)"
+_UNIT = rf"(?=({_SHORT}|\S{{{GRAM}}}))(?:{_SHORT}|\S)"
 #: Texts with so few anchors or fewer are compared by hashes alone: too few to be lined up.
 FEW = 3
 
@@ -19,8 +24,10 @@ def _let(value: Column, use) -> Column:
 
 
 def units(text: Column) -> Column:
-    """The words of a text, in order."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    """The words of a text, in order; long ones, such as text written without spaces, as overlapping grams."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    return F.when(text.rlike(rf"\S{{{LONG + 1}}}"), F.regexp_extract_all(text, F.lit(_UNIT), F.lit(1))).otherwise(words)
 
 
 def anchors(text: Column) -> Column:

@@ -119,6 +119,24 @@ def test_fingerprints_keep_all_anchors(spark):
     assert {(x.hash, x.place + 1500) for x in got[0].b} <= {(x.hash, x.place) for x in got[0].a}
 
 
+def test_long_words_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    signs = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(500))
+    code = "".join(rng.choice("abcdefgh0123(){};") for _ in range(500))
+    text = f" one {code[:16]}\n{code[:17]}  {signs[:40]}\U0001f600 last "
+    pairs = [(x, x[:200] + y + x[201:]) for x in (signs, code) for y in ("", "Q", "QRS")] + [(text, text)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    like = syncmers.likeness(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b")))
+    got = {r.i: r for r in df.select("i", syncmers.units(F.col("a")).alias("u"), like.alias("like")).collect()}
+    assert all(0.85 < got[i].like < 1 for i in range(6)) and got[6].like == 1.0
+    want = []
+    for w in text.split():
+        want += [w] if len(w) <= 16 else [w[k : k + 8] for k in range(len(w) - 7)]
+    assert got[6].u == want
+
+
 def test_neighbours_and_edited_texts(spark):
     rows = edge_rows() + [(None, "no id at all", None, None, None, *"wxyz")]
     got = syncmers.compare_neighbours(documents(spark, rows)).collect()

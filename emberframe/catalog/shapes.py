@@ -118,9 +118,8 @@ def template_tracking(spark, root):
 
 @query("mask_tracking")
 def mask_tracking(spark, root):
-    """Warm-mask shifts against each trial's first frame, walked over runs of 180 frames."""
+    """Warm-mask shifts against each trial's first frame, walked over the whole trial."""
     stack = frames(spark, root)
-    stack = stack.withColumn("trial", F.col("trial") * 100_000 + F.floor(F.col("frame") / 1800).cast("int"))
     first = components.hand_component(pixels.first_frames(stack, 1), offset=40.0, min_area=4, min_centre_x=0.0)
     inner = F.filter("positions", lambda p: (p % 8 > 0) & (p % 8 < 7) & (p > 7) & (p < 56))
     anchors = first.select(

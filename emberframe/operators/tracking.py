@@ -224,16 +224,19 @@ TRACK_FIELDS = [
 ]
 
 
-def _walk(trial: pd.DataFrame) -> pd.DataFrame:
-    trial = trial.sort_values("frame")
-    first = trial.iloc[0]
-    anchor = {k: first[f"anchor_{k}"] for k in ("positions", "distal", "proximal", "finger_width_px")}
-    state = (0, 0, len(anchor["positions"]))
-    rows = []
-    for r in trial.itertuples(index=False):
-        state, shift, step, change, reason = advance(anchor, state, r.positions, int(r.width), int(r.height))
-        rows.append((r.trial, r.frame, *shift, step, change, reason))
-    return pd.DataFrame(rows, columns=["trial", "frame", *[f.name for f in TRACK_FIELDS]])
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by trial and frame; the state of a trial is carried from batch to batch, so no trial is held whole."""
+    trial = anchor = state = None
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            if anchor is None or r.trial != trial:
+                trial = r.trial
+                anchor = {k: getattr(r, f"anchor_{k}") for k in ("positions", "distal", "proximal", "finger_width_px")}
+                state = (0, 0, len(anchor["positions"]))
+            state, shift, step, change, reason = advance(anchor, state, r.positions, int(r.width), int(r.height))
+            rows.append((r.trial, r.frame, *shift, step, change, reason))
+        yield pd.DataFrame(rows, columns=["trial", "frame", *[f.name for f in TRACK_FIELDS]])
 
 
 def track_trials(frames: DataFrame, anchors: DataFrame, **segment) -> DataFrame:
@@ -246,7 +249,7 @@ def track_trials(frames: DataFrame, anchors: DataFrame, **segment) -> DataFrame:
     schema = T.StructType([frames.schema["trial"], frames.schema["frame"], *TRACK_FIELDS])
     walked = joined.select(
         *FRAME, "width", "height", "positions", *[f"anchor_{n}" for n in names]
-    ).groupBy("trial").applyInPandas(_walk, schema)
+    ).repartition("trial").sortWithinPartitions(*FRAME).mapInPandas(_walk, schema)
     measured = walked.join(frames, FRAME).join(held, "trial")
     width = F.col("width")
     valid = F.col("tracking_reason").isNull()

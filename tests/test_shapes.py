@@ -131,3 +131,25 @@ def test_two_clicks(stored):
     )
     r = tracking.clicked_regions(frames).first()
     assert r["reason"] is None and len(r["distal"]) >= 20 and len(r["proximal"]) >= 20
+
+
+def test_mask_tracking_walks_whole_trials(spark):
+    import pandas as pd
+
+    from emberframe.catalog import shapes
+    from tests.oracle import ROOT
+
+    got = {r.trial for r in shapes.mask_tracking(spark, f"{ROOT}/sf0.001").select("trial").distinct().collect()}
+    assert got and got <= {r.trial for r in shapes.frames(spark, f"{ROOT}/sf0.001").select("trial").distinct().collect()}
+    square = lambda at: [y * 32 + x + at for y in range(10, 22) for x in range(4, 16)]
+    inner = [y * 32 + x for y in range(12, 20) for x in range(6, 14)]
+    rows = [
+        {"trial": t, "frame": f, "width": 32, "height": 32, "positions": square(f // 3), "anchor_positions": square(0),
+         "anchor_distal": inner, "anchor_proximal": inner, "anchor_finger_width_px": 12.0}
+        for t in (1, 2) for f in range(20)
+    ]
+    frame = pd.DataFrame(rows)
+    whole = pd.concat(tracking._walk(iter([frame])))
+    parts = pd.concat(tracking._walk(frame.iloc[k : k + 7] for k in range(0, 40, 7)))
+    assert parts.reset_index(drop=True).equals(whole.reset_index(drop=True))
+    assert list(parts.shift_u) == [f // 3 for f in range(20)] * 2

@@ -30,3 +30,23 @@ def settle(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Generations:
+    """A table that is made anew round by round: each round is a written folder, and the one before it goes.
+
+    A round may read the round before; once it is written, nothing reads that one any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder: str | None = None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        folder = shared_folder(self.spark)
+        df.write.parquet(folder)
+        if self.folder is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folder = folder
+        return self.spark.read.schema(df.schema).parquet(folder)

@@ -93,9 +93,12 @@ def replay(df: DataFrame, keys: list[str], order: list[str], machine: Machine) -
     return placed.mapInPandas(run, output_schema(df, machine))
 
 
-def run_available(stream: DataFrame, spark: SparkSession, *, mode: str = "append") -> DataFrame:
-    """Process what is there now into files of the shared folder and read them back."""
-    folder = shared_folder(spark)
+def run_available(stream: DataFrame, spark: SparkSession, *, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Process what is there now into files of the shared folder and read them back.
+
+    With the ``folder`` of an earlier run the stream goes on where that one stopped.
+    """
+    folder = folder or shared_folder(spark)
     running = (
         stream.writeStream.format("parquet")
         .outputMode(mode)

@@ -8,7 +8,7 @@ from emberframe.catalog.bindings import q, table
 from emberframe.catalog.registry import query
 from emberframe.operators.ordered import Series
 from emberframe.operators.silence import silence_reports
-from emberframe.streaming import run, timed, watches
+from emberframe.streaming import run, timed, watches, windows
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -257,3 +257,168 @@ def stream_attempt_loop(spark, root):
 @query("replay_attempt_loop", ATTEMPTS_SQL)
 def replay_attempt_loop(spark, root):
     return _replayed(spark, root, ATTEMPTS, ["value"])
+
+
+PAIRS = watches.PairWatch(max_age_us=20 * HOUR, max_skew_us=12 * HOUR)
+PAIRS_SQL = f"""
+WITH e AS (
+  SELECT user_id AS source, epoch_us(ts) AS t, event_id AS id, event_type AS kind, value, CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT) AS k FROM events
+),
+c AS (SELECT * FROM e WHERE kind NOT IN ('error', 'purchase')), h AS (SELECT * FROM e WHERE kind IN ('error', 'purchase')),
+cut AS (SELECT least((SELECT max(t) FROM c), (SELECT max(t) FROM h)) // 1000 * 1000 - {DAY} AS cut),
+m AS (
+  SELECT c.source, c.id, any_value(c.t) AS t, any_value(c.k) AS k, any_value(c.value) AS value,
+         arg_max(h.t, (h.t, h.id)) AS ht, arg_max(h.id, (h.t, h.id)) AS hid, arg_max(h.k, (h.t, h.id)) AS hk, arg_max(h.kind, (h.t, h.id)) AS hkind,
+         arg_max(h.value, (h.t, h.id)) AS hv
+  FROM c LEFT JOIN h ON c.source = h.source AND h.t <= c.t AND h.t >= c.t - {DAY} GROUP BY c.source, c.id
+),
+j AS (
+  SELECT m.*, m.t + (m.k % 5) * {HOUR} - {HOUR} AS now,
+         max(id) OVER w AS pc, max(k) OVER w AS pd, max(hid) OVER w AS pf, max(hk) OVER w AS pp
+  FROM m, cut WHERE t + 1 <= cut WINDOW w AS (PARTITION BY source ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT source, t + 1 AS at_us, id AS color_frame, hid AS frame_counter, concat_ws(',',
+  CASE WHEN ht IS NULL THEN 'host_read_completion_time_invalid' END,
+  CASE WHEN ht IS NOT NULL AND NOT now - t BETWEEN 0 AND {20 * HOUR} THEN 'd435_host_read_completion_stale' END,
+  CASE WHEN ht IS NOT NULL AND NOT now - ht BETWEEN 0 AND {20 * HOUR} THEN 'lepton_host_read_completion_stale' END,
+  CASE WHEN abs(t - ht) > {12 * HOUR} THEN 'host_read_completion_skew_exceeded' END,
+  CASE WHEN k % 2 = 1 THEN 'd435_timestamp_domain_mismatch' END,
+  CASE WHEN id <= pc THEN 'd435_color_frame_non_increasing' END, CASE WHEN k <= pd THEN 'd435_depth_frame_non_increasing' END,
+  CASE WHEN hid IS NULL THEN 'lepton_telemetry_missing' END,
+  CASE WHEN hv < 5 THEN 'lepton_ffc_desired' END, CASE WHEN hkind = 'error' AND hv < 10 THEN 'lepton_ffc_in_progress' END,
+  CASE WHEN hv < 15 THEN 'lepton_ffc_not_idle' END, CASE WHEN hv < 20 OR hv > 200 THEN 'lepton_tlinear_invalid' END,
+  CASE WHEN hid <= pf THEN 'lepton_frame_counter_non_increasing' END, CASE WHEN hk <= pp THEN 'lepton_packet_timestamp_non_increasing' END) AS reasons
+FROM j"""
+
+
+@query("stream_pair_freshness", PAIRS_SQL)
+def stream_pair_freshness(spark, root):
+    """Camera and thermal streams joined within a day, each pair judged against all counters before it."""
+    k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
+    events = run.open_table(spark, f"{root}/events.parquet").withColumn("k", k).withColumn("ts", F.col("ts").cast("timestamp"))
+    thermal_kind = F.col("event_type").isin("error", "purchase")
+    camera = events.where(~thermal_kind).select(
+        F.col("user_id").alias("source"), "ts", F.col("event_id").alias("color_frame"), F.col("k").alias("depth_frame"), F.lit("a").alias("color_domain"),
+        F.when(F.col("k") % 2 == 1, "b").otherwise("a").alias("depth_domain"), (F.unix_micros("ts") + (F.col("k") % 5) * HOUR - HOUR).alias("now_us"),
+    )
+    value = F.col("value")
+    thermal = events.where(thermal_kind).select(
+        F.col("user_id").alias("source"), F.col("ts").alias("thermal_ts"), F.col("event_id").alias("frame_counter"), F.col("k").alias("packet_ms"),
+        (value < 5).alias("ffc_desired"), ((F.col("event_type") == "error") & (value < 10)).alias("ffc_in_progress"),
+        F.when(value < 15, "imminent").otherwise("complete").alias("ffc_state"), (value >= 20).alias("tlinear_enabled"),
+        F.when(value > 200, 0.1).otherwise(0.01).alias("tlinear_resolution_k"),
+    )
+    judged = windows.judged_pairs(camera, thermal, ["source"], "ts", "thermal_ts", PAIRS, reach="1 day")
+    return run.run_available(judged, spark).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _timeline(spark, root):
+    rows = run.open_table(spark, f"{root}/events.parquet")
+    return rows.select(F.col("user_id").alias("source"), F.col("event_type").alias("phase"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _binned(df):
+    us = lambda c: F.unix_micros(f"window.{c}").alias(f"{c}_us")
+    return df.select(us("start"), us("end"), *[c for c in df.columns if c != "window"])
+
+
+_SUMS = "count(*) AS samples, round(sum(value), 6) AS total, max(value) AS highest"
+
+
+def _sums():
+    return [F.count(F.lit(1)).alias("samples"), F.sum("value").alias("total"), F.max("value").alias("highest")]
+
+
+def _bins_sql(group: str, start: str, width: int) -> str:
+    """Bins that the final watermark has passed."""
+    return f"""
+WITH {_ROWS}, b AS (SELECT *, {start} AS s FROM e)
+SELECT {group}, s AS start_us, s + {width} AS end_us, {_SUMS} FROM b, wm WHERE s + {width} <= wm GROUP BY {group}, s"""
+
+
+@query("stream_tumbling", _bins_sql("phase", f"t // {DAY} * {DAY}", DAY).replace("phase,", "kind AS phase,", 1).replace("BY phase", "BY kind"))
+def stream_tumbling(spark, root):
+    """Daily bins of each phase, put out once the watermark has passed their end."""
+    bins = windows.tumbling(_timeline(spark, root), ["phase"], "ts", "1 day", "0 seconds", _sums())
+    return _binned(run.run_available(bins, spark)).withColumn("total", q("total"))
+
+
+@query(
+    "stream_sliding",
+    f"""
+WITH {_ROWS}, b AS (SELECT *, (t // {DAY} - i) * {DAY} AS s FROM e, range(3) r(i))
+SELECT kind AS phase, s AS start_us, s + {3 * DAY} AS end_us, {_SUMS} FROM b, wm WHERE s + {3 * DAY} <= wm GROUP BY kind, s""",
+)
+def stream_sliding(spark, root):
+    """Three-day windows that move by a day."""
+    bins = windows.sliding(_timeline(spark, root), ["phase"], "ts", "3 days", "1 day", "0 seconds", _sums())
+    return _binned(run.run_available(bins, spark)).withColumn("total", q("total"))
+
+
+@query(
+    "stream_sessions",
+    f"""
+WITH wm AS (SELECT max(epoch_us(ts)) // 1000 * 1000 AS wm FROM events),
+e AS (SELECT user_id AS source, epoch_us(ts) AS t, event_id, value, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > {12 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY t, event_id) AS n FROM e)
+SELECT source, min(t) AS start_us, max(t) + {12 * HOUR} AS end_us, {_SUMS} FROM s, wm GROUP BY source, n, wm HAVING max(t) + {12 * HOUR} <= wm""",
+)
+def stream_sessions(spark, root):
+    """Clusters of a source's events separated by twelve quiet hours."""
+    bins = windows.sessions(_timeline(spark, root), ["source"], "ts", "12 hours", "0 seconds", _sums())
+    bins = bins.withColumnRenamed("session_window", "window")
+    return _binned(run.run_available(bins, spark)).withColumn("total", q("total"))
+
+
+@query(
+    "stream_latest",
+    "SELECT user_id AS source, epoch_us(max(ts)) AS at_us, arg_max(event_type, (ts, event_id)) AS phase, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
+)
+def stream_latest(spark, root):
+    """The newest sample of each source, in update mode; older arrivals change nothing."""
+    updates = windows.latest(_timeline(spark, root), ["source"], "ts", ["phase", "value"])
+    return windows.keep_latest(updates, spark, ["source"], "ts").select("source", F.unix_micros("ts").alias("at_us"), "phase", "value")
+
+
+@query(
+    "stream_progress",
+    f"""
+WITH {_ROWS}, b AS (SELECT t // {DAY} * {DAY} AS s, kind, count(*) AS ticks FROM e, wm WHERE t // {DAY} * {DAY} + {DAY} <= wm GROUP BY ALL),
+a AS (SELECT s, sum(ticks) AS interval_ticks FROM b GROUP BY s)
+SELECT s AS start_us, kind AS phase, ticks, CAST(sum(ticks) OVER (PARTITION BY kind ORDER BY s) AS BIGINT) AS status_ticks, CAST(interval_ticks AS BIGINT) AS interval_ticks,
+       CAST((SELECT sum(interval_ticks) FROM a x WHERE x.s <= b.s) AS BIGINT) AS ticks_so_far
+FROM b JOIN a USING (s)""",
+)
+def stream_progress(spark, root):
+    """Ticks per day and phase as a stream, then the running report over those few rows."""
+    counted = run.run_available(windows.progress(_timeline(spark, root), "ts", "0 seconds", "phase", "1 day"), spark)
+    report = windows.progress_report(counted, "phase")
+    return report.select(F.unix_micros("start").alias("start_us"), "phase", "ticks", "status_ticks", "interval_ticks", "ticks_so_far")
+
+
+_ARRIVED = f"""
+a AS (SELECT user_id AS source, event_id, epoch_us(ts) AS t_us, epoch_us(ts) + CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT) * {HOUR} AS arrived_us FROM events),
+n AS (SELECT *, max(t_us) OVER (PARTITION BY source ORDER BY arrived_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a),
+j AS (SELECT source, event_id, t_us, CASE WHEN newest IS NULL OR t_us > newest THEN 'fresh' WHEN t_us = newest THEN 'pending'
+                                          WHEN newest - t_us > {DAY} THEN 'late' ELSE 'stale' END AS arrival FROM n)"""
+
+
+def _arrived(spark, root):
+    """Events that arrive up to 99 hours after their time."""
+    rows = run.open_table(spark, f"{root}/events.parquet")
+    late = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long") * HOUR
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    timeline = rows.select(F.col("user_id").alias("source"), "event_id", t.alias("t_us"), (t + late).alias("arrived_us"))
+    return windows.arrivals(timeline, ["source"], "t_us", ["arrived_us", "event_id"], DAY)
+
+
+@query("stream_arrivals", f"WITH {_ARRIVED} SELECT * FROM j WHERE arrival <> 'late'")
+def stream_arrivals(spark, root):
+    """Fresh, pending and stale rows of a stream whose rows come out of order."""
+    return windows.with_side_table(_arrived(spark, root), spark)[0].drop("arrived_us")
+
+
+@query("stream_late_rows", f"WITH {_ARRIVED} SELECT * FROM j WHERE arrival = 'late'")
+def stream_late_rows(spark, root):
+    """The side table: rows over a day older than the newest their source had shown."""
+    return windows.with_side_table(_arrived(spark, root), spark)[1].drop("arrived_us")

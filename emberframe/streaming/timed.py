@@ -191,15 +191,16 @@ def _output(df: DataFrame, keys: list[str], machine: TimedMachine) -> T.StructTy
 
 
 def timed_stream(
-    stream: DataFrame, keys: list[str], at: str, machine: TimedMachine, *, order: tuple[str, ...] = (), delay: str = "0 seconds", idle_us: int | None = None
+    stream: DataFrame, keys: list[str], at: str, machine: TimedMachine, *, order: tuple[str, ...] = (), delay: str | None = "0 seconds", idle_us: int | None = None
 ) -> DataFrame:
     """What the machine puts out on a stream: keys, at_us and its columns, once the watermark has passed.
 
-    ``at`` is the event-time column; rows later than ``delay`` are dropped by the watermark. Rows of one
-    instant are taken by ``order``, else as they are. A key's state lives until ``idle_us`` after its last row.
+    ``at`` is the event-time column; rows later than ``delay`` are dropped by the watermark. With a ``delay`` of
+    None the stream has its watermark already, as after a join. Rows of one instant are taken by ``order``, else
+    as they are. A key's state lives until ``idle_us`` after its last row.
     """
     columns = [c for c in stream.columns if c not in (*keys, at)]
-    clock = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+    clock = stream if delay is None else stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
     placed = clock.withColumn(AT, F.unix_micros(at))
     fields = T.StructType([T.StructField(AT, T.LongType()), *(stream.schema[c] for c in columns)])
     output = _output(stream, keys, machine)

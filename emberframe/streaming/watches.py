@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from math import hypot
 from statistics import median
 
-from emberframe.streaming.machines import SoakMonitor
+from emberframe.streaming.machines import PairFreshness, SoakMonitor
 from emberframe.streaming.timed import TimedMachine
 
 
@@ -242,3 +242,39 @@ class AttemptWatch(TimedMachine):
                 return state, out + more
             return {**state, "out_us": since}, out
         return state, out
+
+
+@dataclass(frozen=True)
+class PairWatch(TimedMachine):
+    """Why camera frames with their latest thermal sample are rejected; counters are remembered across pairs.
+
+    Rows are candidate pairs at the camera's time, those of one camera frame in order of thermal_us, which is
+    null where no sample was near; the last candidate is the pair. Times are microseconds.
+    """
+
+    max_age_us: int
+    max_skew_us: int
+    _pair = (
+        "color_frame long, depth_frame long, color_domain string, depth_domain string, now_us long, thermal_us long, frame_counter long, "
+        "packet_ms long, ffc_desired boolean, ffc_in_progress boolean, ffc_state string, tlinear_enabled boolean, tlinear_resolution_k double"
+    )
+    _counters = ("color_frame", "depth_frame", "frame_counter", "packet_ms")
+    state = f"camera_us long, {_pair}, " + ", ".join(f"last_{c} long" for c in _counters)
+    output = "color_frame long, frame_counter long, reasons array<string>"
+
+    def initial(self):
+        return dict.fromkeys(x.split()[0] for x in self.state.split(", "))
+
+    def due(self, state):
+        return None if state["camera_us"] is None else state["camera_us"] + 1
+
+    def on_time(self, state, at):
+        judge = PairFreshness(self.max_age_us, self.max_skew_us)
+        row = {**state, "now_s": state["now_us"], "camera_s": state["camera_us"], "thermal_s": state["thermal_us"]}
+        highest, (reasons,) = judge.step({c: state[f"last_{c}"] for c in self._counters}, row)
+        kept = {f"last_{c}": highest[c] for c in self._counters}
+        return {**self.initial(), **kept}, [(state["color_frame"], state["frame_counter"], reasons)]
+
+    def on_row(self, state, at, row):
+        pair = {x.split()[0]: row[x.split()[0]] for x in self._pair.split(", ")}
+        return {**state, "camera_us": at, **pair}, []

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberframe.catalog.bindings import q, table
 from emberframe.catalog.registry import query
 from emberframe.operators.ordered import Series
+from emberframe.operators.settle import shared_folder
 from emberframe.operators.silence import silence_reports
+from emberframe.sources import feed
+from emberframe.sources import frames as frame_files
 from emberframe.streaming import run, timed, watches, windows
 
 HOUR = 3_600_000_000
@@ -422,3 +426,53 @@ def stream_arrivals(spark, root):
 def stream_late_rows(spark, root):
     """The side table: rows over a day older than the newest their source had shown."""
     return windows.with_side_table(_arrived(spark, root), spark)[1].drop("arrived_us")
+
+
+def _datagrams(rows):
+    """A datagram for each event: its segment and packet mode follow from its place, its id stands in packet 0.
+
+    Packets are numbered from 0; the segment is in the upper bits of packet 20.
+    """
+    head = lambda i, segment=0: bytes([segment << 4 | i >> 8, i & 255, 0, 0])
+    filler = bytes(frame_files.PACKET_BYTES - frame_files.HEADER_BYTES)
+    run_of = lambda a, b: b"".join(head(i) + filler for i in range(a, b))
+    marked = F.concat(F.lit(head(0)), F.to_binary(F.lpad(F.hex("event_id"), 16, "0"), F.lit("hex")), F.lit(filler[8:] + run_of(1, 20)))
+    segment = F.coalesce(*[F.when(F.col("segment") == k, F.lit(head(20, k) + filler)) for k in (1, 2, 3, 4)])
+    tail = F.when(F.col("packets") == 60, F.lit(run_of(21, 60))).otherwise(F.lit(run_of(21, 61)))
+    return rows.select(F.col("source").cast("string").alias("stream"), "ts", "seq", F.concat(marked, segment, tail).alias("payload"))
+
+
+@query(
+    "stream_frame_feed",
+    """
+WITH e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events WHERE event_type IN ('view', 'click')),
+wm AS (SELECT max(epoch_us(ts)) // 1000 * 1000 AS wm FROM e),
+d AS (SELECT *, [1, 2, 3, 4, 1, 2, 3, 4, 4, 1, 2, 4][seq % 12 + 1] AS segment, CASE WHEN seq % 7 = 6 THEN 61 ELSE 60 END AS packets FROM e),
+l AS (SELECT *, lag(segment, 1) OVER w AS s1, lag(segment, 2) OVER w AS s2, lag(segment, 3) OVER w AS s3, lag(packets, 1) OVER w AS p1, lag(packets, 2) OVER w AS p2,
+        lag(packets, 3) OVER w AS p3, lag(event_id, 1) OVER w AS e1, lag(event_id, 2) OVER w AS e2, lag(event_id, 3) OVER w AS e3
+      FROM d WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT CAST(user_id AS VARCHAR) AS stream, epoch_us(ts) AS at_us, seq - 3 AS first_seq, seq AS last_seq, CAST(packets AS BIGINT) AS packets,
+       concat_ws(',', e3, e2, e1, event_id) AS ids, CAST(4 * 164 * packets AS INTEGER) AS bytes
+FROM l, wm WHERE segment = 4 AND s1 = 3 AND s2 = 2 AND s3 = 1 AND p1 = packets AND p2 = packets AND p3 = packets AND epoch_us(ts) <= wm""",
+)
+def stream_frame_feed(spark, root):
+    """Datagrams derived from events, written as capture files, read as a feed and put together to frames."""
+    feed.register(spark)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    events = table(spark, root, "events").where(F.col("event_type").isin("view", "click")).withColumn("seq", place)
+    at = (F.col("seq") % 12).cast("int")
+    pattern = F.array(*[F.lit(x) for x in (1, 2, 3, 4, 1, 2, 3, 4, 4, 1, 2, 4)])
+    rows = events.select(
+        F.col("user_id").alias("source"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "seq", F.get(pattern, at).alias("segment"),
+        F.when(F.col("seq") % 7 == 6, 61).otherwise(60).alias("packets"),
+    )
+    folder = shared_folder(spark)
+    _datagrams(rows).write.format(feed.FORMAT).mode("append").save(folder)
+    read = frame_files.datagrams(spark.readStream.format(feed.FORMAT).load(folder))
+    frames = run.run_available(timed.timed_stream(read, ["stream"], "ts", watches.FrameAssembly(), order=("seq",)), spark)
+    size = F.col("packets") * frame_files.PACKET_BYTES
+    event_of = lambda k: F.conv(F.hex(F.substring("payload", (F.lit(k) * size + frame_files.HEADER_BYTES + 1).cast("int"), F.lit(8))), 16, 10)
+    return frames.select(
+        "stream", "at_us", "first_seq", "last_seq", "packets", F.concat_ws(",", *[event_of(k) for k in range(4)]).alias("ids"),
+        F.octet_length("payload").alias("bytes"),
+    )

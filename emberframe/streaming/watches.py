@@ -278,3 +278,29 @@ class PairWatch(TimedMachine):
     def on_row(self, state, at, row):
         pair = {x.split()[0]: row[x.split()[0]] for x in self._pair.split(", ")}
         return {**state, "camera_us": at, **pair}, []
+
+
+@dataclass(frozen=True)
+class FrameAssembly(TimedMachine):
+    """Frames of four datagrams in a row numbered 1, 2, 3, 4 in one packet mode, with their payload.
+
+    Rows have segment and packets (null when malformed), seq and payload. Anything else between them breaks
+    the frame; the open part of a frame is the state.
+    """
+
+    state = "expected long, packets long, first_seq long, body binary"
+    output = "first_seq long, last_seq long, packets long, payload binary"
+
+    def initial(self):
+        return {"expected": 1, "packets": None, "first_seq": None, "body": None}
+
+    def on_row(self, state, at, row):
+        segment, packets, payload = row["segment"], row["packets"], bytes(row["payload"] or b"")
+        if segment == 1:
+            return {"expected": 2, "packets": packets, "first_seq": row["seq"], "body": payload}, []
+        if segment is None or segment != state["expected"] or packets != state["packets"]:
+            return self.initial(), []
+        body = bytes(state["body"]) + payload
+        if segment < 4:
+            return {**state, "expected": segment + 1, "body": body}, []
+        return self.initial(), [(state["first_seq"], row["seq"], packets, body)]

@@ -390,24 +390,39 @@ def depth_to_thermal(spark, root):
     "color_depth_association",
     """
 WITH t AS (SELECT vec_id, label, CAST(CASE WHEN nx = 1 THEN 63 ELSE floor(nx * 64) END AS INTEGER) AS cx, CAST(CASE WHEN ny = 1 THEN 47 ELSE floor(ny * 48) END AS INTEGER) AS cy, nx <= 1 AND ny <= 1 AS inside FROM (
-   SELECT vec_id, label, abs(CAST(embedding[1] AS DOUBLE)) * 4 AS nx, abs(CAST(embedding[2] AS DOUBLE)) * 4 AS ny FROM embeddings)),
-d AS (SELECT l_orderkey % 10 AS label, l_partkey % 64 AS x, l_suppkey % 48 AS y, min(l_quantity * 20) AS raw FROM lineitem GROUP BY ALL),
-p AS (SELECT *, raw * 0.001 AS m, (x - 32) / 60 * (raw * 0.001) + 0.002 AS px, (y - 24) / 60 * (raw * 0.001) AS py FROM d WHERE raw > 0),
-w AS (SELECT *, px / m * 61 + 32 AS u, py / m * 61 + 24 AS v FROM p),
-c AS (SELECT t.vec_id, sqrt((u - cx) ** 2 + (v - cy) ** 2) AS err, x, y, raw, m FROM t JOIN w ON w.label = t.label AND abs(CAST(floor(u) AS INTEGER) - cx) <= 1 AND abs(CAST(floor(v) AS INTEGER) - cy) <= 1 WHERE inside),
-b AS (SELECT vec_id, min(err) AS err, arg_min(raw, (err, x, y, raw)) AS raw, arg_min(m, (err, x, y, raw)) AS m FROM c GROUP BY vec_id)
-SELECT t.vec_id, round(err, 6) AS match_error_px, raw AS raw_depth, CASE WHEN NOT inside THEN 'normalized_color_out_of_bounds' WHEN raw IS NULL THEN 'color_to_depth_no_match'
-  WHEN NOT m BETWEEN 0.2 AND 0.9 THEN 'color_to_depth_depth_out_of_range' WHEN err > 0.75 THEN 'color_to_depth_match_error_exceeded' END AS reason FROM t LEFT JOIN b USING (vec_id)""",
+   SELECT vec_id, label + CASE WHEN vec_id % 50 = 7 THEN 1000 WHEN vec_id % 50 = 8 THEN 100 WHEN vec_id % 50 = 9 THEN 200 WHEN vec_id % 50 = 10 THEN 300 ELSE 0 END AS label, abs(CAST(embedding[1] AS DOUBLE)) * 4 AS nx, abs(CAST(embedding[2] AS DOUBLE)) * 4 AS ny FROM embeddings)),
+a AS (SELECT l_orderkey % 10 AS label, l_partkey % 64 AS x, l_suppkey % 48 AS y, min(l_quantity * 20) AS raw FROM lineitem WHERE l_linenumber <= 2 AND (l_orderkey % 10 > 2 OR l_partkey % 64 > 40 AND l_partkey % 7 = 0) GROUP BY ALL),
+d AS (SELECT label, x, y, raw FROM a UNION ALL SELECT label + 100, x, y, 0 FROM a WHERE x < 5 UNION ALL SELECT label + 200, x, y, -raw FROM a WHERE x < 5 UNION ALL SELECT label + 300, x - 400, y, raw FROM a WHERE x < 5
+   UNION ALL SELECT label, x + 64, y, raw FROM a WHERE x < 4),
+p AS (SELECT *, raw * 0.001 AS m, (x - 32) / 60 * (raw * 0.001) + 0.002 AS px, (y - 24) / 60 * (raw * 0.001) AS py FROM d),
+w AS (SELECT *, px / m * 61 + 32 AS u, py / m * 61 + 24 AS v FROM p WHERE raw > 0),
+i AS (SELECT * FROM w WHERE u >= 0 AND u < 64 AND v >= 0 AND v < 48),
+f AS (SELECT label, max(raw) AS deepest FROM d GROUP BY label), g AS (SELECT DISTINCT label FROM i),
+b AS (SELECT t.vec_id, min(sqrt((u - cx) ** 2 + (v - cy) ** 2)) AS err, arg_min({'x': x, 'raw': raw, 'm': m}, (sqrt((u - cx) ** 2 + (v - cy) ** 2), x, y, raw)) AS o FROM t JOIN i ON i.label = t.label WHERE inside GROUP BY t.vec_id)
+SELECT t.vec_id, round(err, 6) AS match_error_px, o.raw AS raw_depth, CASE WHEN NOT inside THEN 'normalized_color_out_of_bounds' WHEN f.label IS NULL THEN 'color_to_depth_buffer_missing' WHEN deepest <= 0 THEN 'color_to_depth_zero_depth'
+  WHEN g.label IS NULL THEN 'color_to_depth_no_match' WHEN o.x NOT BETWEEN 0 AND 63 THEN 'color_to_depth_out_of_bounds'
+  WHEN NOT o.m BETWEEN 0.2 AND 0.9 THEN 'color_to_depth_depth_out_of_range' WHEN err > 0.75 THEN 'color_to_depth_match_error_exceeded' END AS reason
+FROM t LEFT JOIN b USING (vec_id) LEFT JOIN f ON f.label = t.label LEFT JOIN g ON g.label = t.label""",
 )
 def color_depth_association(spark, root):
+    """Colour pixels against sparse depth frames; some frames lack depth rows, depth or points in the image."""
     value = lambda i: F.abs(F.get("embedding", i).cast("double")) * 4
     pixel = geometry.normalized_pixel(value(0), value(1), 64, 48)
+    at = F.col("vec_id") % 50
+    other = F.when(at == 7, 1000).when(at == 8, 100).when(at == 9, 200).when(at == 10, 300).otherwise(0)
     targets = table(spark, root, "embeddings").select(
-        "label", F.col("vec_id").alias("target"), pixel["x"].alias("cx"), pixel["y"].alias("cy"), pixel["reason"].alias("reason")
+        (F.col("label") + other).alias("label"), F.col("vec_id").alias("target"), pixel["x"].alias("cx"), pixel["y"].alias("cy"), pixel["reason"].alias("reason")
+    )
+    label, x = F.col("l_orderkey") % 10, F.col("l_partkey") % 64
+    some = (F.col("l_linenumber") <= 2) & ((label > 2) | ((x > 40) & (F.col("l_partkey") % 7 == 0)))
+    depth = table(spark, root, "lineitem").where(some).groupBy(label.alias("label"), x.alias("x"), (F.col("l_suppkey") % 48).alias("y")).agg(
+        F.min(F.col("l_quantity") * 20).alias("raw_depth")
+    )
+    left = depth.where("x < 5")
+    depth = (
+        depth.union(left.selectExpr("label + 100", "x", "y", "raw_depth * 0")).union(left.selectExpr("label + 200", "x", "y", "-raw_depth"))
+        .union(left.selectExpr("label + 300", "x - 400", "y", "raw_depth")).union(depth.where("x < 4").selectExpr("label", "x + 64", "y", "raw_depth"))
     )
-    depth = table(spark, root, "lineitem").groupBy(
-        (F.col("l_orderkey") % 10).alias("label"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_suppkey") % 48).alias("y")
-    ).agg(F.min(F.col("l_quantity") * 20).alias("raw_depth"))
     still = geometry.Rigid(((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), (0.002, 0.0, 0.0))
     out = association.associate_depth(
         targets, depth, ["label"], 0.001, geometry.Camera(64, 48, 60.0, 60.0, 32.0, 24.0),
@@ -516,3 +531,67 @@ def realized_blocks(spark, root):
         (F.count(F.lit(1)) >= 7).alias("valid")
     )
     return protocols.realized_blocks(blocks, ["trial"], wanted=3).select("trial", "block", "valid")
+
+
+_TIPS = """
+tip AS (SELECT vec_id // 3 AS frame, vec_id % 3 AS tip, CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 16) AS BIGINT) AS x, CAST(floor(abs(CAST(embedding[2] AS DOUBLE)) * 16) AS BIGINT) AS y,
+   CAST(floor(abs(CAST(embedding[3] AS DOUBLE)) * 12) AS BIGINT) AS u, CAST(floor(abs(CAST(embedding[4] AS DOUBLE)) * 12) AS BIGINT) AS v, CAST(embedding[5] AS DOUBLE) AS z,
+   CAST(embedding[6] AS DOUBLE) > -0.15 AS seen, vec_id FROM embeddings WHERE vec_id % 3 < 2 OR CAST(embedding[7] AS DOUBLE) > 0.12)"""
+
+
+def _tips(spark, root):
+    """Fingertips of a frame: depth pixel, thermal cell, distance, and whether the thermal camera sees it; some frames have a third."""
+    value = lambda i: F.get("embedding", i).cast("double")
+    cell = lambda i, n: F.floor(F.abs(value(i)) * n)
+    rows = table(spark, root, "embeddings").where((F.col("vec_id") % 3 < 2) | (value(6) > 0.12))
+    return rows.select(
+        F.floor(F.col("vec_id") / 3).alias("frame"), (F.col("vec_id") % 3).alias("tip"), cell(0, 16).alias("x"), cell(1, 16).alias("y"),
+        cell(2, 12).alias("u"), cell(3, 12).alias("v"), value(4).alias("z"), (value(5) > -0.15).alias("seen"), "vec_id",
+    )
+
+
+@query(
+    "tip_pair_identity",
+    f"""
+WITH {_TIPS.strip()},
+c AS (SELECT frame, u, v, arg_min(x * 100 + y, (z, vec_id)) AS source FROM tip WHERE seen GROUP BY ALL),
+w AS (SELECT frame, count(*) AS winners, count(DISTINCT source) AS sources, list(source) AS held FROM c GROUP BY frame),
+f AS (SELECT frame, count(*) AS n, count(*) FILTER (NOT seen) AS lost, list(x * 100 + y) FILTER (tip < 2) AS tips FROM tip GROUP BY frame)
+SELECT frame, CASE WHEN n - lost > coalesce(winners, 0) THEN 'fingertip_thermal_collision' WHEN n <> 2 OR lost <> 0 OR winners <> 2 THEN 'fingertip_sparse_pair_incomplete'
+  WHEN sources <> 2 OR len(list_filter(held, lambda s: NOT list_contains(tips, s))) > 0 THEN 'fingertip_sparse_identity_mismatch' END AS issue
+FROM f LEFT JOIN w USING (frame)""",
+)
+def tip_pair_identity(spark, root):
+    """Whether both fingertips hold their own thermal cell; the nearest tip wins a cell."""
+    tips = _tips(spark, root)
+    nearest = tips.where("seen").groupBy("frame", "u", "v").agg(F.min_by(F.struct("x", "y"), F.struct("z", "vec_id")).alias("source"))
+    winners = nearest.groupBy("frame").agg(F.collect_list(F.struct("u", "v", "source")).alias("winners"))
+    counts = tips.groupBy("frame").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("seen"), 1)).alias("lost"), F.collect_list(F.when(F.col("tip") < 2, F.struct("x", "y"))).alias("tips")
+    )
+    none = F.array().cast(winners.schema["winners"].dataType)
+    joined = counts.join(winners, "frame", "left").withColumn("winners", F.coalesce("winners", none))
+    return joined.select("frame", association.tip_pair_issue(F.col("winners"), F.col("tips"), F.col("n"), F.col("lost")).alias("issue"))
+
+
+@query(
+    "frame_rows",
+    f"""
+WITH {_TIPS.strip()},
+m AS (SELECT frame, min(CASE WHEN NOT seen THEN tip * 1000 + CASE WHEN z < 0 THEN 1 ELSE 2 END END) AS bad, count(*) AS tips, min(z) AS near, max(z) - min(z) AS spread FROM tip GROUP BY frame)
+SELECT frame, CASE WHEN tips < 2 THEN 'tips_missing' WHEN bad IS NOT NULL THEN 'tip' || bad // 1000 || ':' || CASE WHEN bad % 1000 = 1 THEN 'behind' ELSE 'out_of_fov' END
+   WHEN near < -0.25 THEN 'too_near' END AS tracking_reason,
+  tips >= 2 AND bad IS NULL AND near >= -0.25 AS tracking_valid, CASE WHEN tips >= 2 AND bad IS NULL AND near >= -0.25 THEN round(spread, 6) END AS spread FROM m""",
+)
+def frame_rows(spark, root):
+    """Every frame with its first failed check; blocked frames keep their row and lose their features."""
+    mark = F.struct(
+        "tip", F.concat(F.lit("tip"), "tip").alias("label"), F.when(F.col("seen"), "ok").otherwise("blocked").alias("status"),
+        F.when(F.col("z") < 0, "behind").otherwise("out_of_fov").alias("reason"),
+    )
+    features = _tips(spark, root).groupBy("frame").agg(
+        F.sort_array(F.collect_list(mark)).alias("marks"), F.min("z").alias("near"), q(F.max("z") - F.min("z")).alias("spread")
+    )
+    bad = association.landmark_reason(F.col("marks"))
+    checks = [(F.size("marks") < 2, F.lit("tips_missing")), (bad.isNotNull(), bad), (F.col("near") < -0.25, F.lit("too_near"))]
+    return association.frame_row(features, checks, ["spread"]).select("frame", "tracking_reason", "tracking_valid", "spread")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.geometry import Camera, Rigid
 from emberframe.functions.numbers import first_reason, is_finite
+from emberframe.operators.keys import join_same
+from emberframe.operators.settle import settle
 
 # Fixed values of the association gates.
 DEPTH_MIN_M = 0.20
@@ -58,49 +60,103 @@ def depth_to_thermal(
     return named.withColumns(result).drop(*scratch)
 
 
-def associate_depth(
-    targets: DataFrame, depth: DataFrame, keys: list[str], scale: float,
-    depth_camera: Camera, color_camera: Camera, depth_to_color: Rigid,
+def _projected(
+    depth: DataFrame, keys: list[str], scale: float, depth_camera: Camera, color_camera: Camera, depth_to_color: Rigid
 ) -> DataFrame:
-    """Depth pixel whose forward projection lands nearest to each colour pixel.
-
-    ``targets`` has the target's colour pixel (cx, cy) and its normalisation
-    ``reason``; ``depth`` has one row per depth pixel (x, y, raw_depth). Depth
-    pixels are projected once and joined by the colour cell they fall in; a target
-    looks at its own cell and the eight around it.
-    """
+    """Depth pixels with metres and colour position; null positions where nothing lies in front of a camera."""
     metres = F.col("raw_depth") * F.lit(scale)
     point = depth_to_color.apply(depth_camera.deproject(F.col("x"), F.col("y"), metres))
     u, v = color_camera.project(*point)
-    projected = depth.filter(F.col("raw_depth") > 0).withColumns(
-        {"depth_m": metres, "_u": u, "_v": v}
-    ).filter(F.col("_u").isNotNull()).select(
-        *keys, F.struct("x", "y").alias("depth_pixel"), "raw_depth", "depth_m", "_u", "_v",
-        F.floor("_u").cast("int").alias("_cu"), F.floor("_v").cast("int").alias("_cv"),
-    )
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    looking = targets.filter(F.col("reason").isNull()).withColumn("_o", F.explode(offsets)).select(
-        *keys, "target", "cx", "cy",
-        (F.col("cx") + F.col("_o.i")).alias("_cu"), (F.col("cy") + F.col("_o.j")).alias("_cv"),
+    placed = depth.select(*keys, "x", "y", "raw_depth", metres.alias("depth_m"), u.alias("_u"), v.alias("_v"), point[2].alias("_z"))
+    solid = is_finite(F.col("_u")) & is_finite(F.col("_v")) & (F.col("raw_depth") > 0) & (F.col("_z") > 0)
+    return placed.withColumns({c: F.when(solid, F.col(c)) for c in ("_u", "_v")}).drop("_z")
+
+
+def _ring(inner: int, outer: int) -> Column:
+    """Cell offsets beyond ``inner`` and up to ``outer`` cells away (the larger of both axes)."""
+    across = F.sequence(F.lit(-outer), F.lit(outer))
+    square = F.flatten(F.transform(across, lambda i: F.transform(across, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    return F.filter(square, lambda o: F.greatest(F.abs(o["i"]), F.abs(o["j"])) > inner)
+
+
+def nearest_projection(targets: DataFrame, projected: DataFrame, keys: list[str], color_camera: Camera, cell_px: int = 8) -> DataFrame:
+    """(keys, target, match_error_px, depth_pixel, raw_depth, depth_m): the projected pixel nearest to each target.
+
+    Projections are dealt into square cells of ``cell_px``. A target first looks at its own cell and those
+    around it; as long as something nearer could lie outside what it has seen, it looks at the next, wider
+    ring. Whatever is more than r cells away is at least r cells' width away, so the search ends exactly. Only
+    targets that are still open go on, and no ring reaches beyond the colour image. Ties: by pixel.
+    """
+    cell = lambda c: F.floor(F.col(c) / cell_px).cast("int")
+    cells = projected.select(
+        *keys, F.struct("x", "y").alias("depth_pixel"), "raw_depth", "depth_m", "_u", "_v", cell("_u").alias("_i"), cell("_v").alias("_j")
     )
     error = F.hypot(F.col("_u") - F.col("cx"), F.col("_v") - F.col("cy"))
-    best = (
-        looking.join(projected, [*keys, "_cu", "_cv"])
-        .groupBy(*keys, "target")
-        .agg(F.min(F.struct(error.alias("match_error_px"), "depth_pixel", "raw_depth", "depth_m")).alias("_b"))
-        .select(*keys, "target", "_b.*")
+    found = F.min(F.struct(error.alias("match_error_px"), "depth_pixel", "raw_depth", "depth_m")).alias("_new")
+    kind = "struct<match_error_px:double,depth_pixel:struct<x:{0},y:{1}>,raw_depth:{2},depth_m:{3}>".format(
+        *[projected.schema[c].dataType.simpleString() for c in ("x", "y", "raw_depth", "depth_m")]
     )
-    joined = targets.join(best, [*keys, "target"], "left")
-    reason = first_reason(
-        (F.col("reason") == "normalized_color_nonfinite", "normalized_color_nonfinite"),
-        (F.col("reason") == "normalized_color_out_of_bounds", "normalized_color_out_of_bounds"),
-        (F.col("raw_depth").isNull(), "color_to_depth_no_match"),
-        (~F.col("depth_m").between(DEPTH_MIN_M, DEPTH_MAX_M), "color_to_depth_depth_out_of_range"),
-        (F.col("match_error_px") > MAX_MATCH_ERROR_PX, "color_to_depth_match_error_exceeded"),
+    open_ = settle(targets.select(*keys, "target", "cx", "cy", F.lit(None).cast(kind).alias("_b")))
+    done, inner, outer = [], -1, 1
+    furthest = -(-max(color_camera.width, color_camera.height) // cell_px)
+    while True:
+        looking = open_.select(*keys, "target", "cx", "cy", F.explode(_ring(inner, outer)).alias("_o")).select(
+            *keys, "target", "cx", "cy", (cell("cx") + F.col("_o.i")).alias("_i"), (cell("cy") + F.col("_o.j")).alias("_j")
+        )
+        best = looking.join(cells, [*keys, "_i", "_j"]).groupBy(*keys, "target").agg(found)
+        seen = join_same(open_, best, [*keys, "target"], "left")
+        nearer = F.when(F.col("_b").isNull() | (F.col("_new") < F.col("_b")), F.coalesce("_new", "_b")).otherwise(F.col("_b"))
+        seen = settle(seen.select(*keys, "target", "cx", "cy", nearer.alias("_b")))
+        # strictly nearer than the bound: an equal one outside could have the smaller pixel
+        ended = F.coalesce(F.col("_b.match_error_px") < outer * cell_px, F.lit(False)) if outer < furthest else F.lit(True)
+        done.append(seen.where(ended))
+        open_ = seen.where(~ended)
+        if outer >= furthest or open_.limit(1).count() == 0:
+            break
+        inner, outer = outer, min(2 * outer + 1, furthest)
+    result = done[0]
+    for part in done[1:]:
+        result = result.union(part)
+    return result.where(F.col("_b").isNotNull()).select(*keys, "target", "_b.*")
+
+
+def associate_depth(
+    targets: DataFrame, depth: DataFrame, keys: list[str], scale: float,
+    depth_camera: Camera, color_camera: Camera, depth_to_color: Rigid,
+) -> DataFrame:
+    """Depth pixel whose forward projection lands nearest to each colour pixel, and why a target is blocked.
+
+    ``targets`` has (target, cx, cy, reason): unique per keys, its colour pixel and what normalisation found
+    wrong. ``depth`` has one row per depth pixel (x, y, raw_depth). All depth pixels that land in the colour
+    image are candidates. The first failed gate is the reason: the colour pixel, a frame without depth rows,
+    without any depth, without a point in front of the cameras, or without one in the image; then the match:
+    outside the depth image, depth out of range, too far off.
+    """
+    projected = settle(_projected(depth, keys, scale, depth_camera, color_camera, depth_to_color))
+    lands = F.coalesce(color_camera.sees(F.col("_u"), F.col("_v")), F.lit(False))
+    frames = projected.groupBy(*keys).agg(
+        F.lit(True).alias("_any"), F.max(F.col("raw_depth") > 0).alias("_deep"), F.max(F.col("_u").isNotNull()).alias("_solid"), F.max(lands).alias("_lands")
+    )
+    best = nearest_projection(targets.filter(F.col("reason").isNull()), projected.where(lands), keys, color_camera)
+    joined = join_same(join_same(targets, best, [*keys, "target"], "left"), frames, keys, "left")
+    pixel = F.col("depth_pixel")
+    outside = ~(pixel["x"].between(0, depth_camera.width - 1) & pixel["y"].between(0, depth_camera.height - 1))
+    missing = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    reason = F.coalesce(
+        F.col("reason"),
+        first_reason(
+            (missing("_any"), "color_to_depth_buffer_missing"),
+            (missing("_deep"), "color_to_depth_zero_depth"),
+            (missing("_solid"), "color_to_depth_forward_geometry_invalid"),
+            (missing("_lands"), "color_to_depth_no_match"),
+            (outside, "color_to_depth_out_of_bounds"),
+            (~F.col("depth_m").between(DEPTH_MIN_M, DEPTH_MAX_M), "color_to_depth_depth_out_of_range"),
+            (F.col("match_error_px") > MAX_MATCH_ERROR_PX, "color_to_depth_match_error_exceeded"),
+        ),
     )
     return joined.withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNull(), "ok").otherwise("blocked")
-    )
+    ).drop("_any", "_deep", "_solid", "_lands")
 
 
 def tip_pair_issue(winners: Column, sources: Column, input_count: Column, rejected: Column) -> Column:
@@ -132,4 +188,4 @@ def frame_row(features: DataFrame, checks: list[tuple[Column, str]], blocked: li
 def landmark_reason(landmarks: Column) -> Column:
     """``label:reason`` of the first landmark, in list order, that is not ok."""
     bad = F.filter(landmarks, lambda m: m["status"] != "ok")
-    return F.transform(bad, lambda m: F.concat_ws(":", m["label"], m["reason"]))[0]
+    return F.get(F.transform(bad, lambda m: F.concat_ws(":", m["label"], m["reason"])), 0)

@@ -63,7 +63,7 @@ def balanced(sensitivity: Column, specificity: Column) -> Column:
 
 def rank_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Probability that a positive outscores a negative, ties a half; null for one class."""
-    ranked = average_rank(df, keys, score, "_rank")
+    ranked = average_rank(df.where(F.col(score).isNotNull()), keys, score, "_rank")
     sums = ranked.groupBy(*keys).agg(
         F.sum(F.when(F.col(label) == 1, F.col("_rank") + 1)).alias("_ranks"),
         F.count(F.when(F.col(label) == 1, 1)).alias("_p"),

@@ -9,6 +9,7 @@ and the summaries (not the rows) are windowed per key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,8 +23,11 @@ from emberframe.functions.scale import (
     setting,
 )
 from emberframe.operators.keys import join_same
+from emberframe.operators.settle import settle
 
 _CHUNK = "_chunk"
+#: Splitters of a key are at most 2 to this power; keys that would need more have larger chunks.
+MOST_SPLITS = 12
 
 
 @dataclass(frozen=True)
@@ -168,19 +172,37 @@ def _stitched(step: Step, local: Column, carried: Column, first: Column) -> Colu
     raise ValueError(f"unknown step {step.kind}")
 
 
-def chunked(df: DataFrame, series: Series, rows_per_chunk: int) -> DataFrame | None:
-    """Add a chunk number that grows with the clock, about ``rows_per_chunk`` rows each.
+def split_evenly(df: DataFrame, keys: tuple[str, ...] | list[str], value: Column, rows_per_chunk: int) -> DataFrame | None:
+    """Add a chunk number that grows with ``value`` within each key, about ``rows_per_chunk`` rows each.
 
-    The width comes from one min/max/count probe and assumes the worst case: all
-    rows sit in a single key. None when one chunk would hold everything.
+    Only keys with more rows are cut. Their splitters are approximate quantiles of their own rows, so neither a
+    long tail nor a far outlier makes an uneven chunk; equal values stay together, null ones are in the first
+    chunk. The splitters are a written table of one row a cut key: whoever reads the chunks sees the same cuts.
+    A chunk is found by binary search. None when no key is that large.
     """
-    clock = F.col(series.clock).cast("double")
-    low, high, rows = df.agg(F.min(clock), F.max(clock), F.count(F.lit(1))).first()
-    pieces = max(1, -(-int(rows or 0) // rows_per_chunk))
-    if pieces == 1 or low is None or high <= low:
+    at = value.cast("double")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_chunk)
+    largest = counts.agg(F.max("_rows")).first()[0]
+    if largest is None:
         return None
-    width = (high - low) / pieces
-    return df.withColumn(_CHUNK, F.floor((clock - F.lit(low)) / F.lit(width)).cast("long"))
+    bits = min(MOST_SPLITS, max(2, math.ceil(math.log2(2 * largest / rows_per_chunk))))
+    shares = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
+    cut = join_same(df.select(*keys, at.alias("_at")), counts.select(*keys), list(keys))
+    knots = cut.groupBy(*keys).agg(
+        F.percentile_approx("_at", shares, 20 << bits).alias("_knots"), F.ceil(F.count(F.lit(1)) / rows_per_chunk).alias("_pieces")
+    )
+    found = join_same(df.withColumn("_at", at), settle(knots), list(keys), "left").withColumn("_k", F.lit(0))
+    for bit in reversed(range(bits)):
+        # knots are numbered from 0; _k of them lie at or below the value
+        above = F.get("_knots", F.col("_k") + ((1 << bit) - 1)) <= F.col("_at")
+        found = found.withColumn("_k", F.col("_k") + F.when(above, 1 << bit).otherwise(0))
+    chunk = F.floor(F.col("_k") * F.coalesce("_pieces", F.lit(1)) / (1 << bits)).cast("long")
+    return found.withColumn(_CHUNK, chunk).drop("_at", "_knots", "_pieces", "_k")
+
+
+def chunked(df: DataFrame, series: Series, rows_per_chunk: int) -> DataFrame | None:
+    """Add a chunk number that grows with the clock; None when every key fits one chunk."""
+    return split_evenly(df, series.keys, F.col(series.clock), rows_per_chunk)
 
 
 def scan(

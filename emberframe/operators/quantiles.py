@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.functions.scale import fits_one_task
+from emberframe.functions.scale import ROWS_PER_CHUNK, ROWS_PER_CHUNK_SETTING, fits_one_task, setting
 from emberframe.operators.keys import join_same
-
-_SLICES_PER_OCTAVE = 512
-_LARGEST = sys.float_info.max
-
-
-def _magnitude_slice(value: Column) -> Column:
-    """An integer that never decreases as ``value`` grows, fine enough to split a group.
-
-    Infinities share the slices of the largest finite values, and NaN, which sorts last, the highest.
-    """
-    size = F.floor((F.log2(F.least(F.abs(value), F.lit(_LARGEST))) + 1100) * _SLICES_PER_OCTAVE).cast("long")
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size + 1).otherwise(-size - 1)
-
+from emberframe.operators.ordered import split_evenly
 
 def _interpolated(low: Column, high: Column, position: Column) -> Column:
     """As ``percentile`` does it: equal neighbours give their value, so infinities stay what they are."""
@@ -36,12 +22,13 @@ def exact_quantiles(
     probabilities: dict[str, float],
     *,
     split: bool | None = None,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles of the non-null values.
 
-    Small inputs use the built-in ``percentile``. Larger ones count equal values,
-    locate the magnitude slice that holds each wanted rank and rank only inside
-    those slices, so the largest sort is one slice of one group.
+    Small inputs use the built-in ``percentile``. Larger ones count equal values, cut the
+    distinct values of large groups into even slices, find the slices that hold the wanted
+    ranks and rank only inside those, so the largest sort is one slice of one group.
     """
     if split is None:
         split = not fits_one_task(df)
@@ -55,11 +42,9 @@ def exact_quantiles(
             *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probabilities)]
         )
 
-    counted = (
-        typed.groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", _magnitude_slice(F.col("_v")))
-    )
+    values = typed.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    sliced = split_evenly(values, keys, F.col("_v"), rows_per_slice or setting(df, ROWS_PER_CHUNK_SETTING, ROWS_PER_CHUNK))
+    counted = values.withColumn("_slice", F.lit(0).cast("long")) if sliced is None else sliced.withColumnRenamed("_chunk", "_slice")
     by_slice = counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in_slice"))
     ordered = Window.partitionBy(*keys).orderBy("_slice")
     placed = by_slice.select(

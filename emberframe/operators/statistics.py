@@ -122,7 +122,7 @@ def rank_columns(
             F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
         ).alias("_c"),
     ).select(*keys, *row_id, F.col("_c.name").alias("_name"), F.col("_c.value").alias("_value"))
-    ranked = average_rank(long, [*keys, "_name"], "_value", "_rank")
+    ranked = average_rank(long.where(F.col("_value").isNotNull()), [*keys, "_name"], "_value", "_rank")
     ids = list(dict.fromkeys([*keys, *row_id]))
     wide = ranked.groupBy(*ids).agg(
         *[F.max(F.when(F.col("_name") == c, F.col("_rank"))).alias(f"{c}{suffix}") for c in columns]

@@ -93,14 +93,13 @@ def average_rank(
     """0-based rank where ties share their mean rank.
 
     Ranks come from counts of equal values, so only distinct values are ordered
-    and a heavily tied value is one row.
+    and a heavily tied value is one row. A null value has no rank and counts for none.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     by_value = Series(tuple(keys), (value,))
     ranked = scan(counted, by_value, {"_upto": running_sum(F.col("_n"))}, rows_per_chunk=rows_per_chunk)
     rank = (F.col("_upto") - F.col("_n")) + (F.col("_n") - 1) / 2
-    valued = ranked.where(F.col(value).isNotNull()).select(*keys, value, rank.alias(name))
-    return join_same(df, valued, [*keys, value])
+    return join_same(df, ranked.select(*keys, value, rank.alias(name)), [*keys, value], "left")
 
 
 def interpolate_missing(

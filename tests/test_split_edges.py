@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from emberframe.operators.ordered import Series, previous, row_index, running_sum, scan
+from emberframe.operators.ordered import Series, previous, row_index, running_sum, scan, split_evenly
 from emberframe.operators.quantiles import exact_quantiles
 from emberframe.operators.windows import average_rank
 from pyspark.sql import functions as F
@@ -49,3 +49,45 @@ def test_ranks_keep_null_keys(spark):
     for size in (None, 2):
         got = {(r.k, r.v, r["rank"]) for r in average_rank(df, ["k"], "v", rows_per_chunk=size).collect()}
         assert got == {("a", 1.0, 0.0), (None, 2.0, 0.5), (None, 5.0, 2.0)}
+
+
+def test_null_values_have_no_rank(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), (None, None)], "k string, v double")
+    for size in (None, 1):
+        got = {(r.k, r.v, r["rank"]) for r in average_rank(df, ["k"], "v", rows_per_chunk=size).collect()}
+        assert got == {("a", 1.0, 0.0), ("a", None, None), ("a", 3.0, 1.0), (None, None, None)}
+
+
+CLOCKS = {
+    "log-normal": "exp(3 * (rand(1) + rand(2) + rand(3) + rand(4) + rand(5) + rand(6) - 3))",
+    "one outlier": "case when id = 7 then 1e15 else rand(1) end",
+    "narrow": "100 + rand(1) / 1000000",
+    "two scales": "case when id % 2 = 0 then rand(1) * 1e-9 else 1e9 + rand(2) end",
+}
+
+
+@pytest.mark.parametrize("clock", sorted(CLOCKS))
+def test_chunks_are_even_whatever_the_clock(spark, clock):
+    rows, wish = 40_000, 500
+    hot = spark.range(rows).selectExpr("case when id % 10 < 8 then 'hot' else concat('cold', id % 100) end as k", f"{CLOCKS[clock]} as t")
+    sizes = split_evenly(hot, ["k"], F.col("t"), wish).groupBy("k", "_chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 4 * wish
+    assert sum(r["count"] for r in sizes) == rows
+    assert all(r["_chunk"] == 0 for r in sizes if r.k != "hot") and len([r for r in sizes if r.k == "hot"]) >= rows * 0.8 / wish / 2
+
+
+def test_chunks_follow_the_clock(spark):
+    rows = [("a", float(v)) for v in range(100)] + [("a", None), ("a", NAN), ("a", INF), ("a", -INF)] + [("b", 1.0), ("b", 2.0)] + [("t", 5.0)] * 50
+    got = split_evenly(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), 10).collect()
+    own = sorted((r for r in got if r.k == "a" and r.v is not None), key=lambda r: (math.isnan(r.v), r.v))
+    assert [r._chunk for r in own] == sorted(r._chunk for r in own) and own[0]._chunk == 0 and len({r._chunk for r in own}) >= 8
+    assert {r._chunk for r in got if r.k == "b" or r.v is None} == {0}
+    assert len({r._chunk for r in got if r.k == "t"}) == 1
+    assert split_evenly(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), 1000) is None
+
+
+@pytest.mark.parametrize("slices", [3, 40])
+def test_quantiles_of_many_slices(spark, slices):
+    df = spark.range(900).selectExpr("case when id < 700 then 'a' when id < 890 then 'b' end as k", "case when id % 50 = 0 then null when id % 3 = 0 then 7 else 100 + id / 1e9 end as v")
+    plain = exact_quantiles(df, ["k"], "v", WANTED, split=False)
+    assert _rows(exact_quantiles(df, ["k"], "v", WANTED, split=True, rows_per_slice=slices)) == _rows(plain)

@@ -44,18 +44,77 @@ def components_4(spark, root):
     return _part_rows(spark, root, False)
 
 
-@query("hottest_blob")
+_NEAR8 = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1"
+_NEAR4 = "abs(a.x - b.x) + abs(a.y - b.y) <= 1"
+
+
+def _labelled(mask: str, near: str, name: str = "") -> str:
+    """Parts p (frame, root, area, box) of the pixels that ``mask`` selects (frame, x, y), by recursive spreading."""
+    n = name
+    return f"""m{n} AS MATERIALIZED ({mask}),
+e{n} AS (SELECT a.frame, a.y * 8 + a.x AS a, b.y * 8 + b.x AS b FROM m{n} a JOIN m{n} b ON a.frame = b.frame AND {near}),
+walk{n} AS (SELECT frame, y * 8 + x AS pos, y * 8 + x AS other FROM m{n} UNION SELECT w.frame, w.pos, e.b FROM walk{n} w JOIN e{n} e ON e.frame = w.frame AND e.a = w.other),
+r{n} AS (SELECT frame, pos, min(other) AS root FROM walk{n} GROUP BY frame, pos),
+p{n} AS (SELECT frame, root, count(*) AS area, min(pos % 8) AS x0, min(pos // 8) AS y0, max(pos % 8) AS x1, max(pos // 8) AS y1 FROM r{n} GROUP BY frame, root)"""
+
+
+def _recursive(body: str) -> str:
+    return with_frames(body).replace("WITH px", "WITH RECURSIVE px", 1)
+
+
+@query(
+    "hottest_blob",
+    _recursive(
+        ", lv AS (SELECT frame, quantile_cont(v, 0.25) + 180 AS level FROM px GROUP BY frame),\n"
+        + _labelled("SELECT px.frame, x, y FROM px JOIN lv USING (frame) WHERE v >= level", _NEAR4)
+        + """,
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, root) AS k FROM p) WHERE k = 1),
+c AS (SELECT f.trial, f.frame, area, greatest(0, x0 - 1) AS rx, greatest(0, y0 - 1) AS ry, least(8, x1 + 2) - greatest(0, x0 - 1) AS rw, least(8, y1 + 2) - greatest(0, y0 - 1) AS rh,
+      (x1 - x0 + 3) * (y1 - y0 + 3) AS wanted FROM (SELECT DISTINCT trial, frame FROM px) f LEFT JOIN b USING (frame)),
+d AS (SELECT *, CASE WHEN area IS NULL THEN 'blob_no_hotspot' WHEN area < 2 THEN 'blob_too_small' WHEN area > 20 THEN 'blob_too_large' ELSE 'blob' END AS mode FROM c)
+SELECT trial, frame, mode, CASE WHEN mode = 'blob' THEN CAST(rx AS INTEGER) END AS x, CASE WHEN mode = 'blob' THEN CAST(rw AS INTEGER) END AS width,
+  CASE WHEN mode = 'blob' THEN round(rw * rh / wanted * (area / (rw * rh)), 6) ELSE 0.0::DOUBLE END AS quality FROM d"""
+    ),
+)
 def hottest_blob(spark, root):
     out = components.hottest_blob(frames(spark, root), min_delta=180.0, min_area=2, max_area=20, pad=1)
     return out.select("trial", "frame", "mode", F.col("roi.x").alias("x"), F.col("roi.width").alias("width"), q("quality").alias("quality"))
 
 
-@query("dark_shape")
+@query(
+    "dark_shape",
+    _recursive(
+        ", "
+        + _labelled("SELECT frame, x, y FROM px WHERE v < -60", _NEAR8)
+        + """,
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, root) AS k, count(*) OVER (PARTITION BY frame) AS n FROM p WHERE area > 3) WHERE k = 1)
+SELECT trial, frame, coalesce(area, 0)::DOUBLE AS shape_area_px, coalesce(x1 - x0 + 1, 0)::DOUBLE AS shape_width_px, coalesce(y1 - y0 + 1, 0)::DOUBLE AS shape_height_px,
+  coalesce((x1 - x0 + 1) * (y1 - y0 + 1), 0)::DOUBLE AS shape_bbox_area_px, coalesce(n, 0)::DOUBLE AS shape_components
+FROM (SELECT DISTINCT trial, frame FROM px) f LEFT JOIN b USING (frame)"""
+    ),
+)
 def dark_shape(spark, root):
     return components.dark_shape(frames(spark, root), limit=-60, min_area=3)
 
 
-@query("motion_proxy")
+@query(
+    "motion_proxy",
+    _recursive(
+        ", t AS MATERIALIZED (SELECT trial, y, x, median(v) AS v FROM px GROUP BY ALL),\n"
+        + _labelled("SELECT trial AS frame, x, y FROM t WHERE v < -10", _NEAR8, "o")
+        + ",\nd AS MATERIALIZED (SELECT px.trial, frame, x, y, abs(px.v - t.v) AS v FROM px JOIN t USING (trial, x, y)),\n"
+        + _labelled("SELECT frame, x, y FROM d WHERE v > 120", _NEAR8, "h")
+        + """,
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, root) AS k FROM po WHERE area >= 3) WHERE k = 1),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, root) AS k FROM ph WHERE area >= 3) WHERE k = 1),
+j AS (SELECT f.trial, f.frame, o.x0 AS ox0, o.y0 AS oy0, o.x1 AS ox1, o.y1 AS oy1, h.x0 AS hx0, h.y0 AS hy0, h.x1 AS hx1, h.y1 AS hy1
+      FROM (SELECT DISTINCT trial, frame FROM px) f LEFT JOIN o ON o.frame = f.trial LEFT JOIN h ON h.frame = f.frame),
+s AS (SELECT j.*, greatest(ox0 - hx1 - 1, hx0 - ox1 - 1, 0) AS gx, greatest(oy0 - hy1 - 1, hy0 - oy1 - 1, 0) AS gy,
+      (SELECT count(*) FROM d WHERE d.frame = j.frame AND v > 120 AND x BETWEEN ox0 AND ox1 AND y BETWEEN oy0 AND oy1)::DOUBLE AS hits FROM j),
+q AS (SELECT *, CASE WHEN ox0 IS NULL THEN 0.0 WHEN hx0 IS NULL THEN sqrt(128.0) ELSE sqrt(gx * gx + gy * gy) END AS dist, CASE WHEN ox0 IS NULL OR hx0 IS NULL THEN 0.0 ELSE hits END AS overlap FROM s)
+SELECT trial, frame, round(dist::DOUBLE, 6) AS distance_px, overlap::DOUBLE AS overlap_px, CASE WHEN ox0 IS NULL THEN 0.0::DOUBLE ELSE round((overlap - dist)::DOUBLE, 6) END AS pressure_proxy FROM q"""
+    ),
+)
 def motion_proxy(spark, root):
     stack = frames(spark, root)
     out = components.motion_against_template(stack, components.templates_of(stack), threshold=120.0, dark_limit=-10)

@@ -1,17 +1,19 @@
 """Connected regions of frame masks and what is decided from them.
 
-Only the labelling itself runs in Python, on Arrow batches of whole frames.
-Sizes, boxes, centres and choices are DataFrame aggregates over the labels; a
-frame's pixels sit in one task, so they combine before any shuffle.
+The labelling runs in Python, on Arrow batches of whole frames, and gives each
+frame its parts as structs with size, box, centre and pixels. Choices among them are
+expressions over that array, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,82 +26,144 @@ from emberframe.operators.pixels import median_image
 FRAME = ["trial", "frame"]
 
 
-def label_mask(mask: np.ndarray, diagonal: bool) -> np.ndarray:
-    """Number the connected parts of a 2-D mask from 1 in raster order.
+class Runs:
+    """Horizontal runs of mask pixels of many frames, joined to connected parts.
 
-    Every pixel takes the smallest index among its neighbours, with pointer
-    jumping, until nothing changes.
+    Frames lie below each other with an empty row between them. A run meets the runs of the next row that
+    overlap it (by one pixel more for diagonal neighbours); runs that meet take the smallest number among
+    them, by pointer jumping over runs, not pixels. Parts are numbered from 0 in raster order.
     """
-    height, width = mask.shape
-    big = height * width
-    index = np.where(mask, np.arange(big).reshape(height, width), big)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    while True:
-        before = index.copy()
-        for dy, dx in steps:
-            a = (slice(dy, None), slice(max(dx, 0), width + min(dx, 0)))
-            b = (slice(0, height - dy), slice(max(-dx, 0), width - max(dx, 0)))
-            low = np.minimum(index[a], index[b])
-            index[a] = np.where(mask[a], low, big)
-            index[b] = np.where(mask[b], np.minimum(index[b], np.where(mask[a], index[a], big)), big)
-        flat = np.append(index.ravel(), big)
-        index = flat[flat[:-1]].reshape(height, width)
-        if np.array_equal(before, index):
-            break
-    roots, numbers = np.unique(index[mask], return_inverse=True)
-    labels = np.zeros((height, width), dtype=np.int32)
-    labels[mask] = numbers.reshape(-1) + 1
-    return labels
+
+    def __init__(self, mask: np.ndarray, sizes: np.ndarray, widths: np.ndarray, diagonal: bool):
+        offsets = np.cumsum(sizes) - sizes
+        heights = sizes // np.maximum(widths, 1)
+        self.frame = np.repeat(np.arange(len(sizes)), sizes)
+        self.pos = np.arange(len(mask)) - offsets[self.frame]
+        across = widths[self.frame]
+        x, row = self.pos % across, self.pos // across + (np.cumsum(heights + 1) - heights)[self.frame]
+        before, after = np.zeros(len(mask), bool), np.zeros(len(mask), bool)
+        before[1:], after[:-1] = mask[:-1], mask[1:]
+        starts = mask & ((x == 0) | ~before)
+        ends = mask & ((x == across - 1) | ~after)
+        self.mask, self.run_of = mask, np.cumsum(starts) - 1
+        first = np.flatnonzero(starts)
+        self.run_frame, self.a, self.b, self.row = self.frame[first], x[first], x[ends], row[first]
+        self.y = self.pos[first] // across[first]
+        self.root = self._joined(1 if diagonal else 0, int(widths.max(initial=0)) + 3)
+
+    def _joined(self, reach: int, stride: int) -> np.ndarray:
+        key = lambda row, x: row * stride + x + 1
+        low = np.searchsorted(key(self.row, self.b), key(self.row + 1, self.a - reach))
+        high = np.searchsorted(key(self.row, self.a), key(self.row + 1, self.b + reach), side="right")
+        n = np.maximum(high - low, 0)
+        i = np.repeat(np.arange(len(low)), n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        root = np.arange(len(low))
+        while True:
+            p, q = root[i], root[j]
+            if np.array_equal(p, q):
+                return root
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+
+    def labels(self) -> np.ndarray:
+        """Part of each pixel, numbered from 1 over all frames; 0 outside the mask."""
+        _, part = np.unique(self.root, return_inverse=True)
+        return np.where(self.mask, part[self.run_of] + 1 if len(part) else 0, 0)
+
+
+def label_mask(mask: np.ndarray, diagonal: bool) -> np.ndarray:
+    """Number the connected parts of a 2-D mask from 1 in raster order."""
+    runs = Runs(mask.ravel(), np.array([mask.size]), np.array([mask.shape[1]]), diagonal)
+    return runs.labels().reshape(mask.shape).astype(np.int32)
+
+
+PART = T.StructType(
+    [T.StructField("label", T.IntegerType()), T.StructField("area", T.LongType())]
+    + [T.StructField(n, T.IntegerType()) for n in ("x0", "y0", "x1", "y1")]
+    + [T.StructField(n, T.DoubleType()) for n in ("cx", "cy")]
+    + [T.StructField("positions", T.ArrayType(T.IntegerType()))]
+)
+#: Pixels that are labelled together.
+BLOCK = 1 << 20
+
+
+def _listed(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def _parts(mask: np.ndarray, sizes: np.ndarray, widths: np.ndarray, diagonal: bool) -> pa.ListArray:
+    """For each frame the list of its parts."""
+    runs = Runs(mask, sizes, widths, diagonal)
+    roots, part = np.unique(runs.root, return_inverse=True)
+    n, long = len(roots), runs.b - runs.a + 1
+    area = np.bincount(part, long, n).astype(np.int64)
+    frame = runs.run_frame[roots]
+    per_frame = np.bincount(frame, minlength=len(sizes))
+    label = np.arange(n) - (np.cumsum(per_frame) - per_frame)[frame] + 1
+
+    def least(values):
+        out = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(out, part, values)
+        return out.astype(np.int32)
+
+    edges = [least(runs.a), least(runs.y), -least(-runs.b), -least(-runs.y)]
+    cx = np.bincount(part, long * (runs.a + runs.b) / 2.0, n) / area
+    cy = np.bincount(part, long * runs.y, n) / area
+    inside = np.flatnonzero(mask)
+    order = inside[np.argsort(part[runs.run_of[inside]], kind="stable")] if n else inside
+    positions = _listed(pa.array(runs.pos[order].astype(np.int32)), area)
+    columns = [pa.array(label.astype(np.int32)), pa.array(area), *map(pa.array, edges), pa.array(cx), pa.array(cy), positions]
+    return _listed(pa.StructArray.from_arrays(columns, [f.name for f in PART.fields]), per_frame)
 
 
 def _labeller(diagonal: bool):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for masks, widths in batches:
-            yield pd.Series(
-                [
-                    label_mask(np.asarray(m, dtype=bool).reshape(-1, int(w)), diagonal).ravel()
-                    for m, w in zip(masks, widths)
-                ]
-            )
+            sizes = pc.fill_null(pc.list_value_length(masks), 0).to_numpy().astype(np.int64)
+            flat = pc.fill_null(masks.flatten().cast(pa.bool_()), False).to_numpy(zero_copy_only=False)
+            across = np.maximum(pc.fill_null(widths, 1).to_numpy().astype(np.int64), 1)
+            ends = np.cumsum(sizes)
+            out, at = [], 0
+            while at < len(sizes) or not out:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right"))) if len(sizes) else 0
+                begin = ends[at - 1] if at else 0
+                out.append(_parts(flat[begin : ends[stop - 1]] if stop else flat, sizes[at:stop], across[at:stop], diagonal))
+                at = stop
+            yield pa.concat_arrays(out)
+
+    return F.arrow_udf(run, T.ArrayType(PART))
 
-    return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
 
+def component_parts(mask: Column, width: Column, *, diagonal: bool = True) -> Column:
+    """Connected parts of a frame's mask as structs: label in raster order, area, box, centre, pixel positions.
 
-def component_labels(mask: Column, width: Column, *, diagonal: bool = True) -> Column:
-    """Label per pixel, 0 outside the mask; 8-connected, or 4 without ``diagonal``."""
+    8-connected, or 4 without ``diagonal``. A null mask has no parts.
+    """
     return _labeller(diagonal)(mask, width)
 
 
 def components(frames: DataFrame, mask: Column, *, diagonal: bool = True) -> DataFrame:
-    """One row per connected part: area, box, centre and its pixel positions."""
-    labelled = frames.select(
-        *FRAME, "width", "height", component_labels(mask, F.col("width"), diagonal=diagonal).alias("_labels")
-    )
-    pixels = labelled.select(*FRAME, "width", "height", F.posexplode("_labels").alias("pos", "label")).filter(
-        F.col("label") > 0
-    )
-    x, y = F.col("pos") % F.col("width"), F.floor(F.col("pos") / F.col("width")).cast("int")
-    return pixels.groupBy(*FRAME, "width", "height", "label").agg(
-        F.count(F.lit(1)).alias("area"),
-        F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"),
-        F.avg(x).alias("cx"), F.avg(y).alias("cy"),
-        F.array_sort(F.collect_list("pos")).alias("positions"),
-    )
+    """One row per connected part; a frame's parts come from its own row, without a shuffle."""
+    parts = component_parts(mask, F.col("width"), diagonal=diagonal)
+    return frames.select(*FRAME, "width", "height", F.explode(parts).alias("_p")).select(*FRAME, "width", "height", "_p.*")
 
 
-def largest_component(parts: DataFrame, keep: Column | None = None) -> DataFrame:
-    """The largest part per frame, the first label on ties."""
+def with_largest(
+    frames: DataFrame, mask: Column, keep: Callable[[Column], Column] | None = None, *, diagonal: bool = True
+) -> DataFrame:
+    """``frames`` with ``_best``, the largest part that ``keep`` admits (first label on ties, null without one), and ``_parts``, their number."""
+    found = frames.withColumn("_all", component_parts(mask, F.col("width"), diagonal=diagonal))
     if keep is not None:
-        parts = parts.filter(keep)
-    fields = [c for c in parts.columns if c not in FRAME]
-    best = F.max_by(F.struct(*fields), F.struct("area", -F.col("label")))
-    return parts.groupBy(*FRAME).agg(best.alias("_c"), F.count(F.lit(1)).alias("parts")).select(
-        *FRAME, "parts", "_c.*"
-    )
+        found = found.withColumn("_all", F.filter("_all", keep))
+    rank = F.transform("_all", lambda p: F.struct(p["area"].alias("area"), (-p["label"]).alias("label"), p.alias("part")))
+    return found.withColumns({"_best": F.array_max(rank)["part"], "_parts": F.size("_all").cast("long")}).drop("_all")
 
 
-def _bounding(part: str = "") -> Column:
-    return region(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1)
+def _bounding(part: str) -> Column:
+    p = F.col(part)
+    return F.when(p.isNotNull(), region(p["x0"], p["y0"], p["x1"] - p["x0"] + 1, p["y1"] - p["y0"] + 1))
 
 
 def hottest_blob(
@@ -109,8 +173,7 @@ def hottest_blob(
     """Region around the largest hot part (4-connected), its quality and mode."""
     level = arrays.quantile(F.array_sort("pixels"), background) + min_delta
     mask = arrays.against(F.col("pixels"), level, lambda v, t: v >= t)
-    blob = largest_component(components(frames, mask, diagonal=False)).drop("width", "height")
-    joined = frames.select(*FRAME, "width", "height").join(blob, FRAME, "left")
+    joined = with_largest(frames, mask, diagonal=False).select(*FRAME, "width", "height", "_best.*")
     clip = clipped_region(
         F.col("x0") - pad, F.col("y0") - pad, F.col("x1") + pad + 1, F.col("y1") + pad + 1,
         F.col("width"), F.col("height"),
@@ -136,8 +199,8 @@ def hottest_blob(
 def dark_shape(frames: DataFrame, *, limit: int = 55, min_area: int = 20) -> DataFrame:
     """Size of the largest dark part of more than ``min_area`` pixels, zeros without one."""
     mask = F.transform("pixels", lambda v: v < limit)
-    best = largest_component(components(frames, mask), F.col("area") > min_area)
-    joined = frames.select(*FRAME).join(best, FRAME, "left")
+    found = with_largest(frames, mask, lambda p: p["area"] > min_area)
+    joined = found.select(*FRAME, "_best.*", F.when(F.col("_best").isNotNull(), F.col("_parts")).alias("parts"))
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     return joined.select(
@@ -161,14 +224,13 @@ def motion_against_template(
     """
     object_mask = F.transform("pixels", lambda v: v < dark_limit)
     rest = templates.select("trial", F.lit(0).alias("frame"), "width", "height", F.col("template").alias("pixels"))
-    big = F.col("area") >= _least_area(F.col("width"), F.col("height"))
-    objects = largest_component(components(rest, object_mask), big).select("trial", _bounding().alias("object_box"))
+    big = lambda p: p["area"] >= _least_area(F.col("width"), F.col("height"))
+    objects = with_largest(rest, object_mask, big).select("trial", _bounding("_best").alias("object_box"))
     joined = frames.join(templates.select("trial", "template"), "trial").withColumn(
         "_diff", F.transform(arrays.difference(F.col("pixels"), F.col("template")), F.abs)
     )
     moving = F.transform("_diff", lambda d: d > threshold)
-    hands = largest_component(components(joined, moving), big).select(*FRAME, _bounding().alias("hand_box"))
-    wide = joined.join(hands, FRAME, "left").join(objects, "trial", "left")
+    wide = with_largest(joined, moving, big).withColumn("hand_box", _bounding("_best")).join(objects, "trial", "left")
     box = F.col("object_box")
     over = arrays.count_where(
         arrays.crop_region(F.col("_diff"), F.col("width"), box), lambda d: d > threshold
@@ -262,7 +324,8 @@ def dark_marker(
             "width": F.lit(w), "height": F.lit(h),
         }
     ).filter(F.col("pixels").isNotNull())
-    parts = components(cut, F.transform("pixels", lambda v: v <= max_gray))
+    found = cut.withColumn("_p", F.explode(component_parts(F.transform("pixels", lambda v: v <= max_gray), F.col("width"))))
+    parts = found.select(*FRAME, "width", "height", "pixels", "_p.*")
     sized = F.col("area") >= min_area
     if max_area is not None:
         sized = sized & (F.col("area") <= max_area)
@@ -271,7 +334,7 @@ def dark_marker(
         F.col("_outline") > 0, 4.0 * math.pi * F.col("area") / (F.col("_outline") * F.col("_outline"))
     ).otherwise(F.lit(0.0))
     if white_surround:
-        kept = kept.join(cut.select(*FRAME, "pixels"), FRAME).withColumn(
+        kept = kept.withColumn(
             "_white", white_ring_share(F.col("positions"), F.col("pixels"), F.col("width"), F.col("height"))
         ).filter(F.col("_white") >= MIN_WHITE_SHARE)
         score = F.col("_white") * round_share / F.sqrt(F.col("area"))
@@ -301,12 +364,19 @@ def hand_component(
     frames: DataFrame, *, offset: float = SEGMENT_OFFSET, min_area: int = SEGMENT_MIN_AREA,
     min_centre_x: float = 60.0, min_x: int = 0,
 ) -> DataFrame:
-    """Largest warm part on the right side of every frame."""
+    """Largest warm part on the right side of every frame that has one."""
+    return (
+        _with_hand(frames, offset, min_area, min_centre_x, min_x)
+        .where(F.col("_best").isNotNull())
+        .select(*FRAME, F.col("_parts").alias("parts"), "width", "height", "_best.*")
+    )
+
+
+def _with_hand(frames: DataFrame, offset: float, min_area: int, min_centre_x: float, min_x: int) -> DataFrame:
     level = arrays.quantile(F.array_sort("pixels"), 0.5) + offset
     warm = arrays.against(F.col("pixels"), level, lambda v, t: v >= t)
     mask = F.transform(warm, lambda m, i: m & (i % F.col("width") >= min_x))
-    parts = components(frames, mask)
-    return largest_component(parts, (F.col("area") >= min_area) & (F.col("cx") > min_centre_x))
+    return with_largest(frames, mask, lambda p: (p["area"] >= min_area) & (p["cx"] > min_centre_x))
 
 
 def warm_finger(
@@ -316,8 +386,8 @@ def warm_finger(
     """Tip, distal and reference means of the warm hand from the thermal frame alone."""
     from emberframe.functions.numbers import half_even
 
-    segment = {"min_centre_x": 80.0, "min_x": 50, **segment}
-    hand = hand_component(frames, **segment)
+    segment = {"offset": SEGMENT_OFFSET, "min_area": SEGMENT_MIN_AREA, "min_centre_x": 80.0, "min_x": 50, **segment}
+    hand = _with_hand(frames, **segment).select(*frames.columns, "_best.area", "_best.positions")
     width = F.col("width")
     med = lambda a: arrays.quantile(F.array_sort(a), 0.5)
     xs = F.transform("positions", lambda p: (p % width).cast("double"))
@@ -341,12 +411,11 @@ def warm_finger(
             "distal_x": away(distal_inset, "tip_x", dx), "distal_y": away(distal_inset, "tip_y", dy),
             "reference_x": away(reference_inset, "tip_x", dx), "reference_y": away(reference_inset, "tip_y", dy),
         }
-    ).select(*FRAME, "area", "tip_x", "tip_y", "distal_x", "distal_y", "reference_x", "reference_y", "_len")
-    joined = frames.join(axis, FRAME, "left")
+    )
     patch = lambda p, r: arrays.strict_patch(
         F.col("pixels"), F.col("width"), F.col("height"), half_even(F.col(f"{p}_x")), half_even(F.col(f"{p}_y")), r
     )
-    measured = joined.withColumns(
+    measured = axis.withColumns(
         {
             "distal_3x3_mean_count": arrays.mean(patch("distal", 1)),
             "reference_5x5_mean_count": arrays.mean(patch("reference", 2)),

@@ -427,26 +427,26 @@ def mask_summary(frames: DataFrame, mask: Column, support: int = 1) -> DataFrame
     )
 
 
-def morphology(mask: Column, width: Column, height: Column, radius: int, *, dilate: bool) -> Column:
-    """Square erosion or dilation of a 0/1 mask; outside counts as empty."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    cells = (2 * radius + 1) ** 2
+def _spread(mask: np.ndarray, radius: int, dilate: bool) -> np.ndarray:
+    """Running minimum or maximum over 2 radius + 1 pixels, along rows and then along columns."""
+    for axis in (1, 0):
+        width = mask.shape[axis]
+        sums = np.insert(np.cumsum(mask, axis=axis, dtype=np.int32), 0, 0, axis=axis)
+        at = np.arange(width)
+        upto, before = np.minimum(at + radius + 1, width), np.maximum(at - radius, 0)
+        hits = np.take(sums, upto, axis=axis) - np.take(sums, before, axis=axis)
+        mask = hits > 0 if dilate else hits == 2 * radius + 1
+    return mask
 
-    def at(p: Column) -> Column:
-        y, x = F.floor(p / width), p % width
 
-        def neighbour(dy: Column, dx: Column) -> Column:
-            inside = (y + dy >= 0) & (y + dy < height) & (x + dx >= 0) & (x + dx < width)
-            return F.when(inside, F.get(mask, ((y + dy) * width + x + dx).cast("int"))).otherwise(F.lit(0))
+def morphology(mask: Column, width: Column, height: Column, radius: int, *, dilate: bool) -> Column:
+    """Square erosion or dilation of a 0/1 mask; outside counts as empty. A null mask stays null."""
 
-        hits = F.aggregate(
-            F.flatten(F.transform(steps, lambda dy: F.transform(steps, lambda dx: neighbour(dy, dx)))),
-            F.lit(0),
-            lambda acc, m: acc + m,
-        )
-        return F.when(hits > 0 if dilate else hits == cells, 1).otherwise(0)
+    def run(masks: pd.Series, widths: pd.Series) -> pd.Series:
+        whole = lambda m, w: _spread(np.asarray(m).reshape(-1, int(w)) != 0, radius, dilate).ravel().astype(np.int32)
+        return pd.Series([None if m is None else whole(m, w) for m, w in zip(masks, widths)], dtype=object)
 
-    return F.transform(F.sequence(F.lit(0), F.size(mask) - 1), at)
+    return F.pandas_udf(run, T.ArrayType(T.IntegerType()))(mask, width)
 
 
 def hand_axis(frames: DataFrame, mask: Column, *, tip_share: float = 0.03) -> DataFrame:

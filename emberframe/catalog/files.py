@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberframe.catalog.bindings import EVENT_SERIES, q, table, telemetry, with_telemetry
 from emberframe.catalog.registry import query
 from emberframe.operators import joins
-from emberframe.operators.ordered import neighbours
+from emberframe.operators.ordered import row_index, scan
 from emberframe.sinks import writers
 from emberframe.sources import frames as frame_files
 from emberframe.sources import trials
@@ -52,19 +52,24 @@ l AS (SELECT *, lag(seg, 1) OVER w AS a, lag(seg, 2) OVER w AS b, lag(seg, 3) OV
 
 @query(
     "segment_frames",
-    _SEGMENTS + "\nSELECT trial, frame, fs AS second_last FROM l WHERE seg = 4 AND a = 3 AND d = pk",
+    with_telemetry(
+        """
+, n AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY t_us, frame) - 1 AS i FROM ev),
+s AS (SELECT *, CASE WHEN counter > 95 THEN NULL ELSE [1, 2, 3, 4, 1, 2, 3, 4, 2, 1, 3, 4][i % 12 + 1] END AS seg, CASE WHEN i % 7 = 6 THEN 61 ELSE 60 END AS pk FROM n),
+l AS (SELECT *, lag(seg, 1) OVER w AS a, lag(seg, 2) OVER w AS b, lag(seg, 3) OVER w AS c, lag(pk, 1) OVER w AS d, lag(pk, 2) OVER w AS e, lag(pk, 3) OVER w AS f,
+  concat_ws(',', lag(frame, 3) OVER w, lag(frame, 2) OVER w, lag(frame, 1) OVER w, frame) || ',' AS payload FROM s WINDOW w AS (PARTITION BY trial ORDER BY t_us, frame))
+SELECT trial, t_us, frame, pk AS packets, payload FROM l WHERE seg = 4 AND a = 3 AND b = 2 AND c = 1 AND d = pk AND e = pk AND f = pk"""
+    ),
 )
 def segment_frames(spark, root):
-    """Runs of the last two segments: four in a row are too rare in random data."""
-    rows = telemetry(spark, root).select(
-        "trial", "t_us", "frame", (F.col("counter") % 4 + 1).alias("segment"), (F.floor(F.col("counter") / 4) % 2).alias("packets")
+    """Whole frames of four segments, with the payload of all four; some datagrams are malformed."""
+    pattern = F.array(*[F.lit(x) for x in (1, 2, 3, 4, 1, 2, 3, 4, 2, 1, 3, 4)])
+    placed = scan(telemetry(spark, root), EVENT_SERIES, {"_i": row_index()}).withColumn("_i", F.col("_i") - 1)
+    rows = placed.select(
+        "trial", "t_us", "frame", F.when(F.col("counter") <= 95, F.get(pattern, (F.col("_i") % 12).cast("int"))).alias("segment"),
+        F.when(F.col("_i") % 7 == 6, 61).otherwise(60).alias("packets"), F.encode(F.concat(F.col("frame").cast("string"), F.lit(",")), "utf-8").alias("payload"),
     )
-    build = lambda w: {
-        "_s": F.lag("segment").over(w), "_p": F.lag("packets").over(w), "second_last": F.lag("frame").over(w)
-    }
-    near = neighbours(rows, EVENT_SERIES, 1, build)
-    whole = (F.col("segment") == 4) & (F.col("_s") == 3) & (F.col("_p") == F.col("packets"))
-    return near.filter(whole).select("trial", "frame", "second_last")
+    return frame_files.assembled_frames(rows, EVENT_SERIES).withColumn("payload", F.decode("payload", "utf-8"))
 
 
 @query(

@@ -180,10 +180,11 @@ def _session_rows(spark, root):
     )
 
 
-_INTEGRITY = """
+_ROWS = """
 , r AS (SELECT trial // 12 AS session, trial % 6 AS block, CASE WHEN (trial // 6) % 2 = 0 THEN 'null' ELSE 'press' END AS condition, t_us,
   CASE WHEN frame % 601 = 0 THEN 'Z' ELSE CASE frame % 4 WHEN 0 THEN 'A1' WHEN 1 THEN 'X' WHEN 2 THEN 'A2' ELSE 'A3' END END AS phase,
-  counter / 20 AS el, t / 4e5 AS th, frame % 997 = 7 AS ffc, frame % 499 <> 3 AS ok, signal > 3 AS trk FROM ev),
+  counter / 20 AS el, t / 4e5 AS th, frame % 997 = 7 AS ffc, frame % 499 <> 3 AS ok, signal > 3 AS trk FROM ev),"""
+_CHECKS = """
 s AS (SELECT *, th - lag(th) OVER (PARTITION BY session, block, condition ORDER BY t_us) AS step FROM r),
 f AS (SELECT session, block, condition, bool_or(ffc) AS ffc, bool_or(NOT ok) AS art, coalesce(bool_or(step <= 0 OR step > 0.75), false) AS gap, bool_or(phase = 'Z') AS ph,
   bool_or(phase <> 'Z' AND NOT (el >= 0 AND el < 5)) AS bad FROM s GROUP BY ALL),
@@ -193,6 +194,7 @@ x AS (SELECT g.session, g.block, g.condition, string_agg('insufficient_tracking:
   AND c.condition = g.condition AND c.phase = g.p AND c.bin = g.b WHERE coalesce(n, 0) < 2 GROUP BY ALL),
 o AS (SELECT session, block, condition, concat_ws('|', CASE WHEN ffc THEN 'ffc_active' END, CASE WHEN art THEN 'required_artifact_write_failed' END, CASE WHEN gap THEN 'thermal_timestamp_gap' END,
   CASE WHEN ph THEN 'invalid_phase' END, CASE WHEN bad THEN 'invalid_phase_elapsed' END, tail) AS reasons FROM f LEFT JOIN x USING (session, block, condition))"""
+_INTEGRITY = _ROWS + _CHECKS
 
 
 @query("trial_integrity", with_telemetry(_INTEGRITY + "\nSELECT session, block, condition, reasons FROM o"))
@@ -201,21 +203,42 @@ def trial_integrity(spark, root):
     return out.withColumn("reasons", F.concat_ws("|", "reasons"))
 
 
+# Recordings at four frames a second, one a trial, with the faults that its number and its number of events bring.
+_RECORDED = """
+, u AS (SELECT trial, count(*) AS n FROM ev GROUP BY trial),
+r AS (SELECT trial // 12 AS session, trial % 6 AS block, CASE WHEN (trial // 6) % 2 = 0 THEN 'null' ELSE 'press' END AS condition, i AS t_us, ['A1', 'X', 'A2', 'A3'][i // 20 + 1] AS phase,
+  (i % 20) / 4 AS el, CASE WHEN trial % 13 = 5 AND i > 40 THEN i / 4 + 1 ELSE i / 4 END AS th, trial % 17 = 3 AND i = 9 AS ffc, n % 23 <> 0 OR i <> 30 AS ok,
+  NOT (n % 7 = 0 AND i % 20 = 6) AS trk FROM u, range(80) f(i) WHERE trial % 19 <> 11 OR i % 10 <> 4),"""
+
+
+def _recorded_rows(spark, root):
+    users = telemetry(spark, root).groupBy("trial").agg(F.count(F.lit(1)).alias("n"))
+    i, trial, n = F.col("i"), F.col("trial"), F.col("n")
+    frames = users.select("trial", "n", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("i")).where((trial % 19 != 11) | (i % 10 != 4))
+    names = F.array(*[F.lit(p) for p in paired.PHASES])
+    return frames.select(
+        F.floor(trial / 12).alias("session"), (trial % 6).alias("block"), F.when(F.floor(trial / 6) % 2 == 0, "null").otherwise("press").alias("condition"),
+        F.lit("frame").alias("row_type"), i.alias("order"), F.get(names, F.floor(i / 20).cast("int")).alias("phase"), ((i % 20) / 4).alias("phase_elapsed_s"),
+        F.when((trial % 13 == 5) & (i > 40), i / 4 + 1).otherwise(i / 4).alias("thermal_host_s"), ((trial % 17 == 3) & (i == 9)).alias("ffc_active"),
+        ((n % 23 != 0) | (i != 30)).alias("artifact_ok"), (~((n % 7 == 0) & (i % 20 == 6))).alias("tracking_valid"),
+    )
+
+
 @query(
     "selected_blocks",
     with_telemetry(
-        _INTEGRITY
-        + """, z AS (SELECT session, block, condition, strlen(reasons) < 420 AS clean FROM o),
+        _RECORDED
+        + _CHECKS
+        + """, z AS (SELECT session, block, condition, reasons = '' AS clean FROM o),
 b AS (SELECT session, block, count(DISTINCT condition) = 2 AS both_sides, bool_and(clean) AS clean FROM z GROUP BY ALL),
 n AS (SELECT *, both_sides AND clean AS valid, sum(CASE WHEN both_sides AND clean THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY block) AS k FROM b)
 SELECT session, block, valid, valid AND k <= 2 AS selected, CASE WHEN NOT both_sides THEN 'condition_missing' WHEN NOT clean THEN 'trial_invalid' END AS reason FROM n"""
     ),
 )
 def selected_blocks(spark, root):
-    integrity = paired.trial_integrity(paired.admissible(_session_rows(spark, root)), "order")
-    # The sparse driver data never fills every bin: short reason lists stand in for clean trials.
-    lenient = F.when(F.length(F.concat_ws("|", "reasons")) < 420, F.array().cast("array<string>")).otherwise(F.col("reasons"))
-    return paired.selected_blocks(integrity.withColumn("reasons", lenient), wanted=2)
+    """Blocks whose two trials have no reason against them; the first two of a session are selected."""
+    integrity = paired.trial_integrity(paired.admissible(_recorded_rows(spark, root)), "order")
+    return paired.selected_blocks(integrity, wanted=2)
 
 
 @query(

@@ -502,19 +502,22 @@ def gated_metrics(spark, root):
     "plan_completeness",
     with_telemetry(
         """
-, n AS (SELECT trial, counter % 11 AS step_index, CASE counter % 3 WHEN 0 THEN 'C0' WHEN 1 THEN 'C30' ELSE 'R' END AS state, count(*) AS k FROM ev GROUP BY ALL),
-p AS (SELECT * FROM (VALUES (0, 'C0'), (1, 'C10'), (2, 'C20'), (3, 'C30'), (4, 'C20'), (5, 'C10'), (6, 'C0'), (7, 'R')) v(step_index, state)),
-g AS (SELECT DISTINCT ev.trial, p.step_index, p.state FROM ev, p)
-SELECT g.trial, g.step_index, g.state, coalesce(k, 0) AS completions FROM g LEFT JOIN n ON n.trial = g.trial AND n.step_index = g.step_index AND n.state = g.state"""
+, n AS (SELECT trial, counter % 3 + 1 AS recording, ['steady_state', 'hysteresis', 'release_pulses', 'start_drift', 'middle_drift', 'end_drift'][counter % 6 + 1] AS block, frame % 21 AS step_index, count(*) AS k FROM ev GROUP BY ALL),
+p AS (SELECT r AS recording, b AS block, i AS step_index FROM range(1, 4) x(r),
+  (SELECT 'steady_state' AS b, unnest(range(20)) AS i UNION ALL SELECT 'hysteresis', unnest(range(8)) UNION ALL SELECT 'release_pulses', unnest(range(12))
+   UNION ALL VALUES ('start_drift', 0), ('middle_drift', 0), ('end_drift', 0)) y),
+g AS (SELECT t.trial, p.* FROM (SELECT DISTINCT trial FROM ev) t, p)
+SELECT g.trial, CAST(g.recording AS INTEGER) AS recording, g.block, CAST(g.step_index AS INTEGER) AS step_index, coalesce(k, 0) AS completions
+FROM g LEFT JOIN n ON n.trial = g.trial AND n.recording = g.recording AND n.block = g.block AND n.step_index = g.step_index"""
     ),
 )
 def plan_completeness(spark, root):
-    states = F.array(*[F.lit(s) for s in ("C0", "C30", "R")])
+    """How often each of the 129 steps of all recordings was completed."""
+    blocks = F.array(*[F.lit(b) for b in ("steady_state", "hysteresis", "release_pulses", "start_drift", "middle_drift", "end_drift")])
     events = telemetry(spark, root).select(
-        "trial", (F.col("counter") % 11).alias("step_index"), F.get(states, (F.col("counter") % 3).cast("int")).alias("state")
+        "trial", (F.col("counter") % 3 + 1).alias("recording"), F.get(blocks, F.col("counter") % 6).alias("block"), (F.col("frame") % 21).cast("int").alias("step_index")
     )
-    plan = protocols.recording_plan(spark).filter((F.col("block") == "hysteresis") & (F.col("recording") == 1))
-    return protocols.plan_completeness(events, plan, ["trial"], ["step_index", "state"])
+    return protocols.plan_completeness(events, protocols.recording_plan(spark), ["trial"], ["recording", "block", "step_index"])
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberframe.catalog.bindings import EVENT_SERIES, frames, q, telemetry, with_frames, with_telemetry
@@ -10,13 +11,16 @@ from emberframe.operators import foam, pinch, repeatability
 
 
 def _tips(spark, root):
-    """Clicks touch, views press, purchases return; two tips by frame parity."""
+    """Clicks touch, views press, purchases return; two tips by frame parity.
+
+    As in a recording, a phase takes samples until its quota is met; some groups break off before.
+    """
     names = {"click": "record_just_touch", "view": "record_press_hard", "purchase": "record_return_touch"}
     phase = F.coalesce(*[F.when(F.col("phase") == k, F.lit(v)) for k, v in names.items()])
     df = telemetry(spark, root).filter(F.col("phase").isin(*names))
     lift = F.when(F.col("phase") == "view", 15.0).otherwise(0.0)
     point = {f"{p}_{a}": (F.col("counter") + F.col("signal") * (i + 1) / 10) for i, p in enumerate(pinch.POINTS) for a in "xy"}
-    return df.select(
+    rows = df.select(
         (F.col("trial") % 5).alias("session"), F.col("frame").alias("attempt"),
         (F.floor(F.col("trial") / 5) % 6).alias("group_index"), phase.alias("phase"),
         F.when(F.col("frame") % 2 == 0, "thumb_tip").otherwise("index_tip").alias("tip"),
@@ -26,13 +30,17 @@ def _tips(spark, root):
         (F.col("counter") / 100).alias("pinch_2d"), (F.col("counter") / 10).alias("center_shift_px"),
         (F.col("counter") % 3 == 0).alias("patch_overlap"),
     )
+    nth = F.row_number().over(Window.partitionBy("session", "group_index", "phase", "tip").orderBy("attempt"))
+    quota = F.when((F.col("session") + F.col("group_index")) % 7 == 3, pinch.TARGET_SAMPLES - 1).otherwise(pinch.TARGET_SAMPLES)
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= quota).drop("_nth")
 
 
 _TIP = """
 , s AS (SELECT trial % 5 AS session, (trial // 5) % 6 AS g, CASE phase WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' ELSE 'c' END AS p,
   CASE WHEN frame % 2 = 0 THEN 'thumb_tip' ELSE 'index_tip' END AS tip, signal + CASE WHEN phase = 'view' THEN 15 ELSE 0 END - 20 AS ex,
   signal * 0.9 + CASE WHEN phase = 'view' THEN 15 ELSE 0 END - 20 AS pa, counter / 100 AS pin, counter / 10 AS sh, counter % 3 = 0 AS ov,
-  signal / 100 AS dep, counter + signal / 10 AS u FROM ev WHERE phase IN ('click', 'view', 'purchase')),
+  signal / 100 AS dep, counter + signal / 10 AS u FROM ev WHERE phase IN ('click', 'view', 'purchase')
+  QUALIFY row_number() OVER (PARTITION BY session, g, p, tip ORDER BY frame) <= CASE WHEN (session + g) % 7 = 3 THEN 4 ELSE 5 END),
 t AS (SELECT session, g, tip, median(CASE WHEN p = 'b' THEN ex END) - 0.5 * (median(CASE WHEN p = 'a' THEN ex END) + median(CASE WHEN p = 'c' THEN ex END)) AS e,
   median(CASE WHEN p = 'b' THEN pa END) - 0.5 * (median(CASE WHEN p = 'a' THEN pa END) + median(CASE WHEN p = 'c' THEN pa END)) AS pe,
   median(CASE WHEN p = 'c' THEN ex END) - median(CASE WHEN p = 'a' THEN ex END) AS rd,
@@ -41,7 +49,7 @@ t AS (SELECT session, g, tip, median(CASE WHEN p = 'b' THEN ex END) - 0.5 * (med
 gg AS (SELECT session, g, median(e) AS primary_effect, median(pe) AS patch_effect, median(rd) AS recovery_delta FROM t GROUP BY ALL),
 th AS (SELECT session, g, median(CASE WHEN p = 'b' THEN pin END) - 0.5 * (median(CASE WHEN p = 'a' THEN pin END) + median(CASE WHEN p = 'c' THEN pin END)) AS ge,
   median(CASE WHEN p = 'b' THEN sh END) AS ps, median(CASE WHEN p = 'c' THEN sh END) AS rs, avg(CASE WHEN ov THEN 1 ELSE 0 END) AS ov,
-  count(CASE WHEN p = 'a' THEN 1 END) >= 1 AND count(CASE WHEN p = 'b' THEN 1 END) >= 1 AND count(CASE WHEN p = 'c' THEN 1 END) >= 1 AS valid
+  count(CASE WHEN p = 'a' THEN 1 END) = 5 AND count(CASE WHEN p = 'b' THEN 1 END) = 5 AND count(CASE WHEN p = 'c' THEN 1 END) = 5 AS valid
   FROM s WHERE tip = 'thumb_tip' GROUP BY ALL),
 ge AS (SELECT * FROM gg JOIN th USING (session, g) WHERE valid)"""
 
@@ -72,7 +80,7 @@ SELECT session, g AS group_index, round(primary_effect, 6) AS primary_effect, ro
 )
 def pinch_group_effects(spark, root):
     samples = _tips(spark, root)
-    out = pinch.group_effects(samples, pinch.valid_groups(samples, wanted=None))
+    out = pinch.group_effects(samples, pinch.valid_groups(samples))
     return out.select("session", "group_index", *[q(c).alias(c) for c in out.columns[2:]])
 
 
@@ -103,7 +111,7 @@ SELECT session, vg AS valid_groups, round(ia, 6) AS ir_accuracy, round(ga, 6) AS
 def pinch_session_verdict(spark, root):
     samples = _tips(spark, root)
     sessions = samples.select("session").distinct().withColumn("metadata_valid", F.lit(True))
-    out = pinch.session_analysis(samples, sessions, wanted=None)
+    out = pinch.session_analysis(samples, sessions)
     numbers = ("ir_accuracy", "geometry_accuracy", "ir_gain", "median_effect", "patch_median_effect", "press_recovery_ratio")
     return out.withColumns({n: q(n) for n in numbers}).withColumn("reasons", F.concat_ws("|", "reasons"))
 
@@ -466,7 +474,7 @@ def dynamic_cycles(spark, root):
     "palette_comparison",
     with_frames(
         _RAW
-        + """, m AS (SELECT trial, CAST(floor(median(level)) AS BIGINT) AS m FROM lv GROUP BY trial), o AS (SELECT trial, CAST(count(*) % 256 AS INTEGER) AS ob FROM st WHERE trial % 2 = 0 GROUP BY trial)
+        + """, m AS (SELECT trial, CAST(floor(median(level)) AS BIGINT) AS m FROM lv GROUP BY trial), o AS (SELECT trial, CAST(count(*) % 256 AS INTEGER) AS ob FROM st GROUP BY trial)
 SELECT trial, m AS target_raw_median, CAST(least(255, greatest(0, (m - 2900) * 255 // 200)) AS INTEGER) AS expected_palette_index, ob AS observed_palette_index,
   CAST(ob - least(255, greatest(0, (m - 2900) * 255 // 200)) AS INTEGER) AS observed_minus_expected FROM m LEFT JOIN o USING (trial)"""
     ),
@@ -474,7 +482,7 @@ SELECT trial, m AS target_raw_median, CAST(least(255, greatest(0, (m - 2900) * 2
 def palette_comparison(spark, root):
     raw = _raw(spark, root)
     levels = repeatability.phase_metric(repeatability.frame_medians(raw, ["trial"], REGION), ["trial"])
-    observed = raw.filter(F.col("trial") % 2 == 0).groupBy("trial").agg(
+    observed = raw.groupBy("trial").agg(
         (F.count(F.lit(1)) % 256).cast("int").alias("observed_palette_index")
     )
     return repeatability.palette_comparison(levels, observed, ["trial"], F.lit(2900), F.lit(3100))

@@ -239,7 +239,7 @@ def frame_intervals(spark, root):
     "marker_availability",
     with_telemetry(
         f"""
-, d AS (SELECT *, phase <> 'error' AS det FROM ev WHERE t >= 3600),
+, d AS (SELECT *, phase <> 'error' AS det FROM ev),
 c AS (SELECT *, CASE WHEN det = lag(det) OVER {_W} THEN 0 ELSE 1 END AS s FROM d),
 r AS (SELECT *, sum(s) OVER {_W} AS run FROM c),
 a AS (SELECT trial, run, count(*) AS n, min(t) AS b, max(t) AS e, bool_or(det) AS det FROM r GROUP BY ALL),
@@ -251,7 +251,7 @@ FROM x GROUP BY trial"""
     ),
 )
 def marker_availability(spark, root):
-    df = telemetry(spark, root).filter(F.col("t") >= 3600).withColumn("det", F.col("phase") != "error")
+    df = telemetry(spark, root).withColumn("det", F.col("phase") != "error")
     out = windows.missing_runs(df, EVENT_SERIES, "t", "det")
     return out.withColumn("longest_missing_s", q("longest_missing_s"))
 

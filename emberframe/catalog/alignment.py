@@ -150,7 +150,7 @@ def stream_reconciliation(spark, root):
 @query(
     "pair_by_number",
     """
-WITH n AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'cover.png' ELSE 'f_' || lpad(CAST(page_id * 7 % 61 AS VARCHAR), 4, '0') || '_' || regexp_extract(url, '//([^./]+)', 1) || page_id || '.png' END AS name FROM pages),
+WITH n AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'cover.png' ELSE 'f_' || lpad(CAST(page_id * 7 % 17 AS VARCHAR), 4, '0') || '_' || regexp_extract(url, '//([^./]+)', 1) || page_id || '.png' END AS name FROM pages),
 m AS (SELECT *, CAST(nullif(regexp_extract(name, '(\\d+)', 1), '') AS BIGINT) AS number FROM n),
 a AS (SELECT number, arg_max(page_id, name) AS left_page_id, max(name) AS left_name FROM m WHERE page_id % 2 = 0 AND number IS NOT NULL GROUP BY number),
 b AS (SELECT number, arg_max(page_id, name) AS right_page_id, max(name) AS right_name FROM m WHERE page_id % 2 = 1 AND number IS NOT NULL AND number % 5 <> 0 GROUP BY number)
@@ -159,7 +159,7 @@ SELECT number, left_name, left_page_id, right_name, right_page_id FROM a JOIN b
 def pair_by_number(spark, root):
     """Files of two cameras by the first number in their names; some names have none, some numbers one side."""
     pages, page = table(spark, root, "pages"), F.col("page_id")
-    number = F.lpad((page * 7 % 61).cast("string"), 4, "0")
+    number = F.lpad((page * 7 % 17).cast("string"), 4, "0")
     named = F.concat(F.lit("f_"), number, F.lit("_"), F.regexp_extract("url", "//([^./]+)", 1), page.cast("string"), F.lit(".png"))
     files = pages.select("page_id", F.when(page % 9 == 0, "cover.png").otherwise(named).alias("name"))
     right = files.where((page % 2 == 1) & (F.regexp_extract("name", r"^f_(\d+)", 1).try_cast("long") % 5 != 0))

@@ -201,3 +201,15 @@ def artifact_kind(name: Column) -> Column:
         .when(suffix == ".json", "metadata")
         .otherwise("other")
     )
+
+
+def routing_manifest(routed: DataFrame, name: str) -> DataFrame:
+    """Per group and kind: number of files, first and last name; files of no rule are the group ``unmatched``.
+
+    ``routed`` comes from ``longest_prefix``. The names themselves stay rows of ``routed``; a group that takes most
+    files is summed before the shuffle.
+    """
+    group = F.coalesce("group", F.lit("unmatched"))
+    return routed.groupBy(group.alias("group"), F.col("group").isNotNull().alias("matched"), artifact_kind(F.col(name)).alias("kind")).agg(
+        F.count(F.lit(1)).alias("files"), F.min(name).alias("first_name"), F.max(name).alias("last_name")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.protocol import COMPRESSION_TARGETS, step_direction
@@ -18,6 +18,7 @@ HYSTERESIS_STATES = ("C0", "C10", "C20", "C30", "C20", "C10", "C0", "R")
 HYSTERESIS_SECONDS = (4.0, 4.0, 4.0, 6.0, 4.0, 4.0, 4.0, 12.0)
 PULSE_STATES = (("release", "R", 8.0), ("target", "C30", 6.0), ("release", "R", 12.0))
 PULSES = 4
+# Conditions of the paired study's blocks in order, and the repeatability phases with their seconds.
 PRIMARY_BLOCKS = (
     ("null", "press"), ("press", "null"), ("press", "null"),
     ("null", "press"), ("null", "press"), ("press", "null"),
@@ -75,14 +76,13 @@ def stepped_plan(levels: DataFrame, cycles: int, level: str = "level", value: st
 
 
 def block_schedule(spark: SparkSession) -> DataFrame:
-    """Trials of the paired study: six primary and two reserve blocks of two conditions."""
-    blocks = PRIMARY_BLOCKS + RESERVE_BLOCKS
-    rows = [
-        (i, condition, order, i >= len(PRIMARY_BLOCKS))
-        for i, pair in enumerate(blocks)
-        for order, condition in enumerate(pair)
-    ]
-    return spark.createDataFrame(rows, "block int, condition string, order_in_block int, reserve boolean")
+    """Trials of the paired study: the primary blocks, then the reserve ones, of two conditions each."""
+    primary = spark.createDataFrame([(list(PRIMARY_BLOCKS), False), (list(RESERVE_BLOCKS), True)], "pairs array<array<string>>, reserve boolean")
+    blocks = primary.select("reserve", F.posexplode("pairs").alias("nth", "pair"))
+    block = F.col("nth") + F.when(F.col("reserve"), len(PRIMARY_BLOCKS)).otherwise(0)
+    return blocks.select(block.alias("block"), "reserve", F.posexplode("pair").alias("order_in_block", "condition")).select(
+        "block", "condition", "order_in_block", "reserve"
+    )
 
 
 def repeatability_plan(spark: SparkSession) -> DataFrame:
@@ -94,6 +94,24 @@ def repeatability_plan(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, position int, phase string, seconds double")
 
 
+def phase_sums(rows: DataFrame, plan: DataFrame, mode: str, elapsed: str, sums: dict[str, Column]) -> DataFrame:
+    """Aggregates of the rows in each phase of a plan (mode, position, phase, seconds), phases one after another.
+
+    ``elapsed`` is in seconds of the mode's run; rows outside all phases count nowhere, phases without rows stay.
+    The plan's few windows per mode are an array beside the mode's rows, so rows are neither copied nor sorted.
+    """
+    each = Window.partitionBy("mode").orderBy("position")
+    timed = plan.withColumn("_end", F.sum("seconds").over(each))
+    windows = timed.groupBy(F.col("mode").alias(mode)).agg(
+        F.array_sort(F.collect_list(F.struct("_end", (F.col("_end") - F.col("seconds")).alias("_start"), "position"))).alias("_windows")
+    )
+    inside = lambda w: (F.col(elapsed) >= w["_start"]) & (F.col(elapsed) < w["_end"])
+    placed = rows.join(windows, mode).withColumn("position", F.get(F.filter("_windows", inside), 0)["position"])
+    found = placed.where(F.col("position").isNotNull()).groupBy(mode, "position").agg(*[c.alias(n) for n, c in sums.items()])
+    counted = {n: F.coalesce(n, F.lit(0).cast("long")) for n in sums if dict(found.dtypes)[n] == "bigint"}
+    return plan.withColumnRenamed("mode", mode).join(found, [mode, "position"], "left").withColumns(counted)
+
+
 def realized_blocks(validity: DataFrame, keys: list[str], *, wanted: int = 6) -> DataFrame:
     """Blocks a session runs: all primary ones, reserves only while pairs are missing."""
     flag = F.when(F.col("valid"), 1).otherwise(0).cast("long")

@@ -95,7 +95,7 @@ def append_rows(df: DataFrame, path: str) -> None:
 def write_delta_fields(deltas: DataFrame, path: str, *kept: str) -> None:
     """Per-frame fields as float arrays, one folder per trial.
 
-    Rows are spread within the trial by frame so one trial does not end in one task.
+    Each task writes what it has of a trial, so a trial with most frames is written by all tasks that hold some.
     """
     floats = lambda c: F.transform(c, lambda v: v.cast("float")).alias(c)
     out = deltas.select("trial", "frame", floats("pixels"), floats("delta"), floats("baseline"), *kept)

@@ -26,18 +26,22 @@ def u16_little(payload: pd.Series) -> pd.Series:
 
 
 def raw_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw frames joined to their JSON sidecars by file name.
+    """Raw frames joined to their JSON sidecars by capture folder and file name.
 
-    A frame whose size does not match its sidecar keeps a reason and no pixels.
+    ``folder`` may be a pattern of many capture folders; ``capture`` names each frame's own. A frame whose size does
+    not match its sidecar keeps a reason and no pixels.
     """
-    sides = spark.read.schema(layouts.RAW_SIDECAR).option("multiLine", True).json(f"{folder}/raw_frame_*.json")
+    capture = lambda path: F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("capture")
+    inside = lambda path: F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("_folder")
+    read = spark.read.schema(layouts.RAW_SIDECAR).option("multiLine", True).json(f"{folder}/raw_frame_*.json")
+    sides = read.select("*", capture("_metadata.file_path"), inside("_metadata.file_path"))
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.bin")
         .load(folder)
-        .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("raw_file"), "content", "length")
+        .select(inside("_metadata.file_path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("raw_file"), "content", "length")
     )
-    joined = sides.join(files, "raw_file", "left")
+    joined = sides.join(files, ["_folder", "raw_file"], "left")
     issue = first_reason(
         (F.col("content").isNull(), "raw_file_missing"),
         (F.col("raw_file").contains("/"), "raw_file_not_plain"),
@@ -54,7 +58,7 @@ def raw_frames(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("repeated_frame_flag", F.lit(False)).alias("repeated"),
         "raw_min", "raw_median", "raw_max", mapping["mode"].alias("display_mode"),
         F.when(fixed, mapping["raw_low"]).alias("raw_low"), F.when(fixed, mapping["raw_high"]).alias("raw_high"),
-        "issue",
+        "issue", "capture",
     )
 
 

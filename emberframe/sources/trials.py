@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,29 +52,52 @@ def json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their file and their number in it, from 1.
+
+    Files are read in splits. A split's lines are counted where they are read; the lines of the splits before it in
+    the file, one row a split, are added. So a large file is neither read by one task nor sorted.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = None, 0
+        for batch in batches:
+            at = []
+            for split in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own, n = split, n + 1 if split == own else 1
+                at.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["value", "file", "_block", "_n"])
+
+    lines = read.mapInArrow(number, "value string, file string, _block long, _n long")
+    sizes = read.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("file", "_block", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(before, ["file", "_block"]).select("value", "file", (F.col("_before") + F.col("_n")).alias("line"))
+
+
 def session_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Line-by-line JSON session; blank lines are skipped, bad lines keep their text.
 
-    Every row carries its file. Use ``malformed`` to list bad lines or
+    Every row carries its file and line number. Use ``malformed`` to list bad lines or
     ``strict`` to stop on them.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    kept = lines.filter(F.trim("value") != "")
+    kept = numbered_lines(spark, path).filter(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = kept.withColumn("_row", F.from_json("value", with_corrupt, options))
     not_object = ~F.trim("value").startswith("{")
     bad = F.when(not_object | F.col(f"_row.{CORRUPT}").isNotNull(), F.col("value"))
-    return parsed.select("file", *[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields], bad.alias(CORRUPT))
+    return parsed.select("file", "line", *[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields], bad.alias(CORRUPT))
 
 
 def malformed(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col(CORRUPT).isNotNull()).select("file", CORRUPT)
+    return rows.filter(F.col(CORRUPT).isNotNull()).select("file", "line", CORRUPT)
 
 
 def strict(rows: DataFrame) -> DataFrame:
-    """Stop the job on a bad line, naming file and text."""
-    message = F.concat(F.lit("invalid session line in "), "file", F.lit(": "), F.col(CORRUPT))
+    """Stop the job on a bad line, naming file, line number and text."""
+    message = F.concat(F.lit("invalid session line "), F.col("line").cast("string"), F.lit(" of "), "file", F.lit(": "), F.col(CORRUPT))
     guard = F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return rows.filter(guard).drop(CORRUPT)
 

@@ -12,7 +12,7 @@ from emberframe.operators.settle import shared_folder
 from emberframe.operators.silence import silence_reports
 from emberframe.sources import feed
 from emberframe.sources import frames as frame_files
-from emberframe.streaming import run, timed, watches, windows
+from emberframe.streaming import machines, run, timed, watches, windows
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -476,3 +476,82 @@ def stream_frame_feed(spark, root):
         "stream", "at_us", "first_seq", "last_seq", "packets", F.concat_ws(",", *[event_of(k) for k in range(4)]).alias("ids"),
         F.octet_length("payload").alias("bytes"),
     )
+
+
+def _pressure_sql(blob: bool) -> str:
+    """The estimator's checks in their order, stepped row by row; what each leaves of the state follows."""
+    late = lambda a, b, limit: f"({a} - {b} > {limit} + greatest(abs({a}), abs({b}), {limit}) * 2.220446049250313e-16)"
+    pressure = "greatest(bd, 0) / 24" if blob else "(greatest(c0 - b0, 0) + greatest(c1 - b1, 0)) / 2 / 24"
+    return f"""
+WITH RECURSIVE {_ROWS},
+f AS MATERIALIZED (
+  SELECT source, rn, t, (t - 1704067200000000) / 1e12 AS now, CAST(k AS BIGINT) AS k, value FROM e
+), r AS MATERIALIZED (
+  SELECT *, now - (k % 11) * 0.021 AS oak, CASE WHEN k = 17 THEN NULL ELSE floor(now / 0.05) * 0.05 - (k % 3) * 0.05 END AS thermal, k <> 13 AS readable, k <> 29 AS shape_ok,
+         CASE WHEN k = 31 THEN NULL ELSE value % 20 END AS frame_range, 'c' || CAST(floor(value / 40) AS BIGINT) AS content, CASE WHEN k % 23 <> 5 THEN k // 50 END AS roi,
+         1 - (k % 9) / 12 AS quality, value AS c0, value / 2 AS c1, value - 20 AS bd, (k % 8) / 100 AS pinch, k % 41 <> 7 AS enabled FROM f
+), w AS (
+  SELECT DISTINCT source, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS t, CAST(NULL AS DOUBLE) AS th, CAST(NULL AS VARCHAR) AS seen, CAST(NULL AS BIGINT) AS rep, CAST(NULL AS DOUBLE) AS b0,
+         CAST(NULL AS DOUBLE) AS b1, CAST(NULL AS BIGINT) AS br, false AS act, '' AS status, CAST(0 AS DOUBLE) AS pressure, false AS available, CAST(0 AS DOUBLE) AS q FROM r
+  UNION ALL
+  SELECT source, rn, t,
+         CASE WHEN step <= 9 THEN th ELSE thermal END, CASE WHEN step = 5 THEN seen WHEN step < 10 OR step = 13 THEN NULL ELSE content END, CASE WHEN step = 5 THEN rep WHEN step < 10 OR step = 13 THEN NULL ELSE reps END,
+         CASE WHEN step = 5 THEN b0 WHEN step < 14 THEN NULL WHEN step = 14 THEN {"b0" if blob else "CASE WHEN fits THEN 0.08 * c0 + 0.92 * b0 ELSE c0 END"} ELSE b0 END,
+         CASE WHEN step = 5 THEN b1 WHEN step < 14 THEN NULL WHEN step = 14 THEN {"b1" if blob else "CASE WHEN fits THEN 0.08 * c1 + 0.92 * b1 ELSE c1 END"} ELSE b1 END,
+         CASE WHEN step = 5 THEN br WHEN step < 14 THEN NULL WHEN step = 14 THEN {"br" if blob else "roi"} ELSE br END,
+         CASE WHEN step = 5 THEN act WHEN step < 14 THEN false ELSE step > 14 END,
+         ['thermal_unavailable', 'oak_stale', 'thermal_stale', 'thermal_stale', 'thermal_pending', 'sensor_skew', 'thermal_shape_mismatch', 'thermal_unavailable', 'thermal_low_contrast', 'thermal_stale',
+          'projection_out_of_fov', 'low_quality', 'disabled', 'baseline', 'active_no_baseline', 'active'][step],
+         CASE WHEN step = 16 THEN least(greatest({pressure}, 0), 1) ELSE 0 END, step IN (5, 13, 14, 16), CASE WHEN step >= 12 THEN quality ELSE 0 END
+  FROM (
+    SELECT *, CASE WHEN NOT readable THEN 1 WHEN now - oak < 0 OR {late("now", "oak", 0.2)} THEN 2 WHEN thermal IS NULL OR now - thermal < 0 OR {late("now", "thermal", 0.2)} THEN 3 WHEN thermal < th THEN 4
+      WHEN thermal = th THEN 5 WHEN {late("greatest(oak, thermal)", "least(oak, thermal)", 0.15)} THEN 6 WHEN NOT shape_ok THEN 7 WHEN frame_range IS NULL THEN 8 WHEN frame_range < 2 THEN 9
+      WHEN reps > 2 THEN 10 WHEN roi IS NULL THEN 11 WHEN quality < 0.5 THEN 12 WHEN NOT enabled THEN 13 WHEN NOT active THEN 14 WHEN {"false" if blob else "NOT fits"} THEN 15 ELSE 16 END AS step
+    FROM (
+      SELECT r.*, w.th, w.seen, w.rep, w.b0, w.b1, w.br, w.act, CASE WHEN w.seen = r.content THEN w.rep + 1 ELSE 0 END AS reps, coalesce(w.br = r.roi, false) AS fits,
+             CASE WHEN NOT w.act AND r.pinch <= 0.045 THEN true WHEN w.act AND r.pinch >= 0.055 THEN false ELSE w.act END AS active
+      FROM w JOIN r ON r.source = w.source AND r.rn = w.rn + 1))
+)
+SELECT source, t AS at_us, status, round(pressure, 6) AS pressure, act AND status LIKE 'active%' AS active, available, round(q, 6) AS reading_quality FROM w WHERE rn > 0"""
+
+
+def _readings(df):
+    """Sensor readings made of events: hours of the timeline count as milliseconds, so ages and repeats occur."""
+    k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
+    now = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)) / F.lit(1e12)
+    value = F.col("value")
+    rows = df.select(F.col("user_id").alias("source"), "ts", "event_id", k.alias("k"), value.alias("value"), now.alias("now_s"))
+    k, now = F.col("k"), F.col("now_s")
+    return rows.select(
+        "source", "ts", "event_id", "now_s", (now - (k % 11) * 0.021).alias("oak_s"), F.when(k != 17, F.floor(now / 0.05) * 0.05 - (k % 3) * 0.05).alias("thermal_s"),
+        (k != 13).alias("readable"), (k != 29).alias("shape_ok"), F.when(k != 31, value % 20).alias("frame_range"), F.concat(F.lit("c"), F.floor(value / 40).cast("string")).alias("content"),
+        F.when(k % 23 != 5, F.array(F.floor(k / 50))).alias("roi"), F.lit("projection_out_of_fov").alias("roi_mode"), (1 - (k % 9) / 12).alias("quality"), F.array(value, value / 2).alias("crop"),
+        (value - 20).alias("blob_delta"), ((k % 8) / 100).alias("pinch"), (k % 41 != 7).alias("enabled"),
+    )
+
+
+def _pressure(out):
+    return out.withColumns({c: q(c) for c in ("pressure", "reading_quality")})
+
+
+PRESSURE = {blob: watches.PressureWatch(machines.PressureEstimator(max_repeats=2, blob=blob)) for blob in (False, True)}
+
+
+@query("stream_pressure", _pressure_sql(False))
+def stream_pressure(spark, root):
+    """The pressure estimator with its baseline, as a stream in event-time order with typed state."""
+    rows = _readings(run.open_table(spark, f"{root}/events.parquet"))
+    return _pressure(run.run_available(timed.timed_stream(rows, ["source"], "ts", PRESSURE[False], order=("event_id",)), spark))
+
+
+@query("replay_pressure", _pressure_sql(False))
+def replay_pressure(spark, root):
+    rows = _readings(table(spark, root, "events"))
+    return _pressure(timed.replay_timed(rows, ["source"], "ts", PRESSURE[False], timed.final_watermark(rows, "ts"), order=("event_id",)))
+
+
+@query("replay_blob_pressure", _pressure_sql(True))
+def replay_blob_pressure(spark, root):
+    """Pressure from the blob's rise alone, without a baseline."""
+    rows = _readings(table(spark, root, "events"))
+    return _pressure(timed.replay_timed(rows, ["source"], "ts", PRESSURE[True], timed.final_watermark(rows, "ts"), order=("event_id",)))

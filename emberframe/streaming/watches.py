@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from math import hypot
 from statistics import median
 
-from emberframe.streaming.machines import PairFreshness, SoakMonitor
+from emberframe.streaming.machines import PairFreshness, PressureEstimator, SoakMonitor
 from emberframe.streaming.timed import TimedMachine
 
 
@@ -304,3 +304,20 @@ class FrameAssembly(TimedMachine):
         if segment < 4:
             return {**state, "expected": segment + 1, "body": body}, []
         return self.initial(), [(state["first_seq"], row["seq"], packets, body)]
+
+
+@dataclass(frozen=True)
+class PressureWatch(TimedMachine):
+    """The pressure estimator over a stream in event-time order, with typed state; rows as it takes them."""
+
+    estimator: PressureEstimator
+    state = "thermal_s double, content string, repeats long, baseline array<double>, roi array<long>, active boolean"
+    output = "status string, pressure double, active boolean, available boolean, reading_quality double"
+
+    def initial(self):
+        return dict.fromkeys(x.split()[0] for x in self.state.split(", "))
+
+    def on_row(self, state, at, row):
+        known = {k: v for k, v in state.items() if v is not None}
+        new, out = self.estimator.step(known, row)
+        return {**self.initial(), **new}, [out]

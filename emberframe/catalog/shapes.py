@@ -146,7 +146,7 @@ def warm_finger(spark, root):
 def pca_scores(spark, root):
     stack = frames(spark, root)
     deltas = pixels.with_delta(stack, pixels.baseline(pixels.first_frames(stack, 20)))
-    out = pixels.pca_scores(deltas)
+    out = pixels.pca_scores(deltas, (1, 1, 6, 6))
     return out.select("trial", "frame", *[q(c, 4).alias(c) for c in out.columns[2:]])
 
 

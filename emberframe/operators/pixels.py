@@ -24,8 +24,6 @@ from emberframe.operators.quantiles import exact_median
 
 FRAME = ["trial", "frame"]
 PALETTE_ENTRIES = 256
-# Largest region of the principal scores; their matrix grows with its square.
-PCA_PIXELS = 4096
 
 
 def explode_pixels(frames: DataFrame, *kept: str) -> DataFrame:
@@ -490,33 +488,45 @@ def any_frame(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch and trial: sums and cross products of the pixel vectors."""
+#: Numbers that a task holds in partial sums before it passes them on.
+GRAM_NUMBERS = 1 << 24
+
+
+def _gram_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per task and trial: count, sum and cross products of the pixel vectors."""
+    held: dict[Any, list] = {}
+
+    def passed_on() -> pd.DataFrame:
+        rows = [(trial, 0, n, total, gram.ravel()) for trial, (n, total, gram) in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["trial", "part", "n", "total", "gram"])
+
     for batch in batches:
         for trial, part in batch.groupby("trial"):
             x = np.stack(part["delta"].to_numpy()).astype(float)
-            if x.shape[1] > PCA_PIXELS:
-                raise ValueError(f"crop frames to a region of at most {PCA_PIXELS} pixels first")
-            gram, total = x.T @ x, x.sum(axis=0)
-            yield pd.DataFrame(
-                {"trial": trial, "row": np.arange(len(total)), "n": len(x), "total": total, "gram": list(gram)}
-            )
+            n, total, gram = held.get(trial, (0, 0.0, 0.0))
+            held[trial] = [n + len(x), total + x.sum(axis=0), gram + x.T @ x]
+        if sum(h[2].size for h in held.values()) > GRAM_NUMBERS:
+            yield passed_on()
+    yield passed_on()
+
+
+def _summed(part: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    total, gram = 0.0, 0.0
+    for t, g in zip(part["total"], part["gram"]):
+        total, gram = total + np.asarray(t), gram + np.asarray(g)
+    return int(part["n"].sum()), total, gram
 
 
 def _add_grams(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "trial": [key[0]], "row": [key[1]], "n": [int(part["n"].sum())],
-            "total": [float(part["total"].sum())], "gram": [np.sum(np.stack(part["gram"].to_numpy()), axis=0)],
-        }
-    )
+    n, total, gram = _summed(part)
+    return pd.DataFrame({"trial": [key[0]], "part": [key[1]], "n": [n], "total": [total], "gram": [gram]})
 
 
 def _leading_axes(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("row")
-    n, total = int(part["n"].iloc[0]), part["total"].to_numpy()
+    n, total, gram = _summed(part)
     mean = total / n
-    spread = np.stack(part["gram"].to_numpy()) - n * np.outer(mean, mean)
+    spread = gram.reshape(len(mean), -1) - n * np.outer(mean, mean)
     values, vectors = np.linalg.eigh(spread)
     axes = []
     for i in np.argsort(values)[::-1][:3]:
@@ -528,28 +538,28 @@ def _leading_axes(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"trial": [part["trial"].iloc[0]], "mean": [mean], "axes": [axes]})
 
 
-def pca_scores(deltas: DataFrame) -> DataFrame:
+def pca_scores(deltas: DataFrame, region: tuple[int, int, int, int] | None) -> DataFrame:
     """First three principal scores of each frame's delta within its trial.
 
-    Cross products are summed per batch and then per (trial, matrix row), so the
-    cost grows with the region, not with the square of the frames; the last step
-    sees one pixel-by-pixel matrix per trial. Crop to a region first.
+    ``region`` (x, y, width, height) is cut out of each frame first and sets the cost: the square of its pixels per
+    trial and task; None takes the vectors as they are. Cross products are summed within each task, then in parts of
+    a trial, then once a trial, so no task adds up what all tasks made.
     """
+    if region is not None:
+        cut = arrays.crop(F.col("delta"), F.col("width"), *[F.lit(v) for v in region])
+        deltas = deltas.withColumn("delta", cut).where(F.col("delta").isNotNull())
     key = deltas.schema["trial"]
-    row_type = T.StructType(
-        [
-            key, T.StructField("row", T.LongType()), T.StructField("n", T.LongType()),
-            T.StructField("total", T.DoubleType()), T.StructField("gram", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    axes_type = T.StructType(
+    doubles = T.ArrayType(T.DoubleType())
+    partial_type = T.StructType(
         [
-            key, T.StructField("mean", T.ArrayType(T.DoubleType())),
-            T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType()))),
+            key, T.StructField("part", T.LongType()), T.StructField("n", T.LongType()),
+            T.StructField("total", doubles), T.StructField("gram", doubles),
         ]
     )
-    partial = deltas.select("trial", "delta").mapInPandas(_gram_rows, row_type)
-    summed = partial.groupBy("trial", "row").applyInPandas(_add_grams, row_type)
+    axes_type = T.StructType([key, T.StructField("mean", doubles), T.StructField("axes", T.ArrayType(doubles))])
+    partial = deltas.select("trial", "delta").mapInPandas(_gram_parts, partial_type)
+    spread = partial.withColumn("part", F.spark_partition_id().cast("long") % 32)
+    summed = spread.groupBy("trial", "part").applyInPandas(_add_grams, partial_type)
     axes = summed.groupBy("trial").applyInPandas(_leading_axes, axes_type)
     joined = deltas.select("trial", "frame", "delta").join(axes, "trial")
     centred = arrays.difference(F.col("delta"), F.col("mean"))

@@ -79,12 +79,28 @@ def test_pca_matches_svd(stored):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(9, 6))
     df = stored([(0, i, row.tolist()) for i, row in enumerate(x)], "trial int, frame int, delta array<double>")
-    got = np.array([r[2:] for r in pixels.pca_scores(df).orderBy("frame").collect()])
+    got = np.array([r[2:] for r in pixels.pca_scores(df, None).orderBy("frame").collect()])
     centred = x - x.mean(axis=0)
     u, s, _ = np.linalg.svd(centred, full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-6)
 
 
+def test_pca_of_a_region_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "GRAM_NUMBERS", 50)
+    rng = np.random.default_rng(4)
+    images = {t: rng.normal(size=(30, 6, 8)) for t in (1, 2)}
+    rows = [(t, i, 6, 8, image.ravel().tolist()) for t, own in images.items() for i, image in enumerate(own)]
+    df = spark.createDataFrame(rows, "trial int, frame int, height int, width int, delta array<double>").repartition(7)
+    got = {(r[0], r[1]): r[2:] for r in pixels.pca_scores(df, (2, 1, 4, 3)).collect()}
+    for t, own in images.items():
+        x = own[:, 1:4, 2:6].reshape(30, -1)
+        scores = np.array([got[t, i] for i in range(30)])
+        spread = scores.T @ scores
+        s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
+        assert np.allclose(np.diag(spread), s[:3] ** 2) and np.allclose(spread - np.diag(np.diag(spread)), 0, atol=1e-6)
+        assert np.allclose(scores.mean(axis=0), 0, atol=1e-9)
+
+
 def test_shift_search():
     anchor = np.array([y * 20 + x for y in range(5, 10) for x in range(6, 12)])
     assert tracking.best_shift(anchor, tracking.moved(anchor, 20, 20, 2, -1), 20, 20, (0, 0)) == (2, -1)

@@ -56,7 +56,10 @@ def with_telemetry(body: str) -> str:
 
 def frames(spark: SparkSession, root: str) -> DataFrame:
     """``embeddings`` as 8x8 frames; values scaled to counts."""
-    rows = table(spark, root, "embeddings")
+    return frames_of(table(spark, root, "embeddings"))
+
+
+def frames_of(rows: DataFrame) -> DataFrame:
     counts = F.transform("embedding", lambda v: F.round(v.cast("double") * 1000).cast("int"))
     return rows.select(
         F.col("label").alias("trial"),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberframe.catalog.bindings import frames, q, with_frames
+from emberframe.catalog.bindings import frames, frames_of, q, with_frames
 from emberframe.catalog.registry import query
 from emberframe.operators import components, pixels, tracking
+from emberframe.operators.settle import settle
+from emberframe.streaming import run, timed, watches
 
 
 def _mask():
@@ -175,15 +177,32 @@ def template_tracking(spark, root):
     )
 
 
-@query("mask_tracking")
-def mask_tracking(spark, root):
-    """Warm-mask shifts against each trial's first frame, walked over the whole trial."""
-    stack = frames(spark, root)
+def _trial_anchors(stack):
     first = components.hand_component(pixels.first_frames(stack, 1), offset=40.0, min_area=4, min_centre_x=0.0)
     inner = F.filter("positions", lambda p: (p % 8 > 0) & (p % 8 < 7) & (p > 7) & (p < 56))
-    anchors = first.select(
+    return first.select(
         "trial", "positions", inner.alias("distal"), inner.alias("proximal"), F.lit(12.0).alias("finger_width_px"),
         F.lit(None).cast("int").alias("desk_u"), F.lit(None).cast("int").alias("desk_v"), F.lit(None).cast("string").alias("reason"),
     )
-    out = tracking.track_trials(stack, anchors, offset=40.0, min_area=4, min_centre_x=0.0)
-    return out.select("trial", "frame", "shift_u", "shift_v", "tracking_reason", "distal_count")
+
+
+_SEGMENT = {"offset": 40.0, "min_area": 4, "min_centre_x": 0.0}
+_TRACKED = ("trial", "frame", "shift_u", "shift_v", "tracking_reason", "distal_count")
+
+
+@query("mask_tracking")
+def mask_tracking(spark, root):
+    """Warm-mask shifts against each trial's first frame, walked over the whole trial."""
+    stack = frames(spark, root)
+    return tracking.track_trials(stack, _trial_anchors(stack), **_SEGMENT).select(*_TRACKED)
+
+
+@query("stream_mask_tracking")
+def stream_mask_tracking(spark, root):
+    """The same as a stream of frames, one a second; each trial's tracker state is kept by the stream."""
+    stack = frames(spark, root)
+    anchors = settle(_trial_anchors(stack))
+    live = frames_of(run.open_table(spark, f"{root}/embeddings.parquet")).withColumn("ts", F.timestamp_seconds(F.col("frame") + 1))
+    hands = tracking.hands_beside_anchors(live, anchors, "ts", **_SEGMENT)
+    walked = run.run_available(timed.timed_stream(hands, ["trial"], "ts", watches.TrackWatch(), order=("frame",)), spark)
+    return tracking.tracked_counts(walked.drop("at_us"), stack, anchors).select(*_TRACKED)

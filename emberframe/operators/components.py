@@ -366,13 +366,14 @@ def hand_component(
 ) -> DataFrame:
     """Largest warm part on the right side of every frame that has one."""
     return (
-        _with_hand(frames, offset, min_area, min_centre_x, min_x)
+        with_hand(frames, offset, min_area, min_centre_x, min_x)
         .where(F.col("_best").isNotNull())
         .select(*FRAME, F.col("_parts").alias("parts"), "width", "height", "_best.*")
     )
 
 
-def _with_hand(frames: DataFrame, offset: float, min_area: int, min_centre_x: float, min_x: int) -> DataFrame:
+def with_hand(frames: DataFrame, offset: float, min_area: int, min_centre_x: float, min_x: int) -> DataFrame:
+    """``frames`` with ``_best``, the largest warm part on the right side; null without one."""
     level = arrays.quantile(F.array_sort("pixels"), 0.5) + offset
     warm = arrays.against(F.col("pixels"), level, lambda v, t: v >= t)
     mask = F.transform(warm, lambda m, i: m & (i % F.col("width") >= min_x))
@@ -387,7 +388,7 @@ def warm_finger(
     from emberframe.functions.numbers import half_even
 
     segment = {"offset": SEGMENT_OFFSET, "min_area": SEGMENT_MIN_AREA, "min_centre_x": 80.0, "min_x": 50, **segment}
-    hand = _with_hand(frames, **segment).select(*frames.columns, "_best.area", "_best.positions")
+    hand = with_hand(frames, **segment).select(*frames.columns, "_best.area", "_best.positions")
     width = F.col("width")
     med = lambda a: arrays.quantile(F.array_sort(a), 0.5)
     xs = F.transform("positions", lambda p: (p % width).cast("double"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from emberframe.functions import arrays
 from emberframe.functions.numbers import first_reason, half_even, median_of, trimmed_mean
-from emberframe.operators.components import FRAME, components, hand_component
+from emberframe.operators.components import FRAME, SEGMENT_MIN_AREA, SEGMENT_OFFSET, components, hand_component, with_hand
 from emberframe.operators.pixels import hand_axis, median_image, morphology
 
 # Fixed values of the tracked-finger protocol, in pixels and counts.
@@ -239,18 +239,35 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["trial", "frame", *[f.name for f in TRACK_FIELDS]])
 
 
+_ANCHORED = ("positions", "distal", "proximal", "finger_width_px")
+
+
+def _held(anchors: DataFrame) -> DataFrame:
+    usable = anchors.filter(F.col("reason").isNull())
+    return usable.select("trial", "desk_u", "desk_v", *[F.col(n).alias(f"anchor_{n}") for n in _ANCHORED])
+
+
+def hands_beside_anchors(frames: DataFrame, anchors: DataFrame, *kept: str, **segment) -> DataFrame:
+    """Frames of anchored trials with their hand's positions (null without a hand) and the trial's anchor.
+
+    ``anchors`` has one row a trial. A stream of frames may be joined to a table of anchors.
+    """
+    segment = {"offset": SEGMENT_OFFSET, "min_area": SEGMENT_MIN_AREA, "min_centre_x": 60.0, "min_x": 0, **segment}
+    hands = with_hand(frames, **segment).select(*FRAME, *kept, "width", "height", "_best.positions")
+    return hands.join(_held(anchors).drop("desk_u", "desk_v"), "trial")
+
+
 def track_trials(frames: DataFrame, anchors: DataFrame, **segment) -> DataFrame:
     """Shift, validity and region counts for every frame of anchored trials."""
-    usable = anchors.filter(F.col("reason").isNull())
-    names = ("positions", "distal", "proximal", "finger_width_px")
-    held = usable.select("trial", "desk_u", "desk_v", *[F.col(n).alias(f"anchor_{n}") for n in names])
-    hands = hand_component(frames, **segment).select(*FRAME, "positions", "area")
-    joined = frames.select(*FRAME, "width", "height").join(hands, FRAME, "left").join(held, "trial")
+    joined = hands_beside_anchors(frames, anchors, **segment)
     schema = T.StructType([frames.schema["trial"], frames.schema["frame"], *TRACK_FIELDS])
-    walked = joined.select(
-        *FRAME, "width", "height", "positions", *[f"anchor_{n}" for n in names]
-    ).repartition("trial").sortWithinPartitions(*FRAME).mapInPandas(_walk, schema)
-    measured = walked.join(frames, FRAME).join(held, "trial")
+    walked = joined.repartition("trial").sortWithinPartitions(*FRAME).mapInPandas(_walk, schema)
+    return tracked_counts(walked, frames, anchors)
+
+
+def tracked_counts(walked: DataFrame, frames: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Region counts of walked frames: medians and trimmed means under the shifted anchor regions."""
+    measured = walked.join(frames, FRAME).join(_held(anchors), "trial")
     width = F.col("width")
     valid = F.col("tracking_reason").isNull()
 

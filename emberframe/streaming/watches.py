@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from math import hypot
 from statistics import median
 
+from emberframe.operators.tracking import advance
 from emberframe.streaming.machines import PairFreshness, PressureEstimator, SoakMonitor
 from emberframe.streaming.timed import TimedMachine
 
@@ -321,3 +322,24 @@ class PressureWatch(TimedMachine):
         known = {k: v for k, v in state.items() if v is not None}
         new, out = self.estimator.step(known, row)
         return {**self.initial(), **new}, [out]
+
+
+@dataclass(frozen=True)
+class TrackWatch(TimedMachine):
+    """A trial's mask tracker: the last accepted shift and hand area are its state.
+
+    Rows are frames as ``hands_beside_anchors`` gives them.
+    """
+
+    state = "shift_u long, shift_v long, area long"
+    output = "frame long, shift_u int, shift_v int, center_step_px double, area_change_ratio double, tracking_reason string"
+
+    def initial(self):
+        return {"shift_u": None, "shift_v": None, "area": None}
+
+    def on_row(self, state, at, row):
+        anchor = {k: row[f"anchor_{k}"] for k in ("positions", "distal", "proximal", "finger_width_px")}
+        before = (0, 0, len(anchor["positions"])) if state["area"] is None else (state["shift_u"], state["shift_v"], state["area"])
+        (u, v, area), shift, step, change, reason = advance(anchor, before, row["positions"], row["width"], row["height"])
+        new = {"shift_u": int(u), "shift_v": int(v), "area": int(area)}
+        return new, [(row["frame"], int(shift[0]), int(shift[1]), step, change, reason)]

@@ -163,3 +163,11 @@ def test_soak_without_a_first_frame_ends_by_itself():
     frame = {**tick, "frame_id": 1, "observed_us": SECOND, "status": "baseline", "available": True, "pinch": 0.06}
     out = walked(watches.SoakWatch(2 * SECOND), [(0, tick), (1, frame)], 60)
     assert [x[1] for x in out] == [None, "MOVING", None] and out[-1][4] == "oak_publication_stall"
+
+
+def test_tracking_as_a_stream_equals_the_walk(spark):
+    from emberframe.catalog import QUERIES
+
+    root = "/root/testdata/sf0.001"
+    batch, live = outcome(QUERIES["mask_tracking"](spark, root)), outcome(QUERIES["stream_mask_tracking"](spark, root))
+    assert batch == live and len({r[4] for r in batch}) > 1

@@ -516,3 +516,67 @@ def capture_audit(spark, root):
     )
     out = repeatability.capture_audit(stored, ["trial"], max_repeated=0.05).drop("level_min", "level_max", "level_stdev")
     return out.withColumns({n: q(n) for n in ("level_mean", "drift_counts_per_s", "repeated_frame_fraction")})
+
+
+def _report_sql() -> str:
+    """Modes side by side: one subquery a part, the regions as columns of the level."""
+    boxes = {"target": "x >= 2 AND x < 6 AND y >= 2 AND y < 6", "control": "x < 3 AND y < 8"}
+    levels = " UNION ALL ".join(
+        f"""SELECT '{region}' AS region, st.trial AS run, st.frame, ts, CAST(floor(median(v + 3000)) AS BIGINT) AS level FROM st JOIN px ON px.trial = st.trial AND px.frame = st.frame
+        WHERE state = 'normal' AND NOT rep AND {box} GROUP BY ALL"""
+        for region, box in boxes.items()
+    )
+    return with_frames(
+        _RAW
+        + f""", rn AS (SELECT DISTINCT trial AS run, trial // 5 AS session, ['ffc', 'restart', 'dynamic', 'restart', 'dynamic', 'other'][trial % 6 + 1] AS mode FROM px),
+lr AS ({levels}), l AS (SELECT lr.*, session, mode FROM lr JOIN rn USING (run)),
+fr AS (SELECT run, session, mode, frame, CASE WHEN run % 4 = 1 AND frame % 40 > 36 THEN 'display_mode_mismatch' WHEN run % 4 = 3 AND frame % 50 > 45 THEN 'display_bounds_mismatch' END AS issue FROM st JOIN rn ON rn.run = st.trial),
+di AS (SELECT run, arg_min(issue, frame) AS issue FROM fr WHERE issue IS NOT NULL GROUP BY run),
+sh AS (SELECT trial AS run, frame, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY trial ORDER BY ts, frame) > 20000000000 THEN 1 ELSE 0 END AS g FROM st WHERE state = 'ffc'),
+cl AS (SELECT run, sum(g) OVER (PARTITION BY run ORDER BY ts, frame) AS cluster, ts FROM sh),
+ev AS (SELECT r.session, r.run, r.mode, cluster, min(ts) AS s, max(ts) AS x FROM cl JOIN rn r USING (run) WHERE mode = 'ffc' GROUP BY ALL),
+rg AS (SELECT unnest(['target', 'control']) AS region),
+er AS (SELECT ev.*, region, (SELECT CAST(floor(median(level)) AS BIGINT) FROM l WHERE l.run = ev.run AND l.region = rg.region AND ts BETWEEN s - 30000000000 AND s - 1) AS a,
+  (SELECT CAST(floor(median(level)) AS BIGINT) FROM l WHERE l.run = ev.run AND l.region = rg.region AND ts BETWEEN x + 2000000000 AND x + 32000000000) AS b FROM ev, rg),
+wn AS (SELECT run, mode, ts // 100000000000 AS c, min(ts) AS lo, max(ts) AS hi FROM (SELECT trial AS run, ts FROM st) JOIN rn USING (run) WHERE mode <> 'ffc' GROUP BY ALL),
+wi AS (SELECT run, CASE WHEN mode = 'restart' THEN CASE WHEN c = 1 AND run % 3 <> 0 THEN 'stable' ELSE 'other_' || c END ELSE ['baseline', 'hot_hand', 'recovery'][c % 3 + 1] || '_' || c // 3 END AS phase, lo, hi FROM wn),
+me AS (SELECT l.session, l.run, l.mode, region, phase, CAST(floor(median(level)) AS BIGINT) AS m FROM l JOIN wi ON wi.run = l.run AND ts BETWEEN lo AND hi WHERE l.mode <> 'ffc' GROUP BY ALL),
+sa AS (SELECT * FROM me WHERE mode = 'restart' AND phase = 'stable'),
+rf AS (SELECT session, region, arg_min(m, run) AS ref, min(run) AS first FROM sa GROUP BY ALL),
+cy AS (SELECT session, run, mode, region, regexp_extract(phase, '_([0-9]+)$', 1) AS cycle, max(m) FILTER (phase LIKE 'baseline%') AS b, max(m) FILTER (phase LIKE 'hot%') AS h, max(m) FILTER (phase LIKE 'recovery%') AS r
+  FROM me WHERE mode = 'dynamic' GROUP BY ALL)
+SELECT session, run, mode, NULL AS region, 'display' AS part, NULL AS name, CAST(NULL AS DOUBLE) AS value, CASE WHEN mode = 'other' THEN 'mode_invalid' ELSE issue END AS issue FROM rn LEFT JOIN di USING (run)
+UNION ALL SELECT session, run, mode, region, 'ffc_event', CAST(CAST(cluster AS BIGINT) AS VARCHAR), b - a, CASE WHEN a IS NULL THEN 'pre_window_empty' WHEN b IS NULL THEN 'post_window_empty' END FROM er
+UNION ALL SELECT rn.session, rn.run, rn.mode, rg.region, 'stable', 'stable', m, CASE WHEN m IS NULL THEN 'stable_phase_missing' END FROM rn CROSS JOIN rg LEFT JOIN sa ON sa.run = rn.run AND sa.region = rg.region WHERE rn.mode = 'restart'
+UNION ALL SELECT sa.session, run, mode, sa.region, 'restart_offset', CAST(first AS VARCHAR), m - ref, NULL FROM sa JOIN rf ON rf.session = sa.session AND rf.region = sa.region
+UNION ALL SELECT session, run, mode, region, 'phase', phase, m, NULL FROM me WHERE mode = 'dynamic'
+UNION ALL SELECT session, run, mode, region, 'hot_minus_baseline', cycle, h - b, CASE WHEN h IS NULL OR r IS NULL THEN 'cycle_incomplete' END FROM cy WHERE b IS NOT NULL
+UNION ALL SELECT session, run, mode, region, 'recovery_minus_baseline', cycle, r - b, CASE WHEN h IS NULL OR r IS NULL THEN 'cycle_incomplete' END FROM cy WHERE b IS NOT NULL"""
+    )
+
+
+@query("session_report", _report_sql())
+def session_report(spark, root):
+    """Shutter, restart and dynamic runs of repeatability sessions, each analysed by its mode, with its display contract."""
+    run, frame = F.col("run"), F.col("frame")
+    fixed = run % 4 == 3
+    raw = _raw(spark, root).withColumnRenamed("trial", "run").withColumns(
+        {
+            "display_mode": F.when(fixed | ((run % 4 == 1) & (frame % 40 > 36)), "fixed_raw_counts").otherwise("dynamic_per_frame_min_max"),
+            "raw_low": F.when(fixed, 2900), "raw_high": F.when(fixed, F.when(frame % 50 > 45, 3000).otherwise(3100)),
+        }
+    )
+    modes = F.array(*[F.lit(m) for m in ("ffc", "restart", "dynamic", "restart", "dynamic", "other")])
+    runs = raw.select("run").distinct().select(
+        F.floor(run / 5).cast("int").alias("session"), "run", F.get(modes, run % 6).alias("mode"),
+        F.when(fixed, "fixed").otherwise("dynamic").alias("display"), F.when(fixed, 2900).alias("low"), F.when(fixed, 3100).alias("high"),
+    )
+    part = F.floor(F.col("ts_ns") / (100 * _SECOND))
+    names = F.array(*[F.lit(n) for n in ("baseline", "hot_hand", "recovery")])
+    cycle = F.concat_ws("_", F.get(names, (F.col("c") % 3).cast("int")), F.floor(F.col("c") / 3).cast("string"))
+    restart = F.when((F.col("c") == 1) & (run % 3 != 0), "stable").otherwise(F.concat(F.lit("other_"), F.col("c").cast("string")))
+    spans = raw.join(runs.select("run", "mode"), "run").where("mode <> 'ffc'").groupBy("run", "mode", part.alias("c")).agg(F.min("ts_ns").alias("start"), F.max("ts_ns").alias("end"))
+    windows = spans.select("run", F.when(F.col("mode") == "restart", restart).otherwise(cycle).alias("phase"), "start", "end")
+    return repeatability.session_report(
+        raw, runs, windows, {"target": REGION, "control": (0, 0, 3, 8)}, window_ns=30 * _SECOND, delay_ns=2 * _SECOND, gap_ns=20 * _SECOND
+    )

@@ -233,3 +233,56 @@ def capture_audit(frames: DataFrame, keys: list[str], *, max_repeated: float | N
     return audit.withColumns(
         {"repeated_frame_fraction": share, "raw_stream_accepted": accepted, "issue": issue}
     )
+
+
+def session_report(
+    frames: DataFrame, runs: DataFrame, windows: DataFrame, regions: dict[str, tuple[int, int, int, int]], *,
+    window_ns: int, delay_ns: int, gap_ns: int,
+) -> DataFrame:
+    """What each run of a session gives by its mode, one row a value: (session, run, mode, region, part, name, value, issue).
+
+    ``runs`` has session, run, mode (ffc, restart or dynamic) and the display contract (display, low, high);
+    ``frames`` the raw frames with run and their stored display mapping; ``windows`` (run, phase, start, end) the
+    phases. Shutter runs give the level shift over each event; restart runs the level of the stable phase and its
+    offset from the session's first run; dynamic runs the level of each phase and the changes of each cycle. Every
+    run has a ``display`` row with its first departure from the contract, and a run of no known mode an issue.
+    """
+    placed = frames.join(runs.select("run", "session", "mode", "display", "low", "high"), "run")
+    shape = lambda part, name, value, issue: [
+        "session", "run", "mode", F.col("_region").alias("region"), F.lit(part).alias("part"), name.cast("string").alias("name"),
+        value.cast("double").alias("value"), issue.cast("string").alias("issue"),
+    ]
+    none = F.lit(None)
+    of = ["session", "run", "mode"]
+    known = F.col("mode").isin("ffc", "restart", "dynamic")
+    departs = display_issues(placed, F.col("display"), F.col("low"), F.col("high"))
+    checked = placed.withColumn("_departs", departs).groupBy(*of).agg(
+        F.min_by("_departs", F.when(F.col("_departs").isNotNull(), F.col("frame"))).alias("_issue")
+    )
+    seen = runs.select(*of).join(checked, of, "left").withColumn("_region", none.cast("string"))
+    issue = F.when(~known, "mode_invalid").otherwise(F.col("_issue"))
+    parts = [seen.select(*shape("display", none, none, issue))]
+    for region, box in regions.items():
+        levels = frame_medians(placed, of, box).withColumn("_region", F.lit(region))
+        keys = [*of, "_region"]
+        shut = placed.where("mode = 'ffc'").select(*of, "frame", "ts_ns", "ffc_state").withColumn("_region", F.lit(region))
+        spans = recovery_windows(shut, keys, window_ns=window_ns, delay_ns=delay_ns, gap_ns=gap_ns)
+        events = ffc_recovery(levels.where("mode = 'ffc'"), spans, keys, window_ns=window_ns)
+        parts.append(events.select(*shape("ffc_event", F.col("cluster"), F.col("post_minus_pre_counts"), F.col("reason"))))
+        phased = interval_join(levels.where("mode <> 'ffc'"), windows, ["run"], "ts_ns", bucket=window_ns, disjoint=True)
+        metrics = phase_metric(phased, [*keys, "phase"])
+        stable = metrics.where("mode = 'restart' and phase = 'stable'")
+        restarts = runs.where("mode = 'restart'").select(*of).withColumn("_region", F.lit(region))
+        held = restarts.join(stable, keys, "left")
+        parts.append(held.select(*shape("stable", F.lit("stable"), F.col("median"), F.when(F.col("median").isNull(), "stable_phase_missing"))))
+        moved = restart_offsets(stable.select(*keys, "median"), ["session", "_region"], "run", "median")
+        parts.append(moved.select(*shape("restart_offset", F.col("reference_run"), F.col("offset"), none)))
+        dynamic = metrics.where("mode = 'dynamic'")
+        parts.append(dynamic.select(*shape("phase", F.col("phase"), F.col("median"), none)))
+        cycles = dynamic_cycles(dynamic, keys, "phase", "median")
+        for change in ("hot_minus_baseline", "recovery_minus_baseline"):
+            parts.append(cycles.select(*shape(change, F.col("cycle"), F.col(change), F.col("issue"))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -23,6 +23,11 @@ def micros_since_origin(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(origin)
 
 
+def instant(ts: str) -> Column:
+    """The stored wall clock as an instant, read as UTC whatever the session zone is."""
+    return F.timestamp_micros(micros_since_origin(ts) + F.lit(1_704_067_200_000_000))
+
+
 def telemetry(spark: SparkSession, root: str) -> DataFrame:
     """``events`` as trial telemetry: one trial per user, one row per frame."""
     events = table(spark, root, "events")

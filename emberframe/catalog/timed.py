@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from emberframe.catalog.bindings import q, table
+from emberframe.catalog.bindings import instant, micros_since_origin, q, table
 from emberframe.catalog.registry import query
 from emberframe.operators.ordered import Series
 from emberframe.operators.settle import shared_folder
@@ -39,9 +39,9 @@ def _events(df):
     event = F.when(F.col("event_type") == "signup", "unlock").when(F.col("event_type").isin("error", "view"), "space").otherwise("sample")
     status = F.when(F.col("event_type") == "click", "baseline").when(F.col("event_type") == "error", "thermal_stale")
     return df.select(
-        F.col("user_id").alias("source"), "ts", "event_id", kind.alias("kind"), event.alias("event"), "value",
+        F.col("user_id").alias("source"), instant("ts").alias("ts"), "event_id", kind.alias("kind"), event.alias("event"), "value",
         F.col("value").alias("u"), F.regexp_extract("props", r'"k": (\d+)', 1).cast("double").alias("v"),
-        F.col("event_id").alias("frame_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("observed_us"),
+        F.col("event_id").alias("frame_id"), F.unix_micros(instant("ts")).alias("observed_us"),
         (F.col("event_type") != "signup").alias("hand_valid"), F.when(F.col("event_type") == "view", "open").otherwise("closed").alias("fist"),
         F.when(F.col("event_type").isin("view", "signup"), "active").otherwise(status).alias("status"),
         (F.col("event_type") != "error").alias("available"), F.col("value").alias("pinch"),
@@ -299,7 +299,7 @@ FROM j"""
 def stream_pair_freshness(spark, root):
     """Camera and thermal streams joined within a day, each pair judged against all counters before it."""
     k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
-    events = run.open_table(spark, f"{root}/events.parquet").withColumn("k", k).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = run.open_table(spark, f"{root}/events.parquet").withColumn("k", k).withColumn("ts", instant("ts"))
     thermal_kind = F.col("event_type").isin("error", "purchase")
     camera = events.where(~thermal_kind).select(
         F.col("user_id").alias("source"), "ts", F.col("event_id").alias("color_frame"), F.col("k").alias("depth_frame"), F.lit("a").alias("color_domain"),
@@ -318,7 +318,7 @@ def stream_pair_freshness(spark, root):
 
 def _timeline(spark, root):
     rows = run.open_table(spark, f"{root}/events.parquet")
-    return rows.select(F.col("user_id").alias("source"), F.col("event_type").alias("phase"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return rows.select(F.col("user_id").alias("source"), F.col("event_type").alias("phase"), "event_id", instant("ts").alias("ts"), "value")
 
 
 def _binned(df):
@@ -411,7 +411,7 @@ def _arrived(spark, root):
     """Events that arrive up to 99 hours after their time."""
     rows = run.open_table(spark, f"{root}/events.parquet")
     late = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long") * HOUR
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    t = F.unix_micros(instant("ts"))
     timeline = rows.select(F.col("user_id").alias("source"), "event_id", t.alias("t_us"), (t + late).alias("arrived_us"))
     return windows.arrivals(timeline, ["source"], "t_us", ["arrived_us", "event_id"], DAY)
 
@@ -463,7 +463,7 @@ def stream_frame_feed(spark, root):
     at = (F.col("seq") % 12).cast("int")
     pattern = F.array(*[F.lit(x) for x in (1, 2, 3, 4, 1, 2, 3, 4, 4, 1, 2, 4)])
     rows = events.select(
-        F.col("user_id").alias("source"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "seq", F.get(pattern, at).alias("segment"),
+        F.col("user_id").alias("source"), "event_id", instant("ts").alias("ts"), "seq", F.get(pattern, at).alias("segment"),
         F.when(F.col("seq") % 7 == 6, 61).otherwise(60).alias("packets"),
     )
     folder = shared_folder(spark)
@@ -518,9 +518,9 @@ SELECT source, t AS at_us, status, round(pressure, 6) AS pressure, act AND statu
 def _readings(df):
     """Sensor readings made of events: hours of the timeline count as milliseconds, so ages and repeats occur."""
     k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
-    now = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)) / F.lit(1e12)
+    now = micros_since_origin("ts") / F.lit(1e12)
     value = F.col("value")
-    rows = df.select(F.col("user_id").alias("source"), "ts", "event_id", k.alias("k"), value.alias("value"), now.alias("now_s"))
+    rows = df.select(F.col("user_id").alias("source"), instant("ts").alias("ts"), "event_id", k.alias("k"), value.alias("value"), now.alias("now_s"))
     k, now = F.col("k"), F.col("now_s")
     return rows.select(
         "source", "ts", "event_id", "now_s", (now - (k % 11) * 0.021).alias("oak_s"), F.when(k != 17, F.floor(now / 0.05) * 0.05 - (k % 3) * 0.05).alias("thermal_s"),

@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 AT = "at_us"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class TimedMachine:
@@ -79,6 +80,11 @@ class Walk:
             yield (at, *values)
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Typed state and timers need the RocksDB state store; a session that has another is told so here."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def _timers(handle: StatefulProcessorHandle) -> list[int]:
     return [t[0] if isinstance(t, (tuple, list)) else t for t in handle.listTimers()]
 
@@ -200,6 +206,7 @@ def timed_stream(
     as they are. A key's state lives until ``idle_us`` after its last row.
     """
     columns = [c for c in stream.columns if c not in (*keys, at)]
+    use_rocksdb(stream.sparkSession)
     clock = stream if delay is None else stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
     placed = clock.withColumn(AT, F.unix_micros(at))
     fields = T.StructType([T.StructField(AT, T.LongType()), *(stream.schema[c] for c in columns)])
@@ -214,6 +221,7 @@ def live_stream(stream: DataFrame, keys: list[str], machine: TimedMachine, *, or
     at_us is the time of the trigger that took the row or fired the timer. Rows of one trigger are taken by
     ``order``. State that nothing has touched for ``ttl_ms`` is dropped by the state store.
     """
+    use_rocksdb(stream.sparkSession)
     output = _output(stream, keys, machine)
     run = _Live(machine, output, list(order), ttl_ms)
     return stream.groupBy(*keys).transformWithState(run, output, "append", "ProcessingTime")

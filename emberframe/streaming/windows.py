@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from emberframe.operators.settle import shared_folder
-from emberframe.streaming.timed import timed_stream
+from emberframe.streaming.timed import timed_stream, use_rocksdb
 from emberframe.streaming.watches import PairWatch
 
 
@@ -108,6 +108,7 @@ def arrivals(stream: DataFrame, keys: list[str], at: str, order: list[str], late
     ``at`` is in microseconds and not null; rows of one trigger are taken in ``order``, that of their arrival.
     Nothing is dropped, as it would be by a watermark; one number is kept per key.
     """
+    use_rocksdb(stream.sparkSession)
     schema = T.StructType([*stream.schema.fields, T.StructField("arrival", T.StringType())])
     run = _Arrivals(stream.columns, order, at, late_us)
     return stream.groupBy(*keys).transformWithState(run, schema, "append", "None")

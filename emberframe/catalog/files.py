@@ -155,3 +155,30 @@ def routing_manifest(spark, root):
     return names.groupBy("name").agg(F.count(F.lit(1)).alias("files")).withColumn(
         "kind", joins.artifact_kind(F.col("name"))
     )
+
+
+@query(
+    "payload_decode",
+    """
+WITH h AS (SELECT page_id, sha256(html) AS h FROM pages WHERE html IS NOT NULL),
+b AS (SELECT page_id, list_transform(range(32), lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER)) AS b FROM h),
+s AS (SELECT page_id, y, x, b[(2 * w) % 32 + 1] + 256 * b[(2 * w + 1) % 32 + 1] AS v
+      FROM b, (SELECT y, x, y * 164 + CASE WHEN x < 80 THEN x + 2 ELSE x + 4 END AS w FROM range(120) r(y), range(160) c(x))),
+d AS (SELECT page_id, y, x, 256 * b[o % 32 + 1] + b[(o + 1) % 32 + 1] AS v FROM b, (SELECT y, x, (y // 2) * 164 + 4 + (x // 2) * 2 AS o FROM range(120) r(y), range(160) c(x))),
+a AS (SELECT 'split' AS layout, * FROM s UNION ALL SELECT 'doubled', * FROM d)
+SELECT layout, page_id, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * 160 + x)) AS BIGINT) AS weighted FROM a GROUP BY ALL""",
+)
+def payload_decode(spark, root):
+    """Device payloads made of page digests, decoded by both layouts; the weighted sum depends on every pixel's place."""
+    pages = table(spark, root, "pages").where("html is not null").select("page_id", F.sha2("html", 256).alias("h"))
+    layouts = {"split": (1230, frame_files.decode_split_payload), "doubled": (308, frame_files.decode_doubled_payload)}
+
+    def decoded(name):
+        times, decode = layouts[name]
+        frames = pages.select(F.lit(name).alias("layout"), "page_id", decode(F.unhex(F.repeat("h", F.lit(times)))).alias("pixels"))
+        zero = F.lit(0).cast("long")
+        weights = F.transform("pixels", lambda v, i: v.cast("long") * i)
+        add = lambda values: F.aggregate(values, zero, lambda total, v: total + v)
+        return frames.select("layout", "page_id", F.size("pixels").cast("long").alias("pixels"), add("pixels").alias("total"), add(weights).alias("weighted"))
+
+    return decoded("split").union(decoded("doubled"))

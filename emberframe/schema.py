@@ -36,24 +36,29 @@ SHADOW_LOG = (
     "actual_gripper_pos", "command_sent", "fault_latched", "fallback_used", "fallback_reason",
 )
 
+# Field names and types of a trial's metadata document.
 TRIAL_METADATA = _struct(
     trial_id=_S, object_name=_S, hardness=_S, grip_level=_S, rep=_I, warmed=_B, thermal_path=_S,
     flir_visible_path=_S, thermal_stream_kind=_S, thermal_roi=_S,
 )
 REGION = _struct(x=_I, y=_I, width=_I, height=_I)
+# Field names and types of a raw frame's sidecar.
 RAW_SIDECAR = _struct(
     frame_index=_L, monotonic_timestamp_ns=_L, width=_I, height=_I, dtype=_S, byte_order=_S, raw_file=_S,
     ffc_state=_S, repeated_frame_flag=_B, raw_min=_I, raw_median=_I, raw_max=_I,
     display_mapping=_struct(mode=_S, raw_low=_I, raw_high=_I),
 )
+# Field names and types of a stored projection calibration.
 CALIBRATION = _struct(
     version=_I, coeff_x=T.ArrayType(_D), coeff_y=T.ArrayType(_D), image_size=T.ArrayType(_I),
     rms_error_px=_D, max_error_px=_D, sample_count=_I,
 )
+# Field names and types of a session row's fingertip.
 _TIP = _struct(
     label=_S, thermal_raw_count=_D, thermal_patch_3x3_mean_count=_D, thermal_uv=T.ArrayType(_D),
     thermal_pixel=T.ArrayType(_I), depth_m=_D, color_pixel=T.ArrayType(_I), depth_pixel=T.ArrayType(_I),
 )
+# Field names and types of rows of a pinch session log.
 PINCH_SESSION = _struct(
     row_type=_S, status=_S, schema_version=_I, safety_mode=_S, stage0_runtime_sha256=_S, frozen_xml_sha256=_S,
     pinch_signal_started=_B, pinch_signal_protocol_completed=_B, pinch_signal_acquisition_blocked=_B,
@@ -67,6 +72,7 @@ PINCH_SESSION = _struct(
     pinch_geometry=_struct(valid=_B, reason=_S, pinch_distance_2d_norm=_D, pinch_depth_delta_m=_D),
     fingertips=T.ArrayType(_TIP),
 )
+# Field names and types of rows of a finger session log.
 FINGER_SESSION = _struct(
     row_type=_S, trial_index=_I, block_index=_I, condition=_S, order_in_block=_I, reserve=_B, phase=_S,
     phase_elapsed_s=_D, global_elapsed_s=_D, frame_index=_I, thermal_host_s=_D, ffc_state=_S,

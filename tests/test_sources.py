@@ -58,3 +58,16 @@ def test_delta_fields_and_calibration_report(spark, tmp_path):
     writers.calibration_report(spark.createDataFrame([(1, float("nan"))], "k int, error_px double"), spark.createDataFrame([("GO",)], "decision string"), str(tmp_path / "report"))
     assert [r.asDict() for r in spark.read.schema("k int, error_px double").json(str(tmp_path / "report/samples")).collect()] == [{"k": 1, "error_px": None}]
     assert spark.read.json(str(tmp_path / "report/decision")).first().decision == "GO"
+
+
+def test_stored_calibrations_and_documents(spark, tmp_path):
+    good = {"version": 1, "coeff_x": [1.0, 0.0, 0.0, 2.0], "coeff_y": [0.0, 1.0, 0.0, 3.0], "image_size": [160, 120], "rms_error_px": 1.0, "max_error_px": 2.0, "sample_count": 40}
+    bad = {**good, "version": 2, "coeff_x": [1.0], "rms_error_px": 3.0, "sample_count": 1}
+    for name, document in (("good", good), ("bad", bad)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(document, indent=2))
+    read = lambda name, **gates: frames.load_calibration(spark, str(tmp_path / f"{name}.json"), **gates).first().issues
+    assert read("good", image_size=(160, 120), max_rms=1.0, max_error=2.0) == []
+    assert read("good", image_size=(80, 60), max_rms=0.5, max_error=1.5) == ["image_size", "rms_above_limit", "max_above_limit"]
+    assert read("bad") == ["version", "coeff_x", "max_below_rms", "too_few_samples"]
+    document = trials.json_document(spark, str(tmp_path / "good.json"), layouts.CALIBRATION).first()
+    assert document.version == 1 and document.coeff_y == [0.0, 1.0, 0.0, 3.0] and document.image_size == [160, 120]

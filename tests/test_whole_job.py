@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from emberframe.catalog import QUERIES
+from emberframe.catalog import QUERIES, sessions
+from emberframe.catalog.bindings import table
+from tests.oracle import ROOT
+
+SF = f"{ROOT}/sf0.01"
 
 
 def test_blocks_are_judged_by_the_events_themselves(spark, tmp_path):
@@ -19,3 +23,13 @@ def test_blocks_are_judged_by_the_events_themselves(spark, tmp_path):
         got = QUERIES["selected_blocks"](spark, root).select("valid", "selected").collect()
         assert [tuple(r) for r in got] == [(valid, valid)]
 
+
+def test_pinch_samples_are_all_events_of_their_phases(spark):
+    events = table(spark, SF, "events").where(F.col("event_type").isin("click", "view", "purchase"))
+    assert sessions._tips(spark, SF).count() == events.count()
+
+
+def test_pinch_groups_count_every_sample(spark):
+    assert QUERIES["pinch_tip_effects"](spark, SF).count() == 60
+    assert QUERIES["pinch_group_effects"](spark, SF).count() == 30
+    assert {r["valid_groups"] for r in QUERIES["pinch_session_verdict"](spark, SF).collect()} == {6}

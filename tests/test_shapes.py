@@ -2,10 +2,13 @@
 
 from collections import deque
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from emberframe.functions import arrays
 from emberframe.operators import components, pixels, tracking
 
 
@@ -169,3 +172,15 @@ def test_mask_tracking_walks_whole_trials(spark):
     parts = pd.concat(tracking._walk(frame.iloc[k : k + 7] for k in range(0, 40, 7)))
     assert parts.reset_index(drop=True).equals(whole.reset_index(drop=True))
     assert list(parts.shift_u) == [f // 3 for f in range(20)] * 2
+
+
+def test_quantile_is_the_fused_weighted_sum(spark):
+    """To the last bit, which decides whether a range just meets its limit."""
+    rng = np.random.default_rng(3)
+    frames = [sorted(int(v) for v in rng.integers(-400, 400, 64)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(frames)), "frame int, v array<int>")
+    levels = (0.02, 0.05, 0.9, 0.95, 0.98, 0.99)
+    got = df.select("frame", *[arrays.quantile(F.col("v"), p) for p in levels]).collect()
+    table = pa.table({"frame": np.repeat(np.arange(400, dtype=np.int32), 64), "v": np.concatenate(frames).astype(np.int32)})  # noqa: F841
+    expected = duckdb.sql(f"SELECT frame, {', '.join(f'quantile_cont(v, {p})' for p in levels)} FROM \"table\" GROUP BY frame").fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(expected)

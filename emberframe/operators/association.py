@@ -82,28 +82,32 @@ def _ring(inner: int, outer: int) -> Column:
 def nearest_projection(targets: DataFrame, projected: DataFrame, keys: list[str], color_camera: Camera, cell_px: int = 8) -> DataFrame:
     """(keys, target, match_error_px, depth_pixel, raw_depth, depth_m): the projected pixel nearest to each target.
 
-    Projections are dealt into square cells of ``cell_px``. A target first looks at its own cell and those
+    Projections are dealt into square cells of ``cell_px``, one row a cell with its projections as a list; a target
+    looks through a list within the row, so the rows to group are targets times cells. A target first looks at its own cell and those
     around it; as long as something nearer could lie outside what it has seen, it looks at the next, wider
     ring. Whatever is more than r cells away is at least r cells' width away, so the search ends exactly. Only
     targets that are still open go on, and no ring reaches beyond the colour image. Ties: by pixel.
     """
     cell = lambda c: F.floor(F.col(c) / cell_px).cast("int")
-    cells = projected.select(
-        *keys, F.struct("x", "y").alias("depth_pixel"), "raw_depth", "depth_m", "_u", "_v", cell("_u").alias("_i"), cell("_v").alias("_j")
-    )
-    error = F.hypot(F.col("_u") - F.col("cx"), F.col("_v") - F.col("cy"))
-    found = F.min(F.struct(error.alias("match_error_px"), "depth_pixel", "raw_depth", "depth_m")).alias("_new")
+    points = F.collect_list(F.struct("_u", "_v", F.struct("x", "y").alias("depth_pixel"), "raw_depth", "depth_m"))
+    cells = settle(projected.groupBy(*keys, cell("_u").alias("_i"), cell("_v").alias("_j")).agg(points.alias("_points")))
+    own = ("depth_pixel", "raw_depth", "depth_m")
+    error = lambda p: F.hypot(p["_u"] - F.col("cx"), p["_v"] - F.col("cy"))
+    in_cell = F.array_min(F.transform("_points", lambda p: F.struct(error(p).alias("match_error_px"), *[p[c].alias(c) for c in own])))
     kind = "struct<match_error_px:double,depth_pixel:struct<x:{0},y:{1}>,raw_depth:{2},depth_m:{3}>".format(
         *[projected.schema[c].dataType.simpleString() for c in ("x", "y", "raw_depth", "depth_m")]
     )
+    # a target becomes many rows, so small tables too are spread over all cores
+    cores = targets.sparkSession.sparkContext.defaultParallelism
     open_ = settle(targets.select(*keys, "target", "cx", "cy", F.lit(None).cast(kind).alias("_b")))
     done, inner, outer = [], -1, 1
     furthest = -(-max(color_camera.width, color_camera.height) // cell_px)
     while True:
-        looking = open_.select(*keys, "target", "cx", "cy", F.explode(_ring(inner, outer)).alias("_o")).select(
+        looking = open_.repartition(cores, *keys, "target").select(*keys, "target", "cx", "cy", F.explode(_ring(inner, outer)).alias("_o")).select(
             *keys, "target", "cx", "cy", (cell("cx") + F.col("_o.i")).alias("_i"), (cell("cy") + F.col("_o.j")).alias("_j")
         )
-        best = looking.join(cells, [*keys, "_i", "_j"]).groupBy(*keys, "target").agg(found)
+        near = looking.join(cells, [*keys, "_i", "_j"]).select(*keys, "target", in_cell.alias("_new"))
+        best = near.groupBy(*keys, "target").agg(F.min("_new").alias("_new"))
         seen = join_same(open_, best, [*keys, "target"], "left")
         nearer = F.when(F.col("_b").isNull() | (F.col("_new") < F.col("_b")), F.coalesce("_new", "_b")).otherwise(F.col("_b"))
         seen = settle(seen.select(*keys, "target", "cx", "cy", nearer.alias("_b")))

@@ -58,3 +58,13 @@ def test_every_reason(spark):
         spark.createDataFrame(depth[:1], "k string, x int, y int, raw_depth int"), ["k"], 0.001, DEPTH, COLOR, back,
     ).collect()
     assert [r.reason for r in one] == ["color_to_depth_forward_geometry_invalid"]
+
+
+def test_a_cell_is_one_row_however_many_points_it_holds(spark, monkeypatch):
+    written, plain = [], association.settle
+    monkeypatch.setattr(association, "settle", lambda df: written.append(plain(df)) or written[-1])
+    points = spark.range(500).selectExpr("1 as f", "id as x", "0 as y", "1.0 as raw_depth", "0.001 as depth_m", "3 + id / 1000 as _u", "3.0 as _v")
+    targets = spark.createDataFrame([(1, 7, 3.2, 3.0)], "f int, target int, cx double, cy double")
+    got = association.nearest_projection(targets, points, ["f"], DEPTH).collect()
+    assert [(r["target"], r["depth_pixel"]["x"]) for r in got] == [(7, 200)]
+    assert [t.count() for t in written if "_points" in t.columns] == [1]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberframe.functions.numbers import all_reasons, first_reason, is_finite
+from emberframe.operators.settle import settle
 
 # Fixed values of the fit gates.
 MIN_SAMPLES = 6
@@ -91,6 +92,8 @@ def fit_affine(samples: DataFrame, keys: list[str]) -> DataFrame:
         F.when(reason.isNull(), F.col("_fit.coeff_x")).alias("coeff_x"),
         F.when(reason.isNull(), F.col("_fit.coeff_y")).alias("coeff_y"),
     )
+    # one row a group, its size known: few groups are sent to the samples, which then stay where they are
+    fitted = settle(fitted)
     errors = residuals(samples, fitted, keys).groupBy(*keys).agg(
         F.sqrt(F.avg(F.col("error_px") * F.col("error_px"))).alias("rms_error_px"),
         F.max("error_px").alias("max_error_px"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberframe.catalog.bindings import q, table, telemetry, with_telemetry
 from emberframe.catalog.registry import query
 from emberframe.operators import classify
+from emberframe.operators.settle import settle
 
 _FEATURES = ["price", "quantity", "discount"]
 
@@ -22,6 +23,7 @@ s AS (SELECT l_orderkey, trial, fold, label, 'price' AS feature, price AS value
 
 
 def _samples(spark, root):
+    """The orders are written once: every fit and every score reads them, and they are far smaller than their lines."""
     share = F.avg(F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
     label = F.when(share >= 0.4, 1).otherwise(0)
     orders = table(spark, root, "lineitem").groupBy("l_orderkey").agg(
@@ -33,7 +35,7 @@ def _samples(spark, root):
     orders = orders.withColumns(
         {"trial": F.col("l_orderkey") % 4, "fold": F.floor(F.col("l_orderkey") / 4) % 5}
     )
-    return classify.long_features(orders, ["l_orderkey", "trial", "fold", "label"], _FEATURES)
+    return classify.long_features(settle(orders), ["l_orderkey", "trial", "fold", "label"], _FEATURES)
 
 
 # Candidate cuts and their accuracy, by sorted cumulative counts.

@@ -1,6 +1,8 @@
 """Plans that hold at size: no rows gathered by a handful of keys."""
 
+from emberframe.catalog import classifiers
 from emberframe.operators import calibration
+from tests.oracle import ROOT
 
 
 def test_residuals_leave_the_samples_where_they_are(spark, stored):
@@ -11,3 +13,8 @@ def test_residuals_leave_the_samples_where_they_are(spark, stored):
     # the solved fits are a written table of known size, which goes to the samples
     assert "ArrowEvalPython" not in plan and "BroadcastHashJoin" in plan
     assert sorted(r["g"] for r in fitted.collect()) == [0, 1, 2]
+
+
+def test_samples_are_read_from_the_written_orders(spark):
+    plan = classifiers._samples(spark, f"{ROOT}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan

@@ -259,10 +259,15 @@ def packet_telemetry(payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(p) for p in payload], columns=[f.name for f in _FOOTER.fields])
 
 
+#: Frames that a task decodes and hands on at a time, 5 MB of pixels.
+_AT_A_TIME = 64
+
+
 def _grids(decode):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for payload in batches:
-            yield pd.Series([decode(p).ravel().astype(np.int32) for p in payload])
+            for at in range(0, len(payload), _AT_A_TIME):
+                yield pd.Series([decode(p).ravel().astype(np.int32) for p in payload.iloc[at : at + _AT_A_TIME]])
 
     return F.pandas_udf(run, _PIXELS)
 

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from emberframe import schema as layouts
@@ -71,3 +72,11 @@ def test_stored_calibrations_and_documents(spark, tmp_path):
     assert read("bad") == ["version", "coeff_x", "max_below_rms", "too_few_samples"]
     document = trials.json_document(spark, str(tmp_path / "good.json"), layouts.CALIBRATION).first()
     assert document.version == 1 and document.coeff_y == [0.0, 1.0, 0.0, 3.0] and document.image_size == [160, 120]
+
+
+def test_payloads_are_decoded_a_few_at_a_time():
+    payloads = pd.Series([bytes([i]) * (2 * 164 * 120) for i in range(200)])
+    for decode in (frames._split_rows, frames._doubled_rows):
+        parts = list(frames._grids(decode).func(iter([payloads])))
+        assert max(map(len, parts)) <= 64 and sum(map(len, parts)) == 200
+        assert [p[0] for part in parts for p in part] == [i * 257 for i in range(200)]

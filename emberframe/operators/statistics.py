@@ -28,6 +28,7 @@ from emberframe.operators.ordered import (
     with_group_stats,
 )
 from emberframe.operators.quantiles import exact_median, exact_quantiles
+from emberframe.operators.settle import settle
 from emberframe.operators.windows import average_rank
 
 
@@ -206,20 +207,9 @@ def correlation_table(
     scaled = scaled_in_group(records, [rep], names)
     norms = [f"{c}_norm" for c in names]
     ranked = rank_columns(scaled.withColumn("_all", F.lit(0)), ["_all"], [*row_id], norms)
-    long = ranked.select(
-        rep, *proxies, *[f"{p}_norm" for p in proxies], *[f"{p}_norm_rank" for p in proxies],
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(s).alias("name"), F.col(s).cast("double").alias("raw"),
-                        F.col(f"{s}_norm").alias("norm"), F.col(f"{s}_norm_rank").alias("rank"),
-                    )
-                    for s in signals
-                ]
-            )
-        ).alias("_s"),
-    )
+    def against_signals(df: DataFrame, kept: list[str], fields: dict[str, str]) -> DataFrame:
+        signal = lambda s: F.struct(F.lit(s).alias("name"), *[F.col(f"{s}{tail}").cast("double").alias(n) for n, tail in fields.items()])
+        return df.select(*kept, F.explode(F.array(*[signal(s) for s in signals])).alias("_s")).withColumn("_signal", F.col("_s.name"))
 
     def melted(grouped: DataFrame, fields: dict[str, str], *kept: str) -> DataFrame:
         return grouped.select(
@@ -237,16 +227,18 @@ def correlation_table(
             ).alias("_p"),
         ).select(*kept, "signal", "_p.*")
 
-    long = long.withColumn("_signal", F.col("_s.name"))
-    pooled = long.groupBy("_signal").agg(
+    norm_columns = [f"{p}_norm" for p in proxies] + [f"{p}_norm_rank" for p in proxies]
+    pooled = against_signals(ranked, norm_columns, {"norm": "_norm", "rank": "_norm_rank"}).groupBy("_signal").agg(
         *[guarded_correlation(F.col(f"{p}_norm"), F.col("_s.norm")).alias(f"{p}_pearson") for p in proxies],
         *[guarded_correlation(F.col(f"{p}_norm_rank"), F.col("_s.rank")).alias(f"{p}_spearman") for p in proxies],
     )
-    per_rep = long.groupBy(rep, "_signal").agg(
+    # raw values need no ranks; a row without any value counts for no repetition, as among the ranks
+    valued = scaled.where(F.coalesce(*norms).isNotNull())
+    per_rep = against_signals(valued, [rep, *proxies], {"raw": ""}).groupBy(rep, "_signal").agg(
         *[guarded_correlation(F.col(p), F.col("_s.raw")).alias(f"{p}_r") for p in proxies]
     )
     overall = melted(pooled, {"pooled_normalized_pearson": "_pearson", "pooled_normalized_spearman": "_spearman"})
-    each = melted(per_rep, {"r": "_r"}, rep).withColumn("_abs", finite_abs(F.col("r")))
+    each = settle(melted(per_rep, {"r": "_r"}, rep).withColumn("_abs", finite_abs(F.col("r"))))
     medians = exact_median(each, ["proxy", "signal"], "_abs", "median_abs_per_rep_pearson")
     labels = each.groupBy("proxy", "signal").agg(
         labelled_values(F.col(rep).cast("string"), F.col("r")).alias("per_rep_pearson")

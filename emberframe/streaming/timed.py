@@ -101,23 +101,24 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", self.kept_type)
-        self.waiting = handle.getListState("waiting", self.fields)
+        # what arrived in one trigger is one element: each costs a round trip of its own
+        self.waiting = handle.getListState("arrived", T.StructType([T.StructField("rows", T.ArrayType(self.fields))]))
 
     def handleInputRows(self, key, rows, timerValues):
-        arrived = [tuple(row[name] for name in self.fields.names) for row in rows]
+        arrived = self._plain(rows)
         if arrived:
-            self.waiting.appendList(arrived)
+            self.waiting.appendValue((arrived,))
             self._wake(min(row[0] for row in arrived))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         limit = timerValues.getCurrentWatermarkInMs() * 1000
         last, state = None, None
-        if self.kept.exists():
-            last, *values = self.kept.get()
+        if (kept := self.kept.get()) is not None:
+            last, *values = kept
             state = dict(zip(self.names, values))
         walk = Walk(self.machine, self.idle_us, state, last)
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        rows = [row for (arrived,) in self.waiting.get() for row in arrived]
         ready = [dict(zip(self.fields.names, r)) for r in rows if r[0] <= limit]
         rest = [tuple(r) for r in rows if r[0] > limit]
         out = []
@@ -125,24 +126,32 @@ class _Ordered(StatefulProcessor):
             out.extend(walk.take(row[AT], row))
         out.extend(walk.until(limit))
         if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if walk.state is None:
-            self.kept.clear()
-        else:
+            self.waiting.put([(rest,)]) if rest else self.waiting.clear()
+        if walk.state is not None:
             self.kept.update((walk.last, *(walk.state[n] for n in self.names)))
+        elif kept is not None:
+            self.kept.clear()
         times = [t for t in (walk.next_due(), min((r[0] for r in rest), default=None)) if t is not None]
         if times:
-            self._wake(min(times), expiredTimerInfo.getExpiryTimeInMs())
+            self.handle.registerTimer(-(-min(times) // 1000))  # the one that has fired was the only one
         named = Row(*self.output)
         return iter([named(*key, *values) for values in out])
 
-    def _wake(self, at_us: int, fired: int = -1) -> None:
-        """Keep the earliest timer only; the watermark has passed ``at_us`` from that millisecond on.
-
-        The timer that has just fired is listed until its call ends.
-        """
+    def _plain(self, rows: Iterator[Row]) -> list[tuple]:
+        """The rows' own fields as tuples; a Row looks each name up among all."""
+        own, out = None, []
+        for row in rows:
+            if own is None:
+                names = row.__fields__
+                own = [names.index(n) for n in self.fields.names]
+            values = tuple(row)
+            out.append(tuple([values[i] for i in own]))
+        return out
+
+    def _wake(self, at_us: int) -> None:
+        """Keep the earliest timer only; the watermark has passed ``at_us`` from that millisecond on."""
         at = -(-at_us // 1000)
-        known = [t for t in _timers(self.handle) if t != fired]
+        known = _timers(self.handle)
         if not known or at < min(known):
             for t in known:
                 self.handle.deleteTimer(t)

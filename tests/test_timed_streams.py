@@ -5,7 +5,9 @@ import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.operators.ordered import Series
 from emberframe.operators.silence import silence_reports
@@ -171,3 +173,42 @@ def test_tracking_as_a_stream_equals_the_walk(spark):
     root = "/root/testdata/sf0.001"
     batch, live = outcome(QUERIES["mask_tracking"](spark, root)), outcome(QUERIES["stream_mask_tracking"](spark, root))
     assert batch == live and len({r[4] for r in batch}) > 1
+
+
+class _Counted:
+    """A state handle that keeps one key's state and counts the calls, each a round trip in a real run."""
+
+    def __init__(self):
+        self.calls, self.timers, self.rows = 0, [], []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            match name:
+                case "appendValue":
+                    self.rows.append(args[0])
+                case "appendList":
+                    self.rows.extend(args[0])
+                case "listTimers":
+                    return iter(self.timers)
+                case "registerTimer":
+                    self.timers.append(args[0])
+
+        return call
+
+    def getValueState(self, *args):
+        return self
+
+    getListState = getValueState
+
+
+def test_arrived_rows_cost_one_state_element():
+    fields = T.StructType.fromDDL("at_us long, value double")
+    machine = watches.SilenceWatch(limit_us=1)
+    run = timed._Ordered(machine, T.StructType.fromDDL(f"source long, at_us long, {machine.output}"), ["at_us"], fields, None)
+    handle = _Counted()
+    run.init(handle)
+    row = Row("source", "value", "at_us")
+    assert list(run.handleInputRows((1,), iter([row(1, i / 2, 1000 * i + 1) for i in range(200)]), None)) == []
+    assert handle.rows == [([(1000 * i + 1, i / 2) for i in range(200)],)]
+    assert handle.timers == [1] and handle.calls == 3

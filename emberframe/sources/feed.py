@@ -32,8 +32,10 @@ FORMAT, ENDING = "capture", ".cap"
 HEADER = struct.Struct("<qII")
 LONGEST = FOOTER_PACKETS * PACKET_BYTES
 RECORD = HEADER.size + LONGEST
-#: Records that a task reads.
+#: Records that a task reads, of one file or of many short ones.
 PER_TASK = 4096
+#: Files that a writing task holds open.
+OPEN_FILES = 64
 SCHEMA = "stream string, ts timestamp, seq long, payload binary"
 _ARROW = pa.schema([("stream", pa.string()), ("ts", pa.timestamp("us", tz="UTC")), ("seq", pa.int64()), ("payload", pa.binary())])
 
@@ -55,25 +57,38 @@ def stream_of(name: str) -> str:
 
 
 @dataclass
-class Span(InputPartition):
-    name: str
-    first: int
-    end: int
+class Spans(InputPartition):
+    """Records ``first`` to ``end`` of each named file, at most PER_TASK in all."""
 
+    parts: list[tuple[str, int, int]]
 
-def _spans(name: str, first: int, end: int) -> list[Span]:
-    return [Span(name, at, min(at + PER_TASK, end)) for at in range(first, end, PER_TASK)]
 
+def _spans(first: dict[str, int], end: dict[str, int]) -> list[Spans]:
+    """Long files are cut, short ones put together: the number of tasks follows the records, not the files."""
+    out, room = [], 0
+    for name, n in sorted(end.items()):
+        at = first.get(name, 0)
+        while at < n:
+            if not room:
+                out.append(Spans([]))
+                room = PER_TASK
+            to = min(n, at + room)
+            out[-1].parts.append((name, at, to))
+            room -= to - at
+            at = to
+    return out
 
-def _read(path: str, span: Span) -> Iterator[pa.RecordBatch]:
+
+def _read(path: str, spans: Spans) -> Iterator[pa.RecordBatch]:
     store, folder = _opened(path)
-    with store.open_input_file(f"{folder}/{span.name}") as file:
-        for at in range(span.first, span.end, 256):
-            data = file.read_at((min(at + 256, span.end) - at) * RECORD, at * RECORD)
-            heads = [HEADER.unpack_from(data, k) for k in range(0, len(data), RECORD)]
-            bodies = [data[k * RECORD + HEADER.size : k * RECORD + HEADER.size + h[2]] for k, h in enumerate(heads)]
-            columns = [[stream_of(span.name)] * len(heads), [h[0] for h in heads], [h[1] for h in heads], bodies]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+    for name, first, end in spans.parts:
+        with store.open_input_file(f"{folder}/{name}") as file:
+            for at in range(first, end, 256):
+                data = file.read_at((min(at + 256, end) - at) * RECORD, at * RECORD)
+                heads = [HEADER.unpack_from(data, k) for k in range(0, len(data), RECORD)]
+                bodies = [data[k * RECORD + HEADER.size : k * RECORD + HEADER.size + h[2]] for k, h in enumerate(heads)]
+                columns = [[stream_of(name)] * len(heads), [h[0] for h in heads], [h[1] for h in heads], bodies]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
 class _Stream(DataSourceStreamReader):
@@ -88,10 +103,10 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return _records(self.path)
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
-        return [s for name, n in sorted(end.items()) for s in _spans(name, start.get(name, 0), n)]
+    def partitions(self, start: dict, end: dict) -> list[Spans]:
+        return _spans(start, end)
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         return _read(self.path, partition)
 
 
@@ -99,11 +114,11 @@ class _Batch(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def partitions(self) -> list[Span]:
-        return [s for name, n in sorted(_records(self.path).items()) for s in _spans(name, 0, n)] or [Span("", 0, 0)]
+    def partitions(self) -> list[Spans]:
+        return _spans({}, _records(self.path)) or [Spans([])]
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return _read(self.path, partition) if partition.name else iter(())
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
+        return _read(self.path, partition)
 
 
 @dataclass
@@ -120,21 +135,23 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = _opened(self.path)
         store.create_dir(folder, recursive=True)
-        task, files = uuid.uuid4().hex, {}
+        task, files, names = uuid.uuid4().hex, {}, []
         try:
             for batch in iterator:
                 ats = batch.column("ts").cast(pa.int64())
                 for stream, at, seq, payload in zip(*(c.to_pylist() for c in (batch.column("stream"), ats, batch.column("seq"), batch.column("payload")))):
                     if len(payload) > LONGEST:
                         raise ValueError(f"datagram {seq} of {stream} is longer than a record")
-                    name = f"{stream}~{task}"
-                    if name not in files:
-                        files[name] = store.open_output_stream(f"{folder}/{name}.part")
-                    files[name].write(HEADER.pack(at, seq, len(payload)) + payload.ljust(LONGEST, b"\0"))
+                    if stream not in files:
+                        if len(files) == OPEN_FILES:
+                            files.pop(next(iter(files))).close()  # a stream that comes again has another file
+                        names.append(f"{stream}~{task}-{len(names)}")
+                        files[stream] = store.open_output_stream(f"{folder}/{names[-1]}.part")
+                    files[stream].write(HEADER.pack(at, seq, len(payload)) + payload.ljust(LONGEST, b"\0"))
         finally:
             for file in files.values():
                 file.close()
-        return Written(tuple(files))
+        return Written(tuple(names))
 
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = _opened(self.path)

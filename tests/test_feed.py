@@ -72,3 +72,21 @@ def test_a_datagram_too_long_is_refused(spark, tmp_path):
     df = spark.createDataFrame([("a", 0, b"x" * (feed.LONGEST + 1))], "stream string, seq long, payload binary")
     with pytest.raises(Exception, match="longer than a record"):
         df.select("stream", F.timestamp_seconds(F.lit(0)).alias("ts"), "seq", "payload").write.format("capture").mode("append").save(str(tmp_path))
+
+
+def test_short_files_share_tasks():
+    files = {f"s{i}~1.cap": 3 for i in range(10000)} | {"long~1.cap": 3 * feed.PER_TASK}
+    spans = feed._spans({"s0~1.cap": 2}, files)
+    assert len(spans) == -(-(10000 * 3 - 2 + 3 * feed.PER_TASK) // feed.PER_TASK)
+    taken = sorted((name, k) for s in spans for name, a, b in s.parts for k in range(a, b))
+    assert taken == sorted((name, k) for name, n in files.items() for k in range(2 if name == "s0~1.cap" else 0, n))
+
+
+def test_more_streams_than_open_files(spark, tmp_path):
+    feed.register(spark)
+    rows = [(f"s{i}", 100 * k + i, k, bytes([i])) for k in range(3) for i in range(feed.OPEN_FILES + 6)]
+    df = spark.createDataFrame(rows, "stream string, at long, seq long, payload binary").coalesce(1)
+    df = df.select("stream", F.timestamp_seconds("at").alias("ts"), "seq", "payload")
+    df.write.format("capture").mode("append").save(str(tmp_path / "feed"))
+    back = spark.read.format("capture").load(str(tmp_path / "feed"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

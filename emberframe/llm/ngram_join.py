@@ -23,6 +23,9 @@ CELLS = 1 << 24
 FREQUENT = 4
 #: Parts of the suffix filter: the overlap of two sets is at most the sum over parts of the lesser count.
 PARTS = 128
+#: Cells of the parity filter, a multiple of PARTS: two sets differ in at least as many shingles as cells hold
+#: an odd number of one and an even number of the other.
+PARITY = 512
 #: Bits of the filter that says which documents' whole sets are wanted: a fixed 2 MB. It lets more through
 #: as it fills, and what it lets through is matched exactly afterwards.
 WANTED = 1 << 24
@@ -34,6 +37,10 @@ WORTHWHILE = 10
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
 #: Cells of the 0/1 matrix of a block that is multiplied at once: a fixed 16 MB.
 MATRIX = 1 << 22
+#: A bucket is cut into blocks of about so many classes, which meet pairwise; texts that are hashed at once.
+BUCKET_CLASSES, TEXTS = 2048, 512
+#: First buckets of a class that go along with it, so a pair is a row in the first one it shares, not in each.
+FIRST = 32
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
@@ -41,6 +48,13 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return [None if x is None else x.lower() for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most TEXTS rows, so what a worker holds beside a batch does not grow with it."""
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _sign(grams: np.ndarray) -> int:
     return struct.unpack("<q", hashlib.blake2b(grams.tobytes(), digest_size=8).digest())[0]
 
@@ -63,17 +77,22 @@ def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
 
 def _members(width: int, percent: int):
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, signs, cells, parts = [], [], [], []
+        for batch in _slices(batches):
+            sizes, signs, cells, parts, parity = [], [], [], [], []
             for grams in each_set(_texts(batch, 1), width, SPACED):
                 sizes.append(len(grams))
                 signs.append(_sign(grams) if len(grams) else None)
                 first = grams[: _prefix_length(len(grams), percent)] if len(grams) else grams
                 cells.append((first & np.uint64(CELLS - 1)).astype(np.int32))
-                parts.append(np.bincount((grams % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                held = np.bincount((grams % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.int32)
+                parts.append(held.reshape(-1, PARTS).sum(axis=0, dtype=np.int32))
+                parity.append(np.packbits(held & 1).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), _lists(cells, np.int32), _lists(parts, np.int32)],
-                ["doc_id", "n", "sign", "cells", "parts"],
+                [
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), _lists(cells, np.int32), _lists(parts, np.int32),
+                    pa.array(parity, pa.binary()),
+                ],
+                ["doc_id", "n", "sign", "cells", "parts", "parity"],
             )
 
     return members
@@ -82,7 +101,7 @@ def _members(width: int, percent: int):
 def _entries(width: int, percent: int, levels: Broadcast):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class enters once a task: its copies would enter the same
-        for batch in batches:
+        for batch in _slices(batches):
             grams_out, signs, sizes, at = [], [], [], []
             for grams in each_set(_texts(batch, 0), width, SPACED):
                 if not len(grams) or (sign := _sign(grams)) in seen:
@@ -102,7 +121,7 @@ def _entries(width: int, percent: int, levels: Broadcast):
 def _sets(width: int, wanted: Broadcast):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-        for batch in batches:
+        for batch in _slices(batches):
             signs, keys, sets = [], [], []
             for key, grams in zip(batch.column(0).to_pylist(), each_set(_texts(batch, 1), width, SPACED)):
                 if not len(grams):
@@ -156,6 +175,98 @@ def _other(number: int, percent: int) -> Column:
     return F.coalesce(tried(F.first), tried(F.lag))
 
 
+def _candidates(percent: int):
+    """Pairs of classes of different groups that share a bucket and may still link, from blocks of buckets in order.
+
+    Rows are compared with those 1, 2, 3 ... places on in their job, all jobs of a batch at once. Length, positional and
+    parity filter come before a pair is a row; a pair whose classes share an earlier bucket is left to that one.
+    """
+
+    def elsewhere(one: np.ndarray, two: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Whether the first bucket that both lists name is another one than this."""
+        shared = ((one[:, :, None] == two[:, None, :]) & (one != 0)[:, :, None]).any(axis=2)
+        return shared.any(axis=1) & (one[np.arange(len(one)), shared.argmax(axis=1)] != gram)
+
+    def pairs_of(rows: dict[str, np.ndarray]) -> np.ndarray:
+        job = (rows[c] for c in ("gram", "one", "two", "sign"))
+        again = np.logical_and.reduce([x[1:] == x[:-1] for x in job])  # copies of a class in other tasks
+        rows = {c: x[np.concatenate(([True], ~again))] for c, x in rows.items()}
+        gram, one, two, block, sign, n, at, grp, parity, first = rows.values()
+        kept, left, d = [np.zeros((0, 2), np.int64)], np.arange(len(gram)), 0
+        while True:
+            d += 1
+            left = left[left + d < len(gram)]
+            to = left + d
+            here = (gram[left] == gram[to]) & (one[left] == one[to]) & (two[left] == two[to])
+            left, to = left[here], to[here]
+            if not len(left):
+                break
+            may = (grp[left] != grp[to]) & (sign[left] != sign[to]) & ((block[left] != block[to]) | (one[left] == two[left]))
+            a, b = left[may], to[may]
+            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            follow = 1 + np.minimum(n[a] - at[a] - 1, n[b] - at[b] - 1)
+            may = (low * 100 >= high * percent) & (follow * (100 + percent) >= (n[a] + n[b]) * percent)
+            a, b = a[may], b[may]
+            differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+            may = (n[a] + n[b] - differ) * (100 + percent) >= 2 * (n[a] + n[b]) * percent
+            a, b = a[may], b[may]
+            may = ~elsewhere(first[a], first[b], gram[a])
+            a, b = sign[a[may]], sign[b[may]]
+            kept.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+        return np.unique(np.concatenate(kept), axis=0)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            found = pairs_of(rows)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "one", "two", "block", "sign", "n", "at", "grp")}
+            rows |= {c: rows[c].astype(np.int64) for c in ("n", "at")}
+            rows["parity"] = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(len(batch), -1)
+            lists = batch.column("first")
+            rows["first"] = np.zeros((len(batch), FIRST), np.int64)
+            rows["first"][np.arange(FIRST) < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+            if held is not None:
+                rows = {c: np.concatenate((held[c], x)) for c, x in rows.items()}
+            last = (rows["gram"] == rows["gram"][-1]) & (rows["one"] == rows["one"][-1]) & (rows["two"] == rows["two"][-1])
+            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # the last job may go on
+            if cut:
+                yield out({c: x[:cut] for c, x in rows.items()})
+            held = {c: x[cut:].copy() for c, x in rows.items()}
+        if held is not None:
+            yield out(held)
+
+    return candidates
+
+
+def _across(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of classes of different groups that share one of these buckets, without those that filters rule out.
+
+    A bucket is cut by hash into blocks, and each pair of blocks is one job, so a hot bucket is many even jobs and only
+    the pairs that pass the filters are rows.
+    """
+    first = buckets.groupBy("sign").agg(F.array_sort(F.collect_set(F.struct("at", "gram")))["gram"].alias("first"))
+    sizes = buckets.groupBy("gram").agg(F.ceil(F.count("*") / BUCKET_CLASSES).cast("int").alias("blocks"))
+    placed = (
+        buckets.select("gram", "sign", "n", "at", "grp")
+        .join(classes.select("sign", "parity").join(first.select("sign", F.slice("first", 1, FIRST).alias("first")), "sign"), "sign")
+        .join(sizes, "gram")
+        .withColumn("block", F.pmod(F.xxhash64("sign"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    jobs = (
+        placed.select("gram", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "sign", "n", "at", "grp", "parity", "first")
+        .repartition("gram", "one", "two")
+        .sortWithinPartitions("gram", "one", "two", "sign")
+    )
+    return jobs.mapInArrow(_candidates(percent), "a long, b long").distinct()
+
+
 def _shared(sets: list[np.ndarray], second: int) -> np.ndarray:
     """Shared shingles of each set before ``second`` with each set from there on; of all with all if it is 0."""
     lengths = [len(x) for x in sets]
@@ -289,7 +400,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     )
 
 
-def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document under Jaccard links of shingle sets.
 
     Two documents link when 100 * shared >= percent * united distinct shingles of ``width`` words (A-Z
@@ -297,24 +408,25 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     shingle and no link. component_id is the smallest doc_id reachable; a null doc_id is in no order and
     never names a group unless alone in it. n_links counts the other classes that a document's class links
     to, all of them, each verified on the whole sets. Rows repeat as they come; other columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result. Without ``count_links`` the groups are the same and n_links is left out, for callers
+    that only keep one document a group.
 
     Documents with equal sets are one class. Classes meet in buckets of their prefix shingles, rare cells
     first. In each bucket every class is tried against one pivot of another group, in linear number; groups
     found so far are contracted, and rounds with other pivots follow while they find links often enough.
-    Then only classes of different groups that still share a bucket are tried against each other. So no
-    link between groups is lost, and every link lies within a group. The links are counted last: in groups of
+    Then only classes of different groups that still share a bucket are tried against each other, the buckets'
+    blocks meeting in tasks (see ``_across``). So no link between groups is lost, and every link lies within a group. The links are counted last: in groups of
     more than two classes every pair is verified, blocks of classes meeting as matrices (see ``_links``).
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     members = settle(
-        docs.select("doc_id", "text").mapInArrow(_members(width, percent), f"doc_id {kind}, n long, sign long, cells array<int>, parts array<int>")
+        docs.select("doc_id", "text").mapInArrow(_members(width, percent), f"doc_id {kind}, n long, sign long, cells array<int>, parts array<int>, parity binary")
     )
     classes = settle(
         members.where("sign is not null")
         .groupBy("sign")
-        .agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+        .agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("parity").alias("parity"))
         .withColumn("key", F.xxhash64("low"))
     )
     levels = spark.sparkContext.broadcast(_levels(members))
@@ -342,32 +454,22 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         open_ = settle(named.join(split, "gram", "left_semi").select("*", _other(number, percent).alias("other")))
         if found.count() * WORTHWHILE <= tries.count():
             break
-    one, two = (open_.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("sign", "n", "at", "grp"))) for k in "ab")
-    rest = (
-        one.join(two, "gram")
-        .where(
-            (F.col("sign_a") < F.col("sign_b"))
-            & (F.col("grp_a") != F.col("grp_b"))
-            & _may_link(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), percent)
-        )
-        .select(F.col("sign_a").alias("a"), F.col("sign_b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    rest = _across(open_, classes, percent).join(first, ["a", "b"], "left_anti")
     more = _verified(docs, rest, classes, width, percent)
     every = links.union(more)
     groups = settle(connected_components(every))
-    degree = _links(docs, classes, groups, width, percent)
-    classes = (
-        classes.join(groups.select(F.col("node").alias("sign"), "component"), "sign", "left")
-        .join(degree, "sign", "left")
-        .select("sign", "low", F.coalesce("component", "sign").alias("grp"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    classes = classes.join(groups.select(F.col("node").alias("sign"), "component"), "sign", "left")
+    if count_links:
+        classes = classes.join(_links(docs, classes, groups, width, percent), "sign", "left")
+    else:
+        classes = classes.withColumn("links", F.lit(0))
+    classes = classes.select("sign", "low", F.coalesce("component", "sign").alias("grp"), F.coalesce("links", F.lit(0)).alias("links"))
     lowest = classes.groupBy("grp").agg(F.min("low").alias("component_id"))
     named_classes = classes.join(lowest, "grp").select("sign", "component_id", "links")
-    return members.select("doc_id", "n", "sign").join(named_classes, "sign", "left").select(
+    found = members.select("doc_id", "n", "sign").join(named_classes, "sign", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
+    return found if count_links else found.drop("n_links")

@@ -103,6 +103,23 @@ def test_blocks_meet_pairwise(monkeypatch, cells):
     assert dict(got) == want and max(want.values()) > 20
 
 
+def test_only_near_pairs_of_a_bucket_are_rows():
+    rng = np.random.default_rng(2)
+    base = rng.integers(1 << 60, size=150, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(150) < rng.choice([0.02, 0.2]), rng.integers(1 << 60, size=150, dtype=np.uint64), base)) for _ in range(120)]
+    parity = [np.packbits(np.bincount((s % np.uint64(ngram_join.PARITY)).astype(np.int64), minlength=ngram_join.PARITY) & 1).tobytes() for s in sets]
+    like = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if a % 40 != b % 40 and like(sets[a], sets[b])}
+    rows = [(g, *sorted((k % 3, o)), k % 3, k, len(sets[k]), 0, k % 40, parity[k], [5, 9]) for g in (5, 9) for k in range(120) for o in range(3)]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    names = ["gram", "one", "two", "block", "sign", "n", "at", "grp", "parity", "first"]
+    rows = sorted(rows + rows[:40], key=lambda r: r[:5])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 50]), kinds)], names) for i in range(0, len(rows), 50)]
+    found = [(a, b) for batch in ngram_join._candidates(85)(batches) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+    assert want <= set(found) and len(want) > 500
+    assert len(set(found)) < 2 * len(want) and len(found) == len(set(found))
+
+
 def test_similar_groups_of_nothing(spark):
     assert ngram_join.similar_groups(documents(spark, [])).count() == 0
     row = ngram_join.similar_groups(documents(spark, [(None, "a b c", None, None, None, *"wxyz")])).collect()

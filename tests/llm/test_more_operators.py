@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from emberframe.llm import queries, secret_scan, suffix_dedup, syncmers, url_filter
@@ -59,6 +60,17 @@ def test_repeated_spans_of_the_table(spark):
     assert sorted(tuple(r) for r in queries.op4(spark, f"{ROOT}/sf0.001").collect()) == sorted(want)
 
 
+def test_texts_are_cut_a_few_rows_at_a_time():
+    rows = [(k, "x" * (k % 7), None, None) for k in range(2000)] + [(2000, "y" * 900, 1, [100, 600]), (2001, "z" * 400, 2, None)]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "text", "copies", "runs"])
+    out = list(suffix_dedup._removed(iter([whole])))
+    assert max(len(b) for b in out) <= suffix_dedup.ROWS
+    got = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(2002)) and [r["kept"] for r in got[:2000]] == [t.encode() for _, t, _, _ in rows[:2000]]
+    assert [(r["n_removed"], r["n_spans"], r["kept"]) for r in got[2000:]] == [(500, 1, b"y" * 400), (400, 1, b"")]
+
+
 def test_every_span_holds_an_anchor_chosen_by_itself():
     import numpy as np
 

@@ -45,7 +45,7 @@ class WaveletMatrix:
             ones = np.bitwise_count(packed.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
             planes.append(packed)
             ranks.append(np.concatenate(([0], np.cumsum(ones))).astype("<u4"))
-            ids = np.concatenate((ids[~bit], ids[bit]))
+            ids = np.concatenate((ids.take(np.flatnonzero(~bit)), ids.take(np.flatnonzero(bit))))
         return cls(len(bit) if bits else 0, planes, ranks, ends)
 
     def image(self) -> bytes:
@@ -144,8 +144,8 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
-            up[~bit] = out[: self.zeros[k]]
-            up[bit] = out[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
+            up[np.flatnonzero(~bit)] = out[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = out[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
             out = up
         return out
 

@@ -20,7 +20,7 @@ from emberframe.operators.ordered import (
     scan,
     with_group_stats,
 )
-from emberframe.operators.windows import average_rank, final_window
+from emberframe.operators.windows import final_window
 
 HARD_MIN_PERCENT = 70.0
 NOT_HARD_MAX_PERCENT = 50.0
@@ -62,13 +62,18 @@ def balanced(sensitivity: Column, specificity: Column) -> Column:
 
 
 def rank_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Probability that a positive outscores a negative, ties a half; null for one class."""
-    ranked = average_rank(df.where(F.col(score).isNotNull()), keys, score, "_rank")
-    sums = ranked.groupBy(*keys).agg(
-        F.sum(F.when(F.col(label) == 1, F.col("_rank") + 1)).alias("_ranks"),
+    """Probability that a positive outscores a negative, ties a half; null for one class.
+
+    From counts of equal scores alone: no score is computed twice and joined to itself.
+    """
+    counted = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
+        F.count(F.lit(1)).alias("_same"),
         F.count(F.when(F.col(label) == 1, 1)).alias("_p"),
         F.count(F.when(F.col(label) == 0, 1)).alias("_n"),
     )
+    ranked = scan(counted, Series(tuple(keys), (score,)), {"_upto": running_sum(F.col("_same"))})
+    rank = F.col("_upto") - F.col("_same") + (F.col("_same") + 1) / 2
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("_p") * rank).alias("_ranks"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     p, n = F.col("_p").cast("double"), F.col("_n").cast("double")
     auc = F.when((p > 0) & (n > 0), F.try_divide(F.col("_ranks") - p * (p + 1) / 2, p * n))
     return sums.select(*keys, auc.alias("rank_auc"))

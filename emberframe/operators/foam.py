@@ -10,6 +10,7 @@ from emberframe.functions.numbers import all_reasons, is_finite
 from emberframe.operators.joins import frame_join, without_invalid_actions
 from emberframe.operators.ordered import Series, previous, scan
 from emberframe.operators.quantiles import exact_quantiles
+from emberframe.operators.settle import settle
 from emberframe.operators.statistics import spearman
 from emberframe.operators.windows import final_window, first_per_content, missing_runs
 
@@ -43,7 +44,12 @@ def step_summary(frames: DataFrame, columns: list[str], *, stable_window_s: floa
 
 
 def compression_relation(steps: DataFrame, primary: str) -> DataFrame:
-    """Per trial: rank correlation of compression and signal, and the C30 - C0 difference."""
+    """Per trial: rank correlation of compression and signal, and the C30 - C0 difference.
+
+    The steps are written first: ranks are joined by value, and a mean computed again from blocks fetched in
+    another order may differ in its last bit and would find no rank.
+    """
+    steps = settle(steps)
     at = lambda state: F.avg(F.when(F.col("state") == state, F.col(primary)))
     levels = steps.groupBy("trial").agg(
         F.count(F.lit(1)).alias("steps"), (at("C30") - at("C0")).alias("c30_minus_c0")

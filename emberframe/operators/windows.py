@@ -94,6 +94,7 @@ def average_rank(
 
     Ranks come from counts of equal values, so only distinct values are ordered
     and a heavily tied value is one row. A null value has no rank and counts for none.
+    The rows are read twice and meet by value: settle sums and means of fractions before.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     by_value = Series(tuple(keys), (value,))

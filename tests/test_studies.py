@@ -64,6 +64,24 @@ def test_compression_steps(stored):
     assert foam.usable_frames(telemetry, features, bad, "signal").count() == 2
 
 
+def unsteady(df, column):
+    """The column as if each evaluation had added its values in another order."""
+    nudge = F.udf(lambda v: v + random.randrange(1, 4000) * 1e-12, "double").asNondeterministic()
+    return df.withColumn(column, nudge(column))
+
+
+def test_ranks_of_means_that_change_in_their_last_bits(stored):
+    rows = [(t, "b", 1, k, state, 1, float((7 * k + t) % 40), 3.0 * ((11 * k) % 40) + t) for t in (1, 2) for k, state in enumerate(["C0", "C30"] * 20)]
+    names = "trial int, block string, sequence_id int, step_index int, state string, action_attempt int, compression_pct double, signal double"
+    steps = stored(rows, names)
+    want = {r["trial"]: r["rho"] for r in foam.compression_relation(steps, "signal").collect()}
+    got = {r["trial"]: r["rho"] for r in foam.compression_relation(unsteady(unsteady(steps, "compression_pct"), "signal"), "signal").collect()}
+    assert got == pytest.approx(want)
+    labelled = steps.withColumn("label", (F.col("state") == "C30").cast("int"))
+    auc = lambda df: {r["trial"]: r["rank_auc"] for r in classify.rank_auc(df, ["trial"], "signal", "label").collect()}
+    assert auc(unsteady(labelled, "signal")) == pytest.approx(auc(labelled))
+
+
 # --- paired curves ----------------------------------------------------------------
 
 def finger_session(effect=lambda bin_: 0.0, shift=lambda bin_: 0.0, blocks=6, drop=None):

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -83,6 +85,30 @@ def test_every_span_holds_an_anchor_chosen_by_itself():
         assert len(own) and all(k + x in places for x in own.tolist())
 
 
+def test_records_go_packed(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    wanted = SimpleNamespace(value=np.full(1 << 22, 255, np.uint8))
+    sent = list(suffix_dedup._payload(wanted, 8)(iter([batch])))
+    records = sum(2 * (len(t) - 2) // 3 for t in texts)
+    size = sum(len(x.as_py()) for b in sent for k in range(2, b.num_columns) for x in b.column(k))
+    assert 7 * records < size < 12 * records
+
+
+def test_filter_of_anchors_grows_with_them(spark):
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 1 << 58, 400_000, dtype=np.int64)
+    own, others = h[:200_000], h[200_000:]
+    df = spark.createDataFrame(pa.table({"h": own}))
+    bits = suffix_dedup._filter(df, 1 << 22)
+    assert len(bits) == 1 << 19
+    assert suffix_dedup._known(own.view(np.uint64), bits).all()
+    assert suffix_dedup._known(others.view(np.uint64), bits).mean() < 0.004
+
+
 def brute_anchors_equal(spark, texts):
     from pyspark.sql import functions as F
 

@@ -454,16 +454,17 @@ def hand_axis(frames: DataFrame, mask: Column, *, tip_share: float = 0.03) -> Da
     width = F.col("width")
     xs = F.transform("_hit", lambda p: (p % width).cast("double"))
     ys = F.transform("_hit", lambda p: F.floor(p / width).cast("double"))
-    edge = arrays.quantile(F.array_sort(xs), tip_share)
-    flags = arrays.against(xs, edge, lambda x, e: x <= e)
-    band = F.transform(arrays.positions_where(flags), lambda i: F.get("_hit", i))
+    placed = placed.withColumns({"_xs": xs, "_ys": ys})
+    edge = arrays.quantile(F.array_sort("_xs"), tip_share)
+    flags = arrays.against(F.col("_xs"), edge, lambda x, e: x <= e)
+    placed = placed.withColumn("_band", F.transform(arrays.positions_where(flags), lambda i: F.get("_hit", i)))
     med = lambda values: arrays.quantile(F.array_sort(values), 0.5)
     placed = placed.withColumns(
         {
-            "tip_x": med(F.transform(band, lambda p: (p % width).cast("double"))),
-            "tip_y": med(F.transform(band, lambda p: F.floor(p / width).cast("double"))),
-            "centre_x": med(xs),
-            "centre_y": med(ys),
+            "tip_x": med(F.transform("_band", lambda p: (p % width).cast("double"))),
+            "tip_y": med(F.transform("_band", lambda p: F.floor(p / width).cast("double"))),
+            "centre_x": med(F.col("_xs")),
+            "centre_y": med(F.col("_ys")),
         }
     )
     dx, dy = F.col("centre_x") - F.col("tip_x"), F.col("centre_y") - F.col("tip_y")

@@ -184,3 +184,24 @@ def test_quantile_is_the_fused_weighted_sum(spark):
     table = pa.table({"frame": np.repeat(np.arange(400, dtype=np.int32), 64), "v": np.concatenate(frames).astype(np.int32)})  # noqa: F841
     expected = duckdb.sql(f"SELECT frame, {', '.join(f'quantile_cont(v, {p})' for p in levels)} FROM \"table\" GROUP BY frame").fetchall()
     assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_quantile_computes_its_array_once(stored):
+    df = stored([([3, 1, 2],), ([],), (None,)], "v array<int>")
+    inner = arrays.quantile(F.array_sort("v"), 0.5)
+    got = df.select(arrays.quantile(F.array_sort(F.array(inner, inner + 1)), 0.5).alias("q"))
+    assert _plan(got).count("array_sort(") == 3
+    assert [r.q for r in got.collect()] == [2.5, None, None]
+
+
+def test_the_plan_of_hand_axis_stays_small(stored):
+    pixels_of = [0, 0, 1, 1] * 4
+    df = stored([(1, 0, 4, 4, pixels_of), (1, 1, 4, 4, [0] * 16)], "trial int, frame int, height int, width int, pixels array<int>")
+    out = pixels.hand_axis(df, F.col("pixels"))
+    assert len(_plan(out)) < 100_000
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(1, 0, 2.0, 1.5, 2.5, 1.5, 1.0, 0.0), (1, 1, None, None, None, None, None, None)]

@@ -393,15 +393,15 @@ def warm_finger(
     med = lambda a: arrays.quantile(F.array_sort(a), 0.5)
     xs = F.transform("positions", lambda p: (p % width).cast("double"))
     ys = F.transform("positions", lambda p: F.floor(p / width).cast("double"))
-    axis = hand
-    edge = arrays.quantile(F.array_sort(xs), tip_share)
-    flags = arrays.against(xs, edge, lambda x, e: x <= e)
-    band = F.transform(arrays.positions_where(flags), lambda i: F.get("positions", i))
+    axis = hand.withColumns({"_xs": xs, "_ys": ys})
+    edge = arrays.quantile(F.array_sort("_xs"), tip_share)
+    flags = arrays.against(F.col("_xs"), edge, lambda x, e: x <= e)
+    axis = axis.withColumn("_band", F.transform(arrays.positions_where(flags), lambda i: F.get("positions", i)))
     axis = axis.withColumns(
         {
-            "tip_x": med(F.transform(band, lambda p: (p % width).cast("double"))),
-            "tip_y": med(F.transform(band, lambda p: F.floor(p / width).cast("double"))),
-            "_mx": med(xs), "_my": med(ys),
+            "tip_x": med(F.transform("_band", lambda p: (p % width).cast("double"))),
+            "tip_y": med(F.transform("_band", lambda p: F.floor(p / width).cast("double"))),
+            "_mx": med(F.col("_xs")), "_my": med(F.col("_ys")),
         }
     )
     dx, dy = F.col("_mx") - F.col("tip_x"), F.col("_my") - F.col("tip_y")

@@ -205,3 +205,20 @@ def test_the_plan_of_hand_axis_stays_small(stored):
     assert len(_plan(out)) < 100_000
     got = sorted(tuple(r) for r in out.collect())
     assert got == [(1, 0, 2.0, 1.5, 2.5, 1.5, 1.0, 0.0), (1, 1, None, None, None, None, None, None)]
+
+
+def test_the_plan_of_warm_finger_stays_small(stored):
+    image = np.zeros((12, 12), int)
+    image[3:9, 2:11] = 90
+    image[3:9, 4] = 100
+    rows = [(1, 0, 12, 12, image.ravel().tolist()), (1, 1, 12, 12, [0] * 144)]
+    df = stored(rows, "trial int, frame int, height int, width int, pixels array<int>")
+    out = components.warm_finger(df, offset=40.0, min_area=4, min_centre_x=1.0, min_x=0, distal_inset=1.0, reference_inset=2.0)
+    assert len(_plan(out)) < 100_000
+    got = {r.frame: r for r in out.collect()}
+    whole, none = got[0], got[1]
+    assert (whole.component_area_px, whole.tip_x, whole.tip_y) == (54, 2.0, 5.5)
+    # rows 5 to 7 and columns 2 to 4 around (3, 6); rows 4 to 8 and columns 2 to 6 around (4, 6)
+    assert (whole.distal_3x3_mean_count, whole.reference_5x5_mean_count) == (840 / 9, 2300 / 25)
+    assert (whole.primary_signal_count, whole.reason) == (840 / 9 - 92, None)
+    assert (none.component_area_px, none.tip_x, none.reason) == (None, None, "right_hot_hand_component_missing")

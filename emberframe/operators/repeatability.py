@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from emberframe.operators.joins import interval_join
 from emberframe.operators.ordered import Series
 from emberframe.operators.pixels import explode_pixels
 from emberframe.operators.quantiles import exact_median
+from emberframe.operators.settle import settle
 from emberframe.operators.statistics import nearest_rank
 from emberframe.operators.windows import gap_clusters
 
@@ -247,6 +250,7 @@ def session_report(
     offset from the session's first run; dynamic runs the level of each phase and the changes of each cycle. Every
     run has a ``display`` row with its first departure from the contract, and a run of no known mode an issue.
     """
+    runs = settle(runs)
     placed = frames.join(runs.select("run", "session", "mode", "display", "low", "high"), "run")
     shape = lambda part, name, value, issue: [
         "session", "run", "mode", F.col("_region").alias("region"), F.lit(part).alias("part"), name.cast("string").alias("name"),
@@ -262,27 +266,25 @@ def session_report(
     seen = runs.select(*of).join(checked, of, "left").withColumn("_region", none.cast("string"))
     issue = F.when(~known, "mode_invalid").otherwise(F.col("_issue"))
     parts = [seen.select(*shape("display", none, none, issue))]
-    for region, box in regions.items():
-        levels = frame_medians(placed, of, box).withColumn("_region", F.lit(region))
-        keys = [*of, "_region"]
-        shut = placed.where("mode = 'ffc'").select(*of, "frame", "ts_ns", "ffc_state").withColumn("_region", F.lit(region))
-        spans = recovery_windows(shut, keys, window_ns=window_ns, delay_ns=delay_ns, gap_ns=gap_ns)
-        events = ffc_recovery(levels.where("mode = 'ffc'"), spans, keys, window_ns=window_ns)
-        parts.append(events.select(*shape("ffc_event", F.col("cluster"), F.col("post_minus_pre_counts"), F.col("reason"))))
-        phased = interval_join(levels.where("mode <> 'ffc'"), windows, ["run"], "ts_ns", bucket=window_ns, disjoint=True)
-        metrics = phase_metric(phased, [*keys, "phase"])
-        stable = metrics.where("mode = 'restart' and phase = 'stable'")
-        restarts = runs.where("mode = 'restart'").select(*of).withColumn("_region", F.lit(region))
-        held = restarts.join(stable, keys, "left")
-        parts.append(held.select(*shape("stable", F.lit("stable"), F.col("median"), F.when(F.col("median").isNull(), "stable_phase_missing"))))
-        moved = restart_offsets(stable.select(*keys, "median"), ["session", "_region"], "run", "median")
-        parts.append(moved.select(*shape("restart_offset", F.col("reference_run"), F.col("offset"), none)))
-        dynamic = metrics.where("mode = 'dynamic'")
-        parts.append(dynamic.select(*shape("phase", F.col("phase"), F.col("median"), none)))
-        cycles = dynamic_cycles(dynamic, keys, "phase", "median")
-        for change in ("hot_minus_baseline", "recovery_minus_baseline"):
-            parts.append(cycles.select(*shape(change, F.col("cycle"), F.col(change), F.col("issue"))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # the regions are rows: one plan for all of them, over levels, spans and metrics that are written once
+    keys = [*of, "_region"]
+    each = F.explode(F.array(*[F.lit(region) for region in regions]))
+    levels = settle(reduce(DataFrame.unionByName, [frame_medians(placed, of, box).withColumn("_region", F.lit(region)) for region, box in regions.items()]))
+    shut = placed.where("mode = 'ffc'").select(*of, "frame", "ts_ns", "ffc_state")
+    spans = settle(recovery_windows(shut, of, window_ns=window_ns, delay_ns=delay_ns, gap_ns=gap_ns)).withColumn("_region", each)
+    events = ffc_recovery(levels.where("mode = 'ffc'"), spans, keys, window_ns=window_ns)
+    parts.append(events.select(*shape("ffc_event", F.col("cluster"), F.col("post_minus_pre_counts"), F.col("reason"))))
+    phased = interval_join(levels.where("mode <> 'ffc'"), windows, ["run"], "ts_ns", bucket=window_ns, disjoint=True)
+    metrics = settle(phase_metric(phased, [*keys, "phase"]))
+    stable = metrics.where("mode = 'restart' and phase = 'stable'")
+    restarts = runs.where("mode = 'restart'").select(*of).withColumn("_region", each)
+    held = restarts.join(stable, keys, "left")
+    parts.append(held.select(*shape("stable", F.lit("stable"), F.col("median"), F.when(F.col("median").isNull(), "stable_phase_missing"))))
+    moved = restart_offsets(stable.select(*keys, "median"), ["session", "_region"], "run", "median")
+    parts.append(moved.select(*shape("restart_offset", F.col("reference_run"), F.col("offset"), none)))
+    dynamic = metrics.where("mode = 'dynamic'")
+    parts.append(dynamic.select(*shape("phase", F.col("phase"), F.col("median"), none)))
+    cycles = dynamic_cycles(dynamic, keys, "phase", "median")
+    for change in ("hot_minus_baseline", "recovery_minus_baseline"):
+        parts.append(cycles.select(*shape(change, F.col("cycle"), F.col(change), F.col("issue"))))
+    return reduce(DataFrame.unionByName, parts)

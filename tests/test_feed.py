@@ -90,3 +90,32 @@ def test_more_streams_than_open_files(spark, tmp_path):
     df.write.format("capture").mode("append").save(str(tmp_path / "feed"))
     back = spark.read.format("capture").load(str(tmp_path / "feed"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_written_feeds_take_less_room_than_their_records(spark, tmp_path):
+    feed.register(spark)
+    n, folder = 3 * feed.BLOCK + 5, tmp_path / "feed"
+    rows = [("cam", i, i, datagram(i % 4 + 1, 60 + i % 2, mark=i % 251)) for i in range(n)]
+    df = spark.createDataFrame(rows, "stream string, at long, seq long, payload binary").coalesce(1)
+    df = df.select("stream", F.timestamp_seconds("at").alias("ts"), "seq", "payload")
+    df.write.format("capture").mode("append").save(str(folder))
+    assert sum(f.stat().st_size for f in folder.iterdir()) < n * feed.RECORD / 20
+    back = spark.read.format("capture").load(str(folder))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_any_span_of_a_packed_file_is_read(spark, tmp_path, monkeypatch):
+    """Spans begin and end inside blocks; packed files and growing ones lie side by side, over restarts."""
+    monkeypatch.setattr(feed, "PER_TASK", 7)
+    feed.register(spark)
+    folder, own = tmp_path / "feed", str(tmp_path / "run")
+    folder.mkdir()
+    append(folder / "old+3.cap~1.cap", record(0, b"a") + record(1, b"b"))
+    counts = (feed.BLOCK, 2 * feed.BLOCK + 1)
+    for k, n in enumerate(counts):
+        df = spark.range(n).coalesce(1).selectExpr("'s' AS stream", f"timestamp_seconds(id + {1000 * k}) AS ts", "id AS seq", "CAST(repeat('x', CAST(id AS INT)) AS BINARY) AS payload")
+        df.write.format("capture").mode("append").save(str(folder))
+        rows = run.run_available(spark.readStream.format("capture").load(str(folder)), spark, folder=own)
+        assert rows.count() == 2 + sum(counts[: k + 1])
+    got = sorted((r.stream, r.seq, bytes(r.payload)) for r in rows.collect())
+    assert got == sorted([("old+3.cap", 0, b"a"), ("old+3.cap", 1, b"b")] + [("s", i, b"x" * i) for n in counts for i in range(n)])
